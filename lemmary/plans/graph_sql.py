@@ -1,0 +1,380 @@
+"""The engine's queries in DuckDB's SQL, composed of named views."""
+
+from __future__ import annotations
+
+import re
+
+
+def _key(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '\\S') THEN trim({c}, ' ') END"
+
+
+def _mins(cols: str) -> str:
+    return ", ".join(f"min({c}) AS {c}" for c in cols.split())
+
+
+_TOKEN = r"[\pL\pN_][\pL\pN_''.:]*|[^\s\x0b\x1c-\x1f\x{85}\pZ]"
+_SPACES = r"[\s\x0b\x1c-\x1f\x{85}\pZ]+"
+_BLANKLESS = "array_to_string(list_filter({0}, lambda x: x IS NOT NULL AND regexp_matches(x, '\\S')), ' ')"
+
+
+def _lines(*parts: str) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"coalesce({p}, '')" for p in parts) + "], lambda x: x != ''), chr(10))"
+
+
+def _words(c: str) -> str:
+    return _BLANKLESS.format(c)
+
+
+_TAGS = "trim(coalesce(domain_tag, '') || ' ' || coalesce(subdomain_tag, ''), ' ')"
+_VALUES = "coalesce(list_sort(list_distinct(list_filter(list_transform({0}, lambda x: trim(x, ' ')), lambda x: x IS NOT NULL AND regexp_matches(x, '\\S')))), [])"
+_PSP = _lines("full_name", _TAGS, _words("local_hypotheses"), "goal_text", _words("symbols"))
+_PRP = _lines("full_name", "file_path", _TAGS, "code")
+
+
+def _symbols(*parts: str) -> str:
+    text = "lower(translate(" + " || ' ' || ".join(f"coalesce({p}, '')" for p in parts) + ", '._''', '   '))"
+    return (
+        f"list_distinct(list_filter(list_transform(list_filter(regexp_split_to_array({text}, '{_SPACES}'), lambda x: length(x) >= 2), "
+        "lambda x: regexp_replace(x, '^[^\\pL\\pN_]+|[^\\pL\\pN_]+$', '', 'g')), lambda x: x != ''))"
+    )
+
+
+def _ranked(body: str, k: int, by: str = "query_id") -> str:
+    """Ranks 1..k of (by, item_id, score)."""
+    return f"SELECT {by}, item_id, CAST(r AS int) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, item_id) AS r FROM (SELECT {by}, item_id, round(score, 9) AS score FROM ({body}))) WHERE r <= {k}"
+
+
+def _dense(q: str, c: str, k: int, other: str = "") -> str:
+    return _ranked(f"SELECT q.id AS query_id, c.id AS item_id, list_dot_product(q.v, c.v) AS score FROM {q} q, {c} c {other}", k)
+
+
+def _tf(docs: str) -> str:
+    return f"SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{_TOKEN}')) AS term FROM {docs}) GROUP BY ALL"
+
+
+def _idf(tf: str, docs: str) -> str:
+    return f"SELECT term, count(*) AS df, ln((1.0 + (SELECT count(*) FROM {docs})) / (1.0 + count(*))) + 1 AS idf, sum(tf) AS total FROM {tf} GROUP BY term"
+
+
+def _weights(tf: str, idf: str) -> str:
+    return f"SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (SELECT id, term, (1 + ln(tf)) * idf AS w FROM {tf} JOIN {idf} USING (term))"
+
+
+def _sparse(q: str, c: str, k: int) -> str:
+    return _ranked(f"SELECT q.id AS query_id, c.id AS item_id, sum(q.w * c.w) AS score FROM {q} q JOIN {c} c USING (term) GROUP BY ALL", k)
+
+
+def _expand(near: str, edges: str, k_near: int, mode: str, k: int = 100) -> str:
+    f = {"rank": "1.0 / n.rank", "sim": "greatest(0.0, n.score)", "rank_sim": "greatest(0.0, n.score) / n.rank"}[mode]
+    return _ranked(f"SELECT n.query_id, e.item_id, sum({f}) AS score FROM {near} n JOIN {edges} e ON e.neighbor_id = n.item_id WHERE n.rank <= {k_near} GROUP BY ALL", k)
+
+
+def _union(names: list[str], weights: dict[str, float] | None = None) -> str:
+    w = "CASE source " + " ".join(f"WHEN '{n}' THEN {(weights or {}).get(n, 1.0)}" for n in names) + " END"
+    chosen = ", ".join(f"'{n}'" for n in names)
+    return _ranked(f"SELECT query_id, item_id, sum({w} / rank) AS score FROM sources WHERE source IN ({chosen}) GROUP BY ALL", 100)
+
+
+def _docs(split: str, view: str) -> str:
+    return f"SELECT theorem_id AS id, profile_text AS text FROM {view} WHERE split = '{split}'"
+
+
+_USABLE = "len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda x: x != 0)) > 0"
+
+
+def _vectors(kind: str) -> str:
+    return f"SELECT {_key('entity_id')} AS id, min(row_index) AS row_index, min(CAST(embedding AS double[])) AS v FROM entity_vectors WHERE entity_type = '{kind}' AND {_USABLE} GROUP BY 1"
+
+
+def _unit(view: str) -> str:
+    return f"SELECT id, list_transform(v, lambda x: x / n) AS v FROM (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM {view})"
+
+
+VIEWS: dict[str, str] = {
+    "th": f"SELECT {_key('id')} AS id, {_mins('full_name file_path domain_tag subdomain_tag split')} FROM theorems GROUP BY 1 HAVING {_key('any_value(id)')} IS NOT NULL",
+    "ps": f"""SELECT * REPLACE ({_key('theorem_id')} AS theorem_id) FROM (SELECT {_key('id')} AS id, {_mins('theorem_id full_name tactic_idx goal_text tactic domain_tag subdomain_tag split')},
+ any_value(local_hypotheses) AS local_hypotheses, any_value(symbols) AS symbols FROM proof_states GROUP BY 1) WHERE id IS NOT NULL""",
+    "pr": f"SELECT * FROM (SELECT {_key('id')} AS id, {_mins('full_name file_path domain_tag subdomain_tag code split')} FROM premises GROUP BY 1) WHERE id IS NOT NULL",
+    "en": f"""SELECT * FROM (SELECT {_key('theorem_id')} AS theorem_id, {_mins('full_name split topic goal_pattern difficulty_bucket_hint prompt_version prompt_hash model')},
+ any_value(mathematical_objects) AS mathematical_objects, any_value(key_symbols) AS key_symbols, any_value(useful_lemma_types) AS useful_lemma_types, any_value(strategy_facets) AS strategy_facets,
+ any_value(likely_tactics) AS likely_tactics, any_value(difficulty_reasons) AS difficulty_reasons FROM theorem_enrichment GROUP BY 1) WHERE theorem_id IS NOT NULL""",
+    "ed": f"SELECT DISTINCT * FROM (SELECT {_key('proof_state_id')} AS proof_state_id, {_key('premise_id')} AS premise_id FROM positive_edges) WHERE proof_state_id IS NOT NULL AND premise_id IS NOT NULL",
+    "tech": "SELECT id AS proof_state_id, theorem_id, split_part(trim(tactic, ' '), ' ', 1) AS label, split FROM ps WHERE split_part(trim(tactic, ' '), ' ', 1) != ''",
+    "feat": """SELECT *, CASE WHEN num_proof_states <= 2 THEN 'easy' WHEN num_proof_states <= 6 THEN 'medium' ELSE 'hard' END AS difficulty_bucket FROM
+ (SELECT theorem_id, count(*) AS num_proof_states, count(*) + max(coalesce(tactic_idx, 0)) / 10 AS theorem_complexity_score FROM ps WHERE theorem_id IS NOT NULL GROUP BY theorem_id)""",
+    "psv": _vectors("ProofState"),
+    "prv": _vectors("Premise"),
+    "thv": _vectors("Theorem"),
+    "trainpool": "SELECT id FROM pr WHERE split = 'train'",
+    "vpool": "SELECT prv.* FROM prv SEMI JOIN trainpool USING (id)",
+    "gold": "SELECT proof_state_id AS query_id, premise_id AS item_id FROM ed WHERE proof_state_id IN (SELECT id FROM ps WHERE split = 'test')",
+    "tgold": "SELECT DISTINCT theorem_id AS query_id, premise_id AS item_id FROM ed JOIN ps ON ps.id = proof_state_id WHERE split = 'test' AND theorem_id IS NOT NULL",
+    "qs": "SELECT ps.*, psv.v FROM ps JOIN psv USING (id) WHERE split = 'test' AND id IN (SELECT query_id FROM gold)",
+    "qu": _unit("qs"),
+    "vpoolu": _unit("vpool"),
+    "trainv": "SELECT psv.* FROM psv JOIN ps USING (id) WHERE split = 'train'",
+    "trainvu": _unit("trainv"),
+    "dense": _dense("qs", "vpool", 100),
+    "predense": _dense("qu", "vpoolu", 100),
+    "near": _dense("qs", "trainv", 100),
+    "prenear": _dense("qu", "trainvu", 100),
+    "sedges": "SELECT proof_state_id AS neighbor_id, premise_id AS item_id FROM ed",
+    "qdocs": f"SELECT id, {_PSP} AS text FROM qs",
+    "pdocs": f"SELECT id, {_PRP} AS text FROM pr WHERE split = 'train'",
+    "ptf": _tf("pdocs"),
+    "qtf": _tf("qdocs"),
+    "pidf": _idf("ptf", "pdocs"),
+    "pw": _weights("ptf", "pidf"),
+    "qw": _weights("qtf", "pidf"),
+    "lexical": _sparse("qw", "pw", 100),
+    "qsym": "SELECT id, unnest(" + _symbols("array_to_string(symbols, ' ')", "goal_text", "array_to_string(local_hypotheses, ' ')", "full_name") + ") AS term, 1.0 AS w FROM qs",
+    "psym": "SELECT id, unnest(" + _symbols("full_name", "code", "file_path") + ") AS term, 1.0 AS w FROM pr WHERE split = 'train'",
+    "symbol": _sparse("qsym", "psym", 100),
+    "fs": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY theorem_id ORDER BY tactic_idx NULLS LAST, id) AS n FROM ps WHERE theorem_id IS NOT NULL) WHERE n <= 5",
+    "fsg": f"""SELECT theorem_id, count(*) AS cnt, array_to_string(list(goal_text ORDER BY n) FILTER (regexp_matches(goal_text, '\\S')), chr(10)) AS goals,
+ array_to_string({_VALUES.format('flatten(list(coalesce(symbols, [])))')}, ' ') AS syms,
+ array_to_string(list_slice(flatten(list(list_slice(list_filter(coalesce(local_hypotheses, []), lambda x: x IS NOT NULL), 1, 4) ORDER BY n)), 1, 12), chr(10)) AS hyps FROM fs GROUP BY theorem_id""",
+    "prof": f"""SELECT id AS theorem_id, full_name, file_path, domain_tag, subdomain_tag, split, {_lines('full_name', 'file_path', _TAGS, 'goals', 'syms', 'hyps')} AS profile_text,
+ CAST(coalesce(cnt, 0) AS int) AS profile_proof_state_count, 5 AS profile_max_states FROM th LEFT JOIN fsg ON fsg.theorem_id = th.id""",
+    "entext": "SELECT theorem_id, "
+    + _lines(
+        "topic", "goal_pattern", _words("mathematical_objects"), _words("key_symbols"), _words("useful_lemma_types"),
+        _words("flatten(list_transform(strategy_facets, lambda s: [s.facet, s.target, s.direction_or_action]))"), _words("likely_tactics"), _words("difficulty_reasons"), "difficulty_bucket_hint",
+    )
+    + " AS llm_enrichment_text FROM en",
+    "lprof": f"SELECT prof.* REPLACE ({_lines('profile_text', 'llm_enrichment_text')} AS profile_text), coalesce(llm_enrichment_text, '') AS llm_enrichment_text FROM prof LEFT JOIN entext USING (theorem_id)",
+    "tdocs": _docs("train", "prof"),
+    "tqdocs": _docs("test", "prof"),
+    "ttf": _tf("tdocs"),
+    "tqtf": _tf("tqdocs"),
+    "tidf": _idf("ttf", "tdocs"),
+    "tw": _weights("ttf", "tidf"),
+    "tqw": _weights("tqtf", "tidf"),
+    "tnear": _sparse("tqw", "tw", 20),
+    "ldocs": _docs("train", "lprof"),
+    "lqdocs": _docs("test", "lprof"),
+    "ltf": _tf("ldocs"),
+    "lqtf": _tf("lqdocs"),
+    "lidf": _idf("ltf", "ldocs"),
+    "lw": _weights("ltf", "lidf"),
+    "lqw": _weights("lqtf", "lidf"),
+    "lnear": _sparse("lqw", "lw", 20),
+    "thvu": _unit("thv"),
+    "thq": "SELECT thvu.* FROM thvu JOIN th USING (id) WHERE split = 'test'",
+    "thc": "SELECT thvu.* FROM thvu JOIN th USING (id) WHERE split = 'train'",
+    "vnear": _dense("thq", "thc", 20),
+    "tedges": "SELECT DISTINCT theorem_id AS neighbor_id, premise_id AS item_id FROM ed JOIN ps ON ps.id = proof_state_id WHERE split = 'train' AND theorem_id IS NOT NULL",
+    "tprem": _expand("tnear", "tedges", 20, "rank"),
+    "lprem": _expand("lnear", "tedges", 20, "rank"),
+    "simth": "SELECT qs.id AS query_id, t.item_id, t.rank, t.score FROM qs JOIN tprem t ON t.query_id = qs.theorem_id",
+    "simthl": "SELECT qs.id AS query_id, t.item_id, t.rank, t.score FROM qs JOIN lprem t ON t.query_id = qs.theorem_id",
+    "x25": _expand("near", "sedges", 25, "rank"),
+    "x50": _expand("near", "sedges", 50, "rank"),
+    "x100": _expand("near", "sedges", 100, "rank"),
+    "x100s": _expand("near", "sedges", 100, "sim"),
+    "x100rs": _expand("near", "sedges", 100, "rank_sim"),
+    "xpre": _expand("prenear", "sedges", 100, "rank_sim"),
+}
+_SOURCE_VIEWS = {
+    "dense": "dense", "lexical": "lexical", "symbol": "symbol", "similar_ps": "x25", "similar_ps_k50": "x50", "similar_ps_k100": "x100", "similar_ps_k100_sim": "x100s",
+    "similar_ps_k100_rank_sim": "x100rs", "similar_theorem": "simth", "similar_theorem_llm": "simthl", "pretrained_dense": "predense", "pretrained_similar_ps": "xpre",
+}
+VIEWS["sources"] = " UNION ALL ".join(f"SELECT '{s}' AS source, query_id, item_id, rank, score FROM {v}" for s, v in _SOURCE_VIEWS.items())
+
+
+def compose(final: str, local: dict[str, str] | None = None) -> str:
+    """``final`` with the views it needs in front."""
+    views, order = VIEWS | (local or {}), []
+
+    def visit(text: str) -> None:
+        for name in re.findall(r"(?:FROM|JOIN|,)\s*\(?\s*([a-z_0-9]+)\b", text):
+            if name in views and name not in order:
+                visit(views[name])
+                if name not in order:
+                    order.append(name)
+
+    visit(final)
+    head = ",\n".join(f"{n} AS MATERIALIZED ({views[n]})" for n in order)
+    return (f"WITH {head}\n" if order else "") + final
+
+
+_KS = (10, 50, 100)
+
+
+def _rows(rankings: str, queries: str, gold: str, pool: str, by: str = "query_id") -> dict[str, str]:
+    """Views of the metric rows; ``rankings`` and ``queries`` have the columns of ``by``."""
+    q = [f"q.{c}" for c in by.split(", ")]
+    idcg = lambda k: f"list_sum(list_transform(range(1, least(coalesce(g, 0), {k}) + 1), lambda i: 1 / log2(i + 1)))"
+    return {
+        "mk": f"SELECT query_id, item_id, item_id IN (SELECT id FROM {pool}) AS inp FROM {gold}",
+        "mc": "SELECT query_id, count(*) AS t, count(*) FILTER (inp) AS g FROM mk GROUP BY query_id",
+        "mh": f"SELECT {', '.join('r.' + c for c in by.split(', '))}, r.item_id, r.rank, row_number() OVER (PARTITION BY {', '.join('r.' + c for c in by.split(', '))} ORDER BY r.rank) AS h FROM {rankings} r JOIN mk ON mk.query_id = r.query_id AND mk.item_id = r.item_id WHERE inp",
+        "mf": f"SELECT {by}, min(rank) AS first, sum(h / rank) AS ap, "
+        + ", ".join(f"count(DISTINCT item_id) FILTER (rank <= {k}) AS h{k}, coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= {k}), 0) AS d{k}" for k in _KS)
+        + f" FROM mh GROUP BY {by}",
+        "mrows": f"SELECT {', '.join(q)}, coalesce(t, 0) AS gold_total_count, coalesce(g, 0) AS gold_in_pool_count, coalesce(t, 0) - coalesce(g, 0) AS gold_missing_from_pool_count, first AS rank_of_first_gold, "
+        "CASE WHEN g > 0 THEN round(coalesce(ap, 0) / g, 9) ELSE 0.0 END AS average_precision, "
+        + ", ".join(f"coalesce(h{k}, 0) AS hits_at_{k}, CASE WHEN g > 0 THEN round(coalesce(h{k}, 0) / g, 9) ELSE 0.0 END AS recall_at_{k}, CASE WHEN g > 0 THEN round(coalesce(d{k}, 0) / {idcg(k)}, 9) ELSE 0.0 END AS ndcg_at_{k}" for k in _KS)
+        + f" FROM {queries} q LEFT JOIN mc ON mc.query_id = q.query_id LEFT JOIN mf ON " + " AND ".join(f"mf.{c} = q.{c}" for c in by.split(", ")),
+    }
+
+
+def _summary(by: str = "") -> str:
+    mean = lambda c: f"round(coalesce(avg({c}) FILTER (gold_in_pool_count > 0), 0), 6) AS {'map' if c == 'average_precision' else c}"
+    return (
+        f"SELECT {by + ', ' if by else ''}count(*) AS evaluated_queries, count(*) FILTER (gold_in_pool_count > 0) AS evaluated_retrievable_queries, CAST(sum(gold_total_count) AS bigint) AS gold_total, "
+        "CAST(sum(gold_in_pool_count) AS bigint) AS gold_in_pool, CAST(sum(gold_missing_from_pool_count) AS bigint) AS gold_missing_from_pool, "
+        f"round(sum(gold_in_pool_count) / greatest(sum(gold_total_count), 1), 6) AS gold_pool_coverage, {mean('average_precision')}, "
+        + ", ".join(f"CAST(sum(hits_at_{k}) AS bigint) AS hits_at_{k}, {mean(f'recall_at_{k}')}, round(sum(hits_at_{k}) / greatest(sum(gold_total_count), 1), 6) AS all_positive_recall_at_{k}, {mean(f'ndcg_at_{k}')}" for k in _KS)
+        + f" FROM mrows{' GROUP BY ' + by if by else ''}"
+    )
+
+
+def _one(method: str, ranking: str) -> dict[str, str]:
+    return {
+        "oner": f"SELECT '{method}' AS method, query_id, item_id, rank FROM ({ranking})",
+        "oneq": f"SELECT '{method}' AS method, id AS query_id FROM qs",
+    } | _rows("oner", "oneq", "gold", "vpool", "method, query_id")
+
+
+def _presets() -> dict[str, dict[str, float]]:
+    from lemmary.operators.fusion import PRESETS
+
+    return PRESETS
+
+
+_TUNED = _one("weighted_rrf_theorem_tuned", _union([n for n, w in _presets()["theorem_tuned"].items() if w > 0], _presets()["theorem_tuned"]))
+_LEX = _one("lexical", "SELECT * FROM lexical")
+_FUSIONS = {f"weighted_rrf_{n}": _union([s for s, x in w.items() if x > 0], w) for n, w in _presets().items()}
+_FUSIONS |= {"dense_lexical_rrf": _union(["dense", "lexical"]), "full_union_rrf": _union(["dense", "lexical", "symbol", "similar_ps"])}
+_ALL = {
+    "allr": "SELECT source AS method, query_id, item_id, rank FROM sources UNION ALL " + " UNION ALL ".join(f"SELECT '{n}' AS method, query_id, item_id, rank FROM ({s})" for n, s in _FUSIONS.items()),
+    "allq": "SELECT unnest([" + ", ".join(f"'{n}'" for n in [*_SOURCE_VIEWS, *_FUSIONS]) + "]) AS method, id AS query_id FROM qs",
+} | _rows("allr", "allq", "gold", "vpool", "method, query_id")
+_TQ = {"tq": "SELECT theorem_id AS query_id FROM prof WHERE split = 'test'"}
+_STRAT = _TQ | {
+    "sl": "SELECT DISTINCT n.query_id, label, 1 AS got FROM tnear n JOIN tech ON tech.theorem_id = n.item_id AND tech.split = 'train'",
+    "sg": "SELECT DISTINCT theorem_id AS query_id, label, 1 AS gold FROM tech WHERE split = 'test' AND theorem_id IS NOT NULL",
+    "sc": "SELECT query_id, count(gold) AS g, count(got) AS r, count(*) FILTER (gold = 1 AND got = 1) AS o FROM sl FULL JOIN sg USING (query_id, label) GROUP BY query_id",
+    "sx": "SELECT query_id, coalesce(g, 0) AS g, coalesce(r, 0) AS r, coalesce(o, 0) AS o, CASE WHEN g > 0 THEN o / g ELSE 0.0 END AS rc, CASE WHEN r > 0 THEN o / r ELSE 0.0 END AS pc FROM tq LEFT JOIN sc USING (query_id)",
+    "srows": """SELECT query_id, g AS strategy_gold_count, r AS strategy_retrieved_count, o AS strategy_overlap_count, round(rc, 9) AS strategy_recall, round(pc, 9) AS strategy_precision,
+ CASE WHEN pc + rc > 0 THEN round(2 * pc * rc / (pc + rc), 9) ELSE 0.0 END AS strategy_f1, o > 0 AND g > 0 AS strategy_any_hit FROM sx""",
+}
+_DIFF = _TQ | {
+    "dn": "SELECT query_id, difficulty_bucket AS b, theorem_complexity_score AS s FROM tnear JOIN feat ON feat.theorem_id = item_id",
+    "db": "SELECT query_id, b FROM (SELECT query_id, b, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, b) AS r FROM dn GROUP BY query_id, b) WHERE r = 1",
+    "da": "SELECT query_id, avg(s) AS p FROM dn GROUP BY query_id",
+    "drows": """SELECT tq.query_id, round(coalesce(p, 0.0), 6) AS difficulty_prediction, round(coalesce(theorem_complexity_score, 0.0), 6) AS difficulty_target,
+ round(abs(coalesce(p, 0.0) - coalesce(theorem_complexity_score, 0.0)), 6) AS difficulty_absolute_error, coalesce(b, '') AS difficulty_bucket_prediction,
+ coalesce(difficulty_bucket, '') AS difficulty_bucket_target, coalesce(b, '') != '' AND coalesce(b, '') = coalesce(difficulty_bucket, '') AS difficulty_bucket_match
+ FROM tq LEFT JOIN da ON da.query_id = tq.query_id LEFT JOIN db ON db.query_id = tq.query_id LEFT JOIN feat ON feat.theorem_id = tq.query_id""",
+}
+_GUIDE = {
+    "gq": "SELECT theorem_id AS query_id, full_name, domain_tag FROM prof WHERE split = 'test' ORDER BY theorem_id LIMIT 25",
+    "gn": "SELECT tnear.* FROM tnear SEMI JOIN gq USING (query_id)",
+    "gtrain": "SELECT id, theorem_id FROM ps WHERE split = 'train' AND theorem_id IS NOT NULL",
+    "gv": "SELECT gn.query_id, ed.premise_id AS item_id, row_number() OVER (PARTITION BY gn.query_id ORDER BY gn.rank, ed.proof_state_id, ed.premise_id) AS place FROM gn JOIN gtrain ON gtrain.theorem_id = gn.item_id JOIN ed ON ed.proof_state_id = gtrain.id",
+    "gl": "SELECT gn.query_id, label AS item_id, row_number() OVER (PARTITION BY gn.query_id ORDER BY gn.rank, proof_state_id, label) AS place FROM gn JOIN tech ON tech.theorem_id = gn.item_id AND tech.split = 'train'",
+    "gp": _ranked("SELECT query_id, item_id, sum(1.0 / place) AS score FROM gv GROUP BY ALL", 10),
+    "gs": _ranked("SELECT query_id, item_id, sum(1.0 / place) AS score FROM gl GROUP BY ALL", 8),
+}
+_ENRICHED = {
+    "enr": """SELECT th.*, num_proof_states, theorem_complexity_score, difficulty_bucket, topic AS llm_topic, goal_pattern AS llm_goal_pattern, difficulty_bucket_hint AS llm_difficulty_bucket_hint,
+ prompt_version AS llm_prompt_version, model AS llm_model, topic IS NOT NULL AS llm_enrichment_available FROM th LEFT JOIN feat ON feat.theorem_id = th.id LEFT JOIN en ON en.theorem_id = th.id"""
+}
+_DOMAINS = {"dc": "SELECT split, domain_tag AS value, count(*) AS n FROM th WHERE split IS NOT NULL AND domain_tag IS NOT NULL GROUP BY ALL", "dr": "SELECT *, row_number() OVER (PARTITION BY split ORDER BY n DESC, value) AS r FROM dc"}
+_ALLSUM = {"asum": _summary("method")}
+_DELTA = _ALL | _ALLSUM | {
+    "long": " UNION ALL ".join(f"SELECT method, '{m}' AS metric, {m} AS value FROM asum" for m in ("map", "recall_at_100", "all_positive_recall_at_100", "ndcg_at_10"))
+}
+
+ORACLE: dict[str, str] = {
+    "scan_parquet": "SELECT * FROM theorems",
+    "premise_pool": compose("SELECT id FROM trainpool"),
+    "embedding_ids": compose("SELECT id, row_index FROM psv"),
+    "eligible_queries": compose("SELECT id, theorem_id FROM qs"),
+    "prefix_columns": compose("SELECT theorem_id, topic AS llm_topic, goal_pattern AS llm_goal_pattern, model AS llm_model, likely_tactics AS llm_likely_tactics FROM en"),
+    "llm_cache_antijoin": compose("SELECT id AS theorem_id FROM th WHERE id NOT IN (SELECT theorem_id FROM en)"),
+    "edges_by_theorem": compose("SELECT neighbor_id AS theorem_id, item_id AS premise_id FROM tedges"),
+    "strategies_by_theorem": compose("SELECT DISTINCT theorem_id, label FROM tech WHERE split = 'train' AND theorem_id IS NOT NULL"),
+    "gold_by_query": compose("SELECT query_id, string_agg(item_id, ',' ORDER BY item_id) AS gold FROM gold GROUP BY query_id"),
+    "gold_in_pool": compose("SELECT query_id, item_id FROM gold WHERE item_id IN (SELECT id FROM trainpool)"),
+    "gold_missing": compose("SELECT query_id, item_id FROM gold WHERE item_id NOT IN (SELECT id FROM trainpool)"),
+    "enriched_theorems": compose("SELECT * FROM enr", _ENRICHED),
+    "enrichment_available": compose("SELECT id, llm_enrichment_available FROM enr", _ENRICHED),
+    "enriched_profiles": compose("SELECT lprof.theorem_id, lprof.full_name, profile_text, llm_enrichment_text, topic AS llm_topic, model AS llm_model FROM lprof LEFT JOIN en ON en.theorem_id = lprof.theorem_id"),
+    "export_manifest": compose(
+        """SELECT split, count(*) AS theorems, count(*) FILTER (llm_enrichment_available) AS llm_enriched_theorems, round(avg(CAST(llm_enrichment_available AS int)), 6) AS llm_enrichment_coverage,
+ coalesce(string_agg(DISTINCT llm_model, ',' ORDER BY llm_model), '') AS llm_models, coalesce(string_agg(DISTINCT llm_prompt_version, ',' ORDER BY llm_prompt_version), '') AS llm_prompt_versions FROM enr WHERE split IS NOT NULL GROUP BY split""",
+        _ENRICHED,
+    ),
+    "first_states": compose("SELECT theorem_id, id, tactic_idx, CAST(n AS int) AS n FROM fs"),
+    "proof_state_profile": compose(f"SELECT id, {_PSP} AS profile FROM ps"),
+    "premise_profile": compose(f"SELECT id, {_PRP} AS profile FROM pr"),
+    "theorem_profiles": compose("SELECT theorem_id, full_name, file_path, domain_tag, subdomain_tag, profile_text, profile_proof_state_count, profile_max_states FROM prof"),
+    "theorem_profiles_without_arrays": compose(f"SELECT id AS theorem_id, {_lines('full_name', 'file_path', _TAGS, 'goals')} AS profile_text FROM th LEFT JOIN fsg ON fsg.theorem_id = th.id"),
+    "enrichment_text": compose("SELECT theorem_id, llm_enrichment_text FROM entext"),
+    "tfidf_idf": compose("SELECT term, df, round(idf, 9) AS idf FROM pidf"),
+    "tfidf_weights": compose("SELECT id, term, round(w, 9) AS w FROM pw"),
+    "vocab_cap": compose("SELECT term, df, CAST(total AS bigint) AS total FROM pidf ORDER BY total DESC, term LIMIT 500"),
+    "dense_topk": compose("SELECT query_id, item_id, rank FROM dense"),
+    "dense_topk_scores": compose("SELECT * FROM near"),
+    "dense_self_topk": compose(_dense("ev", "ev", 10, "WHERE q.id != c.id"), {"ev": "SELECT CAST(vec_id AS string) AS id, CAST(embedding AS double[]) AS v FROM embeddings"}),
+    "pretrained_dense": compose("SELECT * FROM predense"),
+    "pretrained_similar_ps": compose("SELECT * FROM xpre"),
+    "lexical_topk": compose("SELECT * FROM lexical"),
+    "symbol_overlap": compose("SELECT * FROM symbol"),
+    "expand_rank": compose("SELECT * FROM x25"),
+    "expand_rank_k25": compose("SELECT * FROM x25"),
+    "expand_rank_k50": compose("SELECT * FROM x50"),
+    "expand_rank_k100": compose("SELECT * FROM x100"),
+    "expand_sim": compose("SELECT * FROM x100s"),
+    "expand_rank_sim": compose("SELECT * FROM x100rs"),
+    "theorem_neighbors": compose("SELECT * FROM tnear"),
+    "theorem_neighbors_llm": compose("SELECT * FROM lnear"),
+    "theorem_neighbors_pretrained": compose("SELECT * FROM vnear"),
+    "neighbor_premises": compose("SELECT * FROM tprem"),
+    "theorem_premises": compose("SELECT * FROM simth"),
+    "theorem_premises_llm": compose("SELECT * FROM simthl"),
+    "rrf_union": compose(_union(["lexical", "symbol", "similar_theorem"])),
+    **{n: compose(s) for n, s in _FUSIONS.items()},
+    "ranking_rows": compose("SELECT * FROM mrows", _LEX),
+    "average_precision": compose("SELECT query_id, average_precision FROM mrows", _TUNED),
+    "ndcg": compose("SELECT query_id, ndcg_at_10, ndcg_at_50, ndcg_at_100 FROM mrows", _TUNED),
+    "first_gold_rank": compose("SELECT query_id, rank_of_first_gold FROM mrows", _TUNED),
+    "summarize_rankings": compose(_summary("method"), _LEX),
+    "t1_metrics": compose(_summary("method"), _ALL),
+    "metric_delta": compose("SELECT l.method, l.metric, l.value, round(l.value - b.value, 6) AS delta FROM long l JOIN long b ON b.metric = l.metric AND b.method = 'dense'", _DELTA),
+    "strategy_rows": compose("SELECT * FROM srows", _STRAT),
+    "difficulty_rows": compose("SELECT * FROM drows", _DIFF),
+    "t2_strategy_summary": compose(
+        """SELECT count(*) AS evaluated_theorems, round(coalesce(avg(strategy_recall), 0), 6) AS recall, round(coalesce(avg(strategy_precision), 0), 6) AS "precision",
+ round(coalesce(avg(strategy_f1), 0), 6) AS f1, round(coalesce(avg(CAST(strategy_any_hit AS int)), 0), 6) AS any_hit FROM srows WHERE strategy_gold_count > 0""",
+        _STRAT,
+    ),
+    "t2_difficulty_summary": compose(
+        """SELECT count(*) AS evaluated_theorems, round(coalesce(avg(difficulty_absolute_error), 0), 6) AS mae, round(coalesce(avg(CAST(difficulty_bucket_match AS int)), 0), 6) AS bucket_accuracy
+ FROM drows WHERE difficulty_bucket_target != ''""",
+        _DIFF,
+    ),
+    "t2_summary": compose(_summary(), _TQ | _rows("tprem", "tq", "tgold", "trainpool")),
+    "t2_summary_llm": compose(_summary(), _TQ | _rows("lprem", "tq", "tgold", "trainpool")),
+    "guidance_limit": compose("SELECT * FROM gq", _GUIDE),
+    "guidance_premises": compose("SELECT * FROM gp", _GUIDE),
+    "guidance_strategies": compose("SELECT * FROM gs", _GUIDE),
+    "guidance_evidence": compose("SELECT coalesce(full_name, item_id) AS name, round(sum(score), 6) AS score, count(*) AS n_bundles FROM gp LEFT JOIN (SELECT id, full_name FROM pr WHERE split = 'train') ON id = item_id GROUP BY 1", _GUIDE),
+    "guidance_summary": compose(
+        """SELECT count(*) AS bundles, round(sum((SELECT count(*) FROM gn WHERE gn.query_id = gq.query_id AND gn.rank <= 10)) / greatest(count(*), 1), 6) AS avg_neighbors,
+ round(sum((SELECT count(*) FROM gp WHERE gp.query_id = gq.query_id)) / greatest(count(*), 1), 6) AS avg_premises, round(sum((SELECT count(*) FROM gs WHERE gs.query_id = gq.query_id)) / greatest(count(*), 1), 6) AS avg_strategies,
+ round(sum((SELECT count(*) FROM gn JOIN feat ON feat.theorem_id = gn.item_id WHERE gn.query_id = gq.query_id)) / greatest(count(*), 1), 6) AS avg_difficulty_neighbors FROM gq""",
+        _GUIDE,
+    ),
+    "split_stats": compose(
+        """SELECT split, a AS theorems, b AS proof_states, c AS premises, coalesce(d, 0) AS positive_edges, round(b / greatest(a, 1), 6) AS states_per_theorem, round(coalesce(d, 0) / greatest(b, 1), 6) AS edges_per_state
+ FROM (SELECT split, count(*) AS a FROM th GROUP BY split) JOIN (SELECT split, count(*) AS b FROM ps GROUP BY split) USING (split) JOIN (SELECT split, count(*) AS c FROM pr GROUP BY split) USING (split)
+ LEFT JOIN (SELECT split, count(*) AS d FROM ed JOIN ps ON ps.id = proof_state_id GROUP BY split) USING (split)"""
+    ),
+    "domain_counts": compose("SELECT split, value, n FROM dr WHERE r <= 8", _DOMAINS),
+    "domain_other": compose("SELECT split, CAST(coalesce(sum(n) FILTER (r <= 3), 0) AS bigint) AS listed, CAST(coalesce(sum(n) FILTER (r > 3), 0) AS bigint) AS other, CAST(sum(n) AS bigint) AS total FROM dr GROUP BY split", _DOMAINS),
+}
