@@ -26,6 +26,11 @@ def pipeline(spark: SparkSession, folder: str) -> Pipeline:
     return _LAST[key]
 
 
+def forget() -> None:
+    """Drop the kept pipeline: the next query computes all its parts anew."""
+    _LAST.clear()
+
+
 def query(f: Callable[[Pipeline], DataFrame]) -> Callable[[Pipeline], DataFrame]:
     QUERIES[f.__name__] = lambda spark, folder: f(pipeline(spark, folder))
     return f
