@@ -114,7 +114,7 @@ def theorem_groups(nodes: DataFrame) -> DataFrame:
 
 def _place_large(targets: list[tuple[str, float]], total: float):  # noqa: ANN202
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames))
+        rows = pd.concat([pd.DataFrame({"comp": [], "weight": []}), *frames])
         left = {s: share * total for s, share in targets}
         out = []
         for comp, w in sorted(zip(rows["comp"], rows["weight"], strict=True), key=lambda x: (-x[1], x[0])):

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lemmary.operators.cut import cut
@@ -35,7 +35,7 @@ def shape(token: str) -> str:
     """The token as it is counted: numbers as 0, names with inner marks, digits or capitals as X."""
     if token.isdigit():
         return "0"
-    if _IDENT.search(token):
+    if len(token) > 1 and _IDENT.search(token):
         return "0" if token[0].isdigit() and not any(c.isalpha() for c in token) else "X"
     return token
 
@@ -146,12 +146,14 @@ def length_limits(docs: DataFrame, min_texts: int = 8, times: float = 8.0) -> Da
     # repeated texts count once
     sized = sized.distinct().select("source", F.explode(units).alias("x")).groupBy("source", "x.unit", "x.length").agg(F.count(F.lit(1)).alias("n"))
     counts = cut(sized)
-    peaks = counts.where(F.col("n") >= min_texts).withColumn("width", F.greatest(F.lit(20), (F.col("length") / 10).cast("int")))
+    # first what stands out among its direct neighbours, a narrow frame per source; only those few are compared with the wider range
+    by = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-4, 4)
+    peaks = counts.withColumn("beside", F.sum("n").over(by) - F.col("n")).where((F.col("n") >= min_texts) & (F.col("n") >= F.lit(times) * (F.col("beside") / 8 + 1)))
+    peaks = peaks.withColumn("width", F.greatest(F.lit(20), (F.col("length") / 10).cast("int")))
     near = counts.select(F.col("source").alias("s"), F.col("unit").alias("u"), F.col("length").alias("l"), F.col("n").alias("m"))
     away = F.abs(F.col("l") - F.col("length"))
-    around = peaks.join(near, (F.col("source") == F.col("s")) & (F.col("unit") == F.col("u")) & (away <= F.col("width")) & (away > 0), "left")
-    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("m"))), F.lit(0))
-    usual = F.greatest(total(away <= 4) / 8, total(away > 4) / (2 * F.first("width") - 8))
+    around = peaks.join(near, (F.col("source") == F.col("s")) & (F.col("unit") == F.col("u")) & (away <= F.col("width")) & (away > 4), "left")
+    usual = F.coalesce(F.sum("m"), F.lit(0)) / (2 * F.first("width") - 8)
     found = around.groupBy("source", "unit", "length").agg(F.first("n").alias("n"), usual.alias("usual"))
     return found.where(F.col("n") >= F.lit(times) * (F.col("usual") + 1)).select("source", "unit", "length")
 
