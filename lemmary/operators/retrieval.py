@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
-#: Columns with more than this many pairs in a block are multiplied densely.
-DENSE_PAIRS = 50_000
+#: Terms that meet in more than this part of all pairs of a block are multiplied densely, the others by merged postings.
+DENSE_SHARE = 0.005
 
 
 def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -58,7 +58,7 @@ def sparse_scores(q: pa.Table, c: pa.Table) -> np.ndarray:
     (qc, qk), (cc, ck) = column(qt), column(ct)
     qi, qc, qw, ci, cc, cw = qi[qk], qc[qk], qw[qk], ci[ck], cc[ck], cw[ck]
     nq, nc = np.bincount(qc, minlength=len(common)), np.bincount(cc, minlength=len(common))
-    dense = nq * nc > DENSE_PAIRS
+    dense = nq * nc > DENSE_SHARE * len(out)
     which = np.nonzero(dense)[0]
     score = out.reshape(q.num_rows, c.num_rows)
     for at in range(0, len(which), 512):
@@ -90,7 +90,9 @@ def block_top_k(queries: DataFrame, candidates: DataFrame, k: int, scores: Calla
     """
     named = lambda d, key, side: d.select(F.col("id").alias(key), *[F.col(x).alias(f"{side}_{x}") for x in columns])
     q, c = named(queries, "query_id", "q"), named(candidates, "item_id", "c")
-    nq, nc = max(1, math.ceil(q.count() / QUERY_BLOCK)), max(1, math.ceil(c.count() / CANDIDATE_BLOCK))
+    n_candidates = c.count()
+    spread = min(queries.sparkSession.sparkContext.defaultParallelism, math.ceil(n_candidates / 256))  # small inputs use all cores too
+    nq, nc = max(1, math.ceil(q.count() / QUERY_BLOCK)), max(1, math.ceil(n_candidates / CANDIDATE_BLOCK), spread)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = q.withColumn("left_block", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("right_block", each(nc))
     c = c.withColumn("right_block", F.pmod(F.xxhash64("item_id"), F.lit(nc)).cast("int")).withColumn("left_block", each(nq))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lemmary.functions.text import symbol_tokens, tokens
+from lemmary.operators.cut import cut
 from lemmary.operators.retrieval import sparse_top_k
 
 #: Vocabulary sizes of the text and the symbol sources; they also bound the broadcast idf table.
@@ -23,22 +24,31 @@ def vocabulary(counts: DataFrame, max_features: int) -> DataFrame:
     return terms.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
 
 
+def idf_of(counts: DataFrame, n: int, max_features: int = TEXT_FEATURES) -> DataFrame:
+    """(term, df, idf) from (id, term, tf) rows of ``n`` documents, those without tokens included."""
+    return vocabulary(counts, max_features).select("term", "df", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
+
+
 def fit(docs: DataFrame, max_features: int = TEXT_FEATURES) -> DataFrame:
-    """(term, df, idf) over docs (id, text); documents without tokens count in n."""
-    n = docs.count()
-    return vocabulary(term_counts(docs), max_features).select("term", "df", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
+    """(term, df, idf) over docs (id, text)."""
+    return idf_of(term_counts(docs), docs.count(), max_features)
+
+
+def _weighted(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """Terms out of vocabulary are dropped; the idf table has at most ``max_features`` rows, so it is broadcast."""
+    return counts.join(F.broadcast(idf), "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
 
 
 def weights(docs: DataFrame, idf: DataFrame) -> DataFrame:
-    """(id, term, w): unit-length weights; terms out of vocabulary are dropped before the norm."""
-    raw = term_counts(docs).join(F.broadcast(idf), "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    """(id, term, w): unit-length weights of docs (id, text)."""
+    raw = _weighted(term_counts(docs), idf)
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def transform(docs: DataFrame, idf: DataFrame) -> DataFrame:
-    """(id, t, w): sparse rows with hashed term ids. A row is as long as its document."""
-    raw = term_counts(docs).join(F.broadcast(idf), "term").select("id", F.xxhash64("term").alias("t"), ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+def sparse_rows(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """(id, t, w): unit-length sparse rows with hashed term ids. A row is as long as its document."""
+    raw = _weighted(counts, idf).select("id", F.xxhash64("term").alias("t"), "w")
     rows = raw.groupBy("id").agg(F.collect_list(F.struct("t", "w")).alias("p"))
     rows = rows.withColumn("norm", F.sqrt(F.aggregate("p", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])))
     return rows.select("id", F.transform("p", lambda x: x["t"]).alias("t"), F.transform("p", lambda x: x["w"] / F.col("norm")).alias("w"))
@@ -46,8 +56,9 @@ def transform(docs: DataFrame, idf: DataFrame) -> DataFrame:
 
 def lexical_top_k(queries: DataFrame, candidates: DataFrame, k: int, max_features: int = TEXT_FEATURES) -> DataFrame:
     """The k candidates (id, text) with the highest TF-IDF cosine for every query (id, text)."""
-    idf = fit(candidates, max_features)
-    return sparse_top_k(transform(queries, idf), transform(candidates, idf), k)
+    counts = cut(term_counts(candidates))  # read for the vocabulary and for the weights
+    idf = cut(idf_of(counts, candidates.count(), max_features))
+    return sparse_top_k(cut(sparse_rows(term_counts(queries), idf)), cut(sparse_rows(counts, idf)), k)
 
 
 def symbol_rows(docs: DataFrame, parts: list) -> DataFrame:

@@ -71,8 +71,8 @@ class Pipeline:
     @cached_property
     def symbol(self) -> DataFrame:
         joined = lambda c: F.concat_ws(" ", F.coalesce(c, F.array().cast("array<string>")))
-        q = tfidf.symbol_rows(self.queries, [joined("symbols"), "goal_text", joined("local_hypotheses"), "full_name"])
-        c = tfidf.symbol_rows(self.premises.where("split = 'train'"), ["full_name", "code", "file_path"])
+        q = cut(tfidf.symbol_rows(self.queries, [joined("symbols"), "goal_text", joined("local_hypotheses"), "full_name"]))
+        c = cut(tfidf.symbol_rows(self.premises.where("split = 'train'"), ["full_name", "code", "file_path"]))
         return cut(retrieval.sparse_top_k(q, c, self.k))
 
     @cached_property
@@ -144,40 +144,54 @@ class Pipeline:
 
     # fusion and evaluation
 
-    @cached_property
-    def sources(self) -> DataFrame:
-        """(source, query_id, item_id, rank, score) of all sources."""
-        parts = {
-            "dense": self.dense, "lexical": self.lexical, "symbol": self.symbol, "similar_ps": self.expanded(25, "rank"), "similar_ps_k50": self.expanded(50, "rank"),
-            "similar_ps_k100": self.expanded(100, "rank"), "similar_ps_k100_sim": self.expanded(100, "sim"), "similar_ps_k100_rank_sim": self.expanded(100, "rank_sim"),
-            "similar_theorem": self.theorem_premises(self.theorem_neighbors), "similar_theorem_llm": self.theorem_premises(self.theorem_neighbors_llm),
-            "pretrained_dense": self.pretrained_dense, "pretrained_similar_ps": self.pretrained_similar_ps,
+    def source(self, name: str) -> DataFrame:
+        """(query_id, item_id, rank, score) of one source, computed when first asked for."""
+        make = {
+            "dense": lambda: self.dense, "lexical": lambda: self.lexical, "symbol": lambda: self.symbol, "similar_ps": lambda: self.expanded(25, "rank"),
+            "similar_ps_k50": lambda: self.expanded(50, "rank"), "similar_ps_k100": lambda: self.expanded(100, "rank"), "similar_ps_k100_sim": lambda: self.expanded(100, "sim"),
+            "similar_ps_k100_rank_sim": lambda: self.expanded(100, "rank_sim"), "similar_theorem": lambda: self.theorem_premises(self.theorem_neighbors),
+            "similar_theorem_llm": lambda: self.theorem_premises(self.theorem_neighbors_llm), "pretrained_dense": lambda: self.pretrained_dense,
+            "pretrained_similar_ps": lambda: self.pretrained_similar_ps,
         }
-        each = [d.select(F.lit(n).alias("source"), "query_id", "item_id", "rank", "score") for n, d in parts.items()]
-        return cut(reduce(DataFrame.unionByName, each))
+        return make[name]()
+
+    def sources(self, names: list[str]) -> DataFrame:
+        """(source, query_id, item_id, rank, score) of the named sources."""
+        return reduce(DataFrame.unionByName, [self.source(n).select(F.lit(n).alias("source"), "query_id", "item_id", "rank", "score") for n in names])
 
-    def fused(self, names: list[str] | None = None) -> DataFrame:
+    @cached_property
+    def all_sources(self) -> DataFrame:
+        return cut(self.sources(SOURCES))
+
+    def fused(self, names: list[str] | None = None, sources: DataFrame | None = None) -> DataFrame:
+        """The named fusions (all: None), over the sources they weigh."""
         chosen = {n: w for n, w in fusion.PRESETS.items() if names is None or n in names}
-        return fusion.fuse(self.sources, fusion.presets_table(self.m.spark, chosen), self.k)
+        needed = sorted({s for w in chosen.values() for s, x in w.items() if x > 0})
+        return fusion.fuse(self.sources(needed) if sources is None else sources, fusion.presets_table(self.m.spark, chosen), self.k)
 
     def union(self, names: list[str]) -> DataFrame:
-        return fusion.rank_union(self.sources, names, self.k)
+        return fusion.rank_union(self.sources(names), names, self.k)
 
     @cached_property
     def all_rankings(self) -> DataFrame:
         """(method, query_id, item_id, rank): every source and fusion."""
         pick = lambda d, m: d.select(m.alias("method"), "query_id", "item_id", "rank")
-        fused = self.fused()
+        fused = self.fused(sources=self.all_sources)
         return cut(
-            pick(self.sources, F.col("source"))
+            pick(self.all_sources, F.col("source"))
             .unionByName(pick(self.union(["dense", "lexical"]), F.lit("dense_lexical_rrf")))
             .unionByName(pick(self.union(["dense", "lexical", "symbol", "similar_ps"]), F.lit("full_union_rrf")))
             .unionByName(pick(fused, F.concat(F.lit("weighted_rrf_"), F.col("preset"))))
         )
 
+    def ranking(self, method: str) -> DataFrame:
+        """(method, query_id, item_id, rank) of one source or weighted fusion."""
+        r = self.source(method) if method in SOURCES else self.fused([method.removeprefix("weighted_rrf_")])
+        return r.select(F.lit(method).alias("method"), "query_id", "item_id", "rank")
+
     def rows(self, method: str | None = None) -> DataFrame:
         """Metrics per method and eligible query; queries that a method ranks nothing for have their row too."""
-        r = self.all_rankings if method is None else self.all_rankings.where(F.col("method") == method)
+        r = self.all_rankings if method is None else self.ranking(method)
         q = self.queries.select(F.col("id").alias("query_id"))
         methods = [method] if method else ["dense_lexical_rrf", "full_union_rrf", *SOURCES, *[f"weighted_rrf_{n}" for n in fusion.PRESETS]]
         q = q.withColumn("method", F.explode(F.array(*[F.lit(x) for x in methods])))

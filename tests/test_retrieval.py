@@ -55,9 +55,9 @@ def tfidf_brute(train, query, k):
     return out
 
 
-@pytest.mark.parametrize("dense_pairs", [0, 50_000])
-def test_tfidf_against_brute_force(spark, monkeypatch, dense_pairs):
-    monkeypatch.setattr(retrieval, "DENSE_PAIRS", dense_pairs)
+@pytest.mark.parametrize("dense_share", [0, 0.1, 1])
+def test_tfidf_against_brute_force(spark, monkeypatch, dense_share):
+    monkeypatch.setattr(retrieval, "DENSE_SHARE", dense_share)
     r = random.Random(3)
     words = ["a", "b.c", "h₁", "(", "≤", "foo'", "bar", "baz", "qux", "zz"]
     text = lambda: " ".join(r.choice(words) for _ in range(r.randrange(0, 12)))
