@@ -5,7 +5,9 @@ its own bucket of each table and looks into that bucket and ``probes`` neighbour
 estimated success (the template of Lv et al. over the sorted distances to the slot borders). Candidates of all tables are
 merged, thinned by a 128-bit sign sketch whose bound lies four standard deviations beyond the threshold, and ranked by
 exact cosine. Equal vectors form one class; a list can hold no more than the k + 1 smallest ids of a class (ties go to the
-smaller id), so classes of any size stay exact without pairs inside them.
+smaller id), so classes of any size stay exact without pairs inside them. A bucket that holds very many rows (nearly equal
+vectors) is cut into blocks on both sides; every pair of blocks is a matrix product that keeps the best of each query, so
+neither its pairs nor its rows meet in one task.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from lemmary.functions.keys import clean_key
 from lemmary.operators.cut import cut
 
 SKETCH_BITS = 128
+#: Buckets of more rows are ranked in blocks of fixed size instead of pair by pair.
+LARGE_BUCKET, QUERY_BLOCK, INDEX_BLOCK = 1024, 2048, 4096
 
 
 def probe_template(hashes: int, probes: int) -> list[tuple[int, ...]]:
@@ -95,6 +99,41 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _large_buckets(query: DataFrame, index: DataFrame, sizes: DataFrame, classes: DataFrame, best: int, min_cosine: float) -> DataFrame:
+    """(a, b, cosine): for the queries of large buckets the ``best`` others of each block of a bucket, by cosine, then id."""
+    asked = cut(query.select("bucket", "c").join(sizes, "bucket"))
+    both = sizes.join(asked.groupBy("bucket").agg(F.count(F.lit(1)).alias("nq")), "bucket")
+    blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    both = cut(both.select("bucket", blocks("nq", QUERY_BLOCK).alias("qn"), blocks("n", INDEX_BLOCK).alias("xn")))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.select("bucket", "c").join(both, "bucket").select("bucket", "c", part("c", "qn").alias("qb"), every("xn").alias("xb"))
+    right = index.select("bucket", F.col("i_c").alias("c")).join(both, "bucket").select("bucket", "c", part("c", "xn").alias("xb"), every("qn").alias("qb"))
+    left = left.join(classes.select("c", "v"), "c").select("bucket", "qb", "xb", F.col("c").alias("q_c"), F.col("v").alias("q_v"))
+    right = right.join(classes.select("c", "cid", "v"), "c").select(F.col("bucket").alias("x_bucket"), F.col("qb").alias("x_qb"), F.col("xb").alias("x_xb"), F.col("c").alias("x_c"), "cid", F.col("v").alias("x_v"))
+
+    def rank(q: pa.Table, x: pa.Table) -> pa.Table:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
+        if not q.num_rows or not x.num_rows:
+            return schema.empty_table()
+        x = x.sort_by("cid")
+        qc, xc, y = q.column("q_c").to_numpy(), x.column("x_c").to_numpy(), _matrix(x.column("x_v"))
+        out = []
+        for at in range(0, q.num_rows, 256):
+            cos = np.round(_matrix(q.column("q_v").slice(at, 256)) @ y.T, 6)
+            cos[qc[at : at + 256, None] == xc] = -9
+            for r, row in enumerate(cos):
+                near = np.nonzero(row >= min_cosine)[0]
+                if len(near) > best:
+                    near = near[row[near] >= np.partition(row[near], len(near) - best)[len(near) - best]]
+                near = near[np.argsort(-row[near], kind="stable")][:best]
+                out.append(pa.table([np.full(len(near), qc[at + r]), xc[near], row[near]], schema=schema))
+        return pa.concat_tables(out)
+
+    groups = left.groupBy("bucket", "qb", "xb").cogroup(right.groupBy("x_bucket", "x_qb", "x_xb"))
+    return groups.applyInArrow(rank, "a long, b long, cosine double")
+
+
 def nearest_lists(vectors: DataFrame, k: int = 10, min_cosine: float = 0.8, dim: int = 64, hashes: int | None = None, width: float | None = None, tables: int = 8, probes: int = 16, seed: int = 7) -> DataFrame:
     """(kind, id, other, cosine, rank): of every entity the k others of its kind with the highest cosine, from ``min_cosine`` on.
 
@@ -130,13 +169,16 @@ def nearest_lists(vectors: DataFrame, k: int = 10, min_cosine: float = 0.8, dim:
 
     schema = "bucket long, c long, s0 long, s1 long"
     source = classes.select("kind", "c", "v")
-    index = source.mapInArrow(lambda it: emit(it, False), schema).select("bucket", *[F.col(x).alias(f"i_{x}") for x in ("c", "s0", "s1")])
+    index = cut(source.mapInArrow(lambda it: emit(it, False), schema).select("bucket", *[F.col(x).alias(f"i_{x}") for x in ("c", "s0", "s1")]))
     query = source.mapInArrow(lambda it: emit(it, True), schema)
+    sizes = cut(index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE_BUCKET))
+    has_large = not sizes.isEmpty()
+    small = index.join(sizes.select("bucket"), "bucket", "left_anti") if has_large else index
     p = math.acos(min_cosine) / math.pi
     far = math.ceil(SKETCH_BITS * p + 4 * math.sqrt(SKETCH_BITS * p * (1 - p)))
     apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("i_s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("i_s1")))
     found = (
-        query.join(index.hint("shuffle_hash"), "bucket")
+        query.join(small.hint("shuffle_hash"), "bucket")
         .where((F.col("c") != F.col("i_c")) & (apart <= far))
         .select(F.least("c", "i_c").alias("a"), F.greatest("c", "i_c").alias("b"))
         .distinct()
@@ -156,7 +198,11 @@ def nearest_lists(vectors: DataFrame, k: int = 10, min_cosine: float = 0.8, dim:
     by_class = Window.partitionBy("c").orderBy("id")
     first = cut(members.withColumn("place", F.row_number().over(by_class)).where(F.col("place") <= k + 1))
     own = first.groupBy("c").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(1.0).alias("cosine"))
-    sides = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).unionByName(own)
+    turned = lambda d: d.unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    sides = turned(close)
+    if has_large:
+        sides = sides.unionByName(_large_buckets(query, index, sizes, classes, k + 1, min_cosine)).dropDuplicates(["a", "b"])
+    sides = sides.unionByName(own)
     # per class: the k + 1 best other entities, then per member without itself
     best = Window.partitionBy("a").orderBy(F.desc("cosine"), F.asc("other"))
     answers = first.select(F.col("c").alias("b"), F.col("id").alias("other"))

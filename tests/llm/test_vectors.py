@@ -59,3 +59,13 @@ def test_empty(spark):
 def test_template_orders_by_expected_score():
     t = vectors.probe_template(8, 16)
     assert t[0] == (1,) and len(set(t)) == 16 and all(17 - x not in c for c in t for x in c)
+
+
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    for name, size in (("LARGE_BUCKET", 40), ("QUERY_BLOCK", 64), ("INDEX_BLOCK", 50)):
+        monkeypatch.setattr(vectors, name, size)
+    v = np.concatenate([make(200, 3, 8), make(400, 4, 1, 0.004)])
+    data = [("A", f"e{i:05}", i, [float(x) for x in v[i]], 1, 1) for i in range(len(v))]
+    got = {tuple(r) for r in vectors.list_pairs(vectors.nearest_lists(spark.createDataFrame(data, SCHEMA))).collect()}
+    want = brute(data)
+    assert len(got & want) / len(want) > 0.99 and len(got & want) / len(got) > 0.99
