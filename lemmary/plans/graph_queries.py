@@ -11,7 +11,7 @@ from lemmary.functions.keys import clean_values
 from lemmary.operators import enrich, export, fusion, guidance, metrics, profiles, report, retrieval, tfidf, theorem
 from lemmary.plans.graph_sql import ORACLE  # noqa: F401
 from lemmary.plans.model import Model
-from lemmary.plans.pipeline import Pipeline
+from lemmary.plans.pipeline import SOURCES, Pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _LAST: dict[tuple[str, str], Pipeline] = {}
@@ -331,9 +331,48 @@ def metric_delta(p: Pipeline) -> DataFrame:
     return metrics.metric_delta(metrics.summarize(p.rows()), "dense", _DELTAS)
 
 
+@query
+def candidate_rankings(p: Pipeline) -> DataFrame:
+    """One row per eligible state: its ranking by every source as one list, and its gold premises."""
+    lists = p.all_sources.groupBy("query_id", "source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"]), ",").alias("ids"))
+    wide = lists.groupBy("query_id").pivot("source", sorted(SOURCES)).agg(F.first("ids"))
+    of = p.queries.select(F.col("id").alias("query_id"), "theorem_id", "full_name", "split")
+    return of.join(wide, "query_id", "left").join(gold_by_query(p), "query_id", "left").fillna("", SOURCES)
+
+
+@query
+def marginal_hits(p: Pipeline) -> DataFrame:
+    """(source, hits, only_here): gold premises a source finds in its first 100, and those that no other source finds."""
+    found = p.all_sources.join(p.gold, ["query_id", "item_id"], "left_semi").groupBy("query_id", "item_id").agg(F.collect_set("source").alias("s"))
+    each = found.select(F.explode("s").alias("source"), (F.size("s") == 1).cast("long").alias("lone"))
+    return each.groupBy("source").agg(F.count(F.lit(1)).alias("hits"), F.sum("lone").alias("only_here"))
+
+
+@query
+def split_audit(p: Pipeline) -> DataFrame:
+    """(split, n_files, files_in_train, n_theorems, theorems_in_train, gold_edges, gold_in_train_pool) of val and test."""
+    t = p.m.theorems().where("split IS NOT NULL")
+    own = t.where("split != 'train'")
+    train_files = t.where("split = 'train' AND file_path IS NOT NULL").select("file_path").distinct()
+    seen = own.where("file_path IS NOT NULL").select("split", "file_path").distinct().join(train_files.withColumn("hit", F.lit(1)), "file_path", "left")
+    files = seen.groupBy("split").agg(F.count(F.lit(1)).alias("n_files"), F.count("hit").alias("files_in_train"))
+    ids = own.select("split", "id").join(t.where("split = 'train'").select("id", F.lit(1).alias("hit")), "id", "left").groupBy("split").agg(F.count(F.lit(1)).alias("n_theorems"), F.count("hit").alias("theorems_in_train"))
+    edges = p.m.edges().join(p.states.where("split != 'train'").select(F.col("id").alias("proof_state_id"), "split"), "proof_state_id")
+    gold = edges.join(p.m.pool().select(F.col("id").alias("premise_id"), F.lit(1).alias("hit")), "premise_id", "left").groupBy("split").agg(F.count(F.lit(1)).alias("gold_edges"), F.count("hit").alias("gold_in_train_pool"))
+    return files.join(ids, "split").join(gold, "split")
+
+
 # theorem to theorem
 
 
+@query
+def theorem_rows(p: Pipeline) -> DataFrame:
+    """The graded neighbours of every query theorem: ranking, strategy and difficulty columns side by side."""
+    near = p.theorem_neighbors.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"]), ",").alias("neighbors"))
+    rows = p.theorem_rows(p.theorem_neighbors)
+    return rows.join(_labels(p, p.theorem_neighbors), "query_id").join(_difficulty(p, p.theorem_neighbors), "query_id").join(near, "query_id", "left").fillna("", ["neighbors"])
+
+
 def _labels(p: Pipeline, neighbors: DataFrame) -> DataFrame:
     return theorem.strategy_rows(p.theorem_queries, neighbors, p.m.strategies_by_theorem("train"), p.m.strategies_by_theorem(p.split))
 

@@ -346,6 +346,25 @@ ORACLE: dict[str, str] = {
     "summarize_rankings": compose(_summary("method"), _LEX),
     "t1_metrics": compose(_summary("method"), _ALL),
     "metric_delta": compose("SELECT l.method, l.metric, l.value, round(l.value - b.value, 6) AS delta FROM long l JOIN long b ON b.metric = l.metric AND b.method = 'dense'", _DELTA),
+    "candidate_rankings": compose(
+        "SELECT qs.id AS query_id, theorem_id, full_name, split, "
+        + ", ".join(f"coalesce(string_agg(item_id, ',' ORDER BY rank) FILTER (source = '{s}'), '') AS {s}" for s in _SOURCE_VIEWS)
+        + ", (SELECT string_agg(item_id, ',' ORDER BY item_id) FROM gold WHERE gold.query_id = qs.id) AS gold FROM qs LEFT JOIN sources ON sources.query_id = qs.id GROUP BY qs.id, theorem_id, full_name, split"
+    ),
+    "marginal_hits": compose(
+        """SELECT source, count(*) AS hits, CAST(count(*) FILTER (n = 1) AS bigint) AS only_here FROM (SELECT source, count(*) OVER (PARTITION BY query_id, item_id) AS n
+ FROM sources SEMI JOIN gold USING (query_id, item_id)) GROUP BY source"""
+    ),
+    "split_audit": compose(
+        """SELECT * FROM (SELECT split, count(DISTINCT file_path) AS n_files, count(DISTINCT file_path) FILTER (file_path IN (SELECT file_path FROM th WHERE split = 'train' AND file_path IS NOT NULL)) AS files_in_train,
+ count(*) AS n_theorems, count(*) FILTER (id IN (SELECT id FROM th WHERE split = 'train')) AS theorems_in_train FROM th WHERE split != 'train' GROUP BY split)
+ JOIN (SELECT split, count(*) AS gold_edges, count(*) FILTER (premise_id IN (SELECT id FROM trainpool)) AS gold_in_train_pool FROM ed JOIN ps ON ps.id = proof_state_id WHERE split != 'train' GROUP BY split) USING (split)"""
+    ),
+    "theorem_rows": compose(
+        """SELECT mrows.*, srows.* EXCLUDE (query_id), drows.* EXCLUDE (query_id), coalesce((SELECT string_agg(item_id, ',' ORDER BY rank) FROM tnear WHERE tnear.query_id = mrows.query_id), '') AS neighbors
+ FROM mrows JOIN srows ON srows.query_id = mrows.query_id JOIN drows ON drows.query_id = mrows.query_id""",
+        _TQ | _STRAT | _DIFF | _rows("tprem", "tq", "tgold", "trainpool"),
+    ),
     "strategy_rows": compose("SELECT * FROM srows", _STRAT),
     "difficulty_rows": compose("SELECT * FROM drows", _DIFF),
     "t2_strategy_summary": compose(
