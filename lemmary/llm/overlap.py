@@ -5,8 +5,8 @@ A text is the set of its 5-character substrings. Two texts with |A∩B| / |A∪B
 evaluation text (5 characters each) at least one occurs in the training text. Counting k in lost segments instead of edits
 keeps segments long where an edit bound can't: a pair at 0.75 may be a third of its length apart, which would leave
 segments of two characters. The k + 1 rarest segments are taken on either side in one order (training substrings at other
-positions than their own k + 1 rarest can't be the first common one), joined, bounded by length and position in that order,
-and the survivors are verified on whole texts: banded dynamic programming gives the edit distance, the exact sets decide.
+positions than their own k + 1 rarest can't be the first common one) and joined under a length bound; how many of them a pair
+has in common bounds its whole overlap, and the survivors are verified on whole texts: banded dynamic programming gives the edit distance, the exact sets decide.
 """
 
 from __future__ import annotations
@@ -144,7 +144,7 @@ def segment_join(texts: DataFrame, threshold: float = 0.75, size: int = 5) -> Da
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                hs, pos, ns, which = [], [], [], []
+                hs, ns, which = [], [], []
                 for r, h in enumerate(segment_hashes(part.column("text").to_pylist(), size)):
                     n = len(h)
                     if not n:
@@ -152,24 +152,25 @@ def segment_join(texts: DataFrame, threshold: float = 0.75, size: int = 5) -> Da
                     p = n - math.ceil(threshold * n - _EPS) + 1
                     f = freq[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
                     hs.append(h[np.lexsort((h, f))[:p]])
-                    pos.append(np.arange(p, dtype=np.int32))
                     ns.append(np.full(p, n, np.int32))
                     which.append(np.full(p, r, np.int64))
                 if not hs:
                     continue
                 take = pa.array(np.concatenate(which))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(pos)), pa.array(np.concatenate(ns)), *[part.column(c).take(take) for c in ("k", "in_train", "in_eval")]],
-                    names=["h", "pos", "n", "k", "in_train", "in_eval"],
+                    [pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ns)), *[part.column(c).take(take) for c in ("k", "in_train", "in_eval")]],
+                    names=["h", "n", "k", "in_train", "in_eval"],
                 )
 
-    segs = cut(texts.mapInArrow(prefixes, "h long, pos int, n int, k binary, in_train boolean, in_eval boolean"))
-    e = segs.where("in_eval").select("h", F.col("k").alias("k_eval"), F.col("n").alias("ne"), F.col("pos").alias("pe"))
-    t = segs.where("in_train").select("h", F.col("k").alias("k_train"), F.col("n").alias("nt"), F.col("pos").alias("pt"))
+    segs = cut(texts.mapInArrow(prefixes, "h long, n int, k binary, in_train boolean, in_eval boolean"))
+    e = segs.where("in_eval").select("h", F.col("k").alias("k_eval"), F.col("n").alias("ne"))
+    t = segs.where("in_train").select("h", F.col("k").alias("k_train"), F.col("n").alias("nt"))
     need = F.ceil((F.col("ne") + F.col("nt")) * (threshold / (1 + threshold)) - F.lit(_EPS))
-    possible = (F.least(F.col("ne") - F.col("pe"), F.col("nt") - F.col("pt")) >= need) & (F.least("ne", "nt") >= F.greatest("ne", "nt") * threshold - _EPS)
-    # a pair above the threshold shares further segments of its prefixes in step with what it may lose; one is enough here
-    candidates = e.join(t, "h").where(possible & (F.col("k_eval") != F.col("k_train"))).select("k_eval", "k_train").distinct()
+    close = F.least("ne", "nt") >= F.greatest("ne", "nt") * threshold - _EPS
+    # segments that two texts share beyond the counted ones lie behind one of the two prefixes
+    behind = lambda n: F.ceil(F.col(n) * threshold - F.lit(_EPS)) - 1
+    shared = e.join(t, "h").where(close & (F.col("k_eval") != F.col("k_train"))).groupBy("k_eval", "k_train", "ne", "nt").agg(F.count(F.lit(1)).alias("c"))
+    candidates = shared.where(F.col("c") >= need - F.greatest(behind("ne"), behind("nt"))).select("k_eval", "k_train")
     both = candidates.join(texts.select(F.col("k").alias("k_eval"), F.col("text").alias("te")), "k_eval").join(texts.select(F.col("k").alias("k_train"), F.col("text").alias("tt")), "k_train")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
