@@ -52,11 +52,12 @@ def pack(sizes: DataFrame, budgets: DataFrame, containers_per_group: int = 2048,
     pieces being numbered alike.
     """
     b = [(r["budget"], int(r["capacity_tokens"])) for r in budgets.where("budget IS NOT NULL AND capacity_tokens > 0").distinct().collect()]
-    spark, id_type = sizes.sparkSession, sizes.schema["doc_id"].dataType.simpleString()
+    id_type = sizes.schema["doc_id"].dataType.simpleString()
     docs = cut(sizes.select("doc_id", F.col("n_tokens").cast("long").alias("n")).where("n > 0"))
     total = docs.agg(F.sum("n")).first()[0] or 0
-    caps = spark.createDataFrame([(n, c, max(1, round(total / (c * containers_per_group)))) for n, c in b], "budget string, capacity long, groups long")
-    each = docs.join(F.broadcast(caps), F.lit(True))  # one row per budget of a fixed, tiny table
+    caps = [F.struct(F.lit(n).alias("budget"), F.lit(c).cast("long").alias("capacity"), F.lit(max(1, round(total / (c * containers_per_group)))).cast("long").alias("groups")) for n, c in b]
+    empty = F.array().cast("array<struct<budget:string,capacity:bigint,groups:bigint>>")
+    each = docs.select("doc_id", "n", F.inline(F.array(*caps) if caps else empty))
     full = each.where("n >= capacity").select(
         "budget", "doc_id", F.posexplode(F.sequence(F.lit(1).cast("long"), F.floor(F.col("n") / F.col("capacity")))).alias("piece", "x"), F.col("capacity").alias("n_tokens")
     )
