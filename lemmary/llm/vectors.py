@@ -134,7 +134,7 @@ def _large_buckets(query: DataFrame, index: DataFrame, sizes: DataFrame, classes
     return groups.applyInArrow(rank, "a long, b long, cosine double")
 
 
-def nearest_lists(vectors: DataFrame, k: int = 10, min_cosine: float = 0.8, dim: int = 64, hashes: int | None = None, width: float | None = None, tables: int = 8, probes: int = 16, seed: int = 7) -> DataFrame:
+def nearest_lists(vectors: DataFrame, k: int = 10, min_cosine: float = 0.8, dim: int = 64, hashes: int | None = None, width: float | None = None, tables: int = 8, probes: int = 28, seed: int = 7) -> DataFrame:
     """(kind, id, other, cosine, rank): of every entity the k others of its kind with the highest cosine, from ``min_cosine`` on.
 
     Cosines are doubles rounded to 6 decimals; ties go to the smaller id. Null vectors, vectors of another length and zero
