@@ -130,7 +130,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                 )
 
     counted = docs.select("text").mapInArrow(run, "kind string, h long, a long, b long, word string, ctx long")
-    return counted.groupBy("kind", "h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("word").alias("word"), F.max("ctx").alias("ctx"))
+    return counted.groupBy("kind", "h", "word", "ctx").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 def length_limits(docs: DataFrame, min_texts: int = 8, times: float = 8.0) -> DataFrame:
