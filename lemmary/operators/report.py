@@ -42,3 +42,15 @@ def markdown_table(df: DataFrame, columns: list[str]) -> list[str]:
     fmt = lambda v: f"{v:.4f}" if isinstance(v, float) else str("" if v is None else v).replace("|", "\\|").replace("\n", " ")
     rows = [[fmt(r[c]) for c in columns] for r in df.select(*columns).collect()]
     return ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *["| " + " | ".join(r) + " |" for r in rows]]
+
+
+def all_positive(exact: float | None, recall: float | None, coverage: float | None) -> str:
+    """The all-positive recall with four decimals; without it, recall times coverage marked with '~'; '' if neither is known."""
+    if exact is not None:
+        return f"{exact:.4f}"
+    return f"~{recall * coverage:.4f}" if recall is not None and coverage is not None else ""
+
+
+def signed(value: float | None, base: float | None) -> str:
+    """The difference with its sign and four decimals, '' if either is unknown."""
+    return f"{value - base:+.4f}" if value is not None and base is not None else ""

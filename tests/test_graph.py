@@ -119,3 +119,8 @@ def test_report(spark):
 def test_json_round_trip_of_bundles(spark):
     d = spark.createDataFrame([("q", [("p", 1.5)])], "id string, s array<struct<id:string,score:double>>")
     assert json.loads(d.select(F.to_json(F.struct("*"))).first()[0]) == {"id": "q", "s": [{"id": "p", "score": 1.5}]}
+
+
+def test_report_numbers():
+    assert report.all_positive(0.5, 0.1, 0.1) == "0.5000" and report.all_positive(None, 0.5, 0.5) == "~0.2500" and report.all_positive(None, 0.5, None) == ""
+    assert report.signed(0.5, 0.25) == "+0.2500" and report.signed(0.1, 0.25) == "-0.1500" and report.signed(None, 1.0) == ""
