@@ -8,14 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the session names in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """Use the folder that the session names in spark.checkpoint.dir.
+
+    Where none is set, a temporary folder serves local masters only: on a cluster it would lie on one machine, so that
+    is an error.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lemmary-ckpt"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        folder = tempfile.mkdtemp(prefix="lemmary-ckpt")
+    sc.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared checkpoint folder; later plans start from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(*cuts: DataFrame) -> None:
+    """Delete the files of cuts. Only for cuts whose every dependent has been cut itself, so that no lineage leads back."""
+    for df in cuts:
+        path = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if path.isDefined():
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path.get())
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)

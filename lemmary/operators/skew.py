@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from lemmary.operators.cut import cut
 
+#: Bounds of the number of cells that salted aggregation aims at; the upper one bounds the broadcast table of heavy keys.
+LEAST_CELLS, MOST_CELLS = 256, 65_536
 
-def key_counts(df: DataFrame, key: str) -> DataFrame:
+
+def key_counts(df: DataFrame, key: str, weight: Column | None = None) -> DataFrame:
     """(key, n_rows) of the non-null keys. Counts are combined before the shuffle, so hot keys cost nothing more."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n_rows"))
 
 
 def heavy_keys(counts: DataFrame, share: float) -> DataFrame:
@@ -19,23 +22,30 @@ def heavy_keys(counts: DataFrame, share: float) -> DataFrame:
     return counts.where(F.col("n_rows") / F.lit(total) >= F.lit(share))
 
 
-def salted_aggregate(
-    df: DataFrame, key: str, spread: list[Column], partial: list[Column], merged: list[Column], share: float = 0.001, rows_per_salt: int = 50_000, max_salts: int = 1024
-) -> DataFrame:
-    """Aggregate per ``key`` in two stages, heavy keys split over salts.
+def salts(counts: DataFrame, cells: int | None = None) -> DataFrame:
+    """(key, n_rows, n_salts) of the heavy keys: those with more than one of ``cells`` equal parts of all rows.
+
+    A key has as many salts as it fills parts, whatever the size of the table. ``cells`` is four times the number of
+    shuffle partitions within fixed bounds; fewer than ``cells`` keys can be heavy, which bounds the table.
+    """
+    if cells is None:
+        cells = min(MOST_CELLS, max(LEAST_CELLS, 4 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    total = counts.agg(F.sum("n_rows")).first()[0] or 0
+    return counts.where(F.col("n_rows") * F.lit(cells) > F.lit(total)).withColumn("n_salts", F.ceil(F.col("n_rows") * F.lit(cells) / F.lit(total)).cast("int"))
+
+
+def salted_aggregate(df: DataFrame, key: str, spread: list[Column], partial: list[Column], merged: list[Column], weight: Column | None = None, cells: int | None = None) -> DataFrame:
+    """Aggregate per ``key`` in two stages, the rows of heavy keys (:func:`salts`) split over salts.
 
-    Keys with at least ``share`` of the rows (at most ``1 / share`` of them, broadcast) get ``n_rows / rows_per_salt``
-    salts; a row's salt is the hash of ``spread``, so it is as even as a random one but the same when a lost task is run
-    again, and equal ``spread`` values meet under one salt: distinct counts of ``spread`` add up over salts. ``partial``
-    aggregates per (key, salt), ``merged`` combines those columns per key. All other keys have the one salt 0.
+    A row's salt is the hash of ``spread``: as even as a random one, but the same when a lost task is run again, and equal
+    ``spread`` values meet under one salt, so distinct counts of ``spread`` add up over salts. ``partial`` aggregates per
+    (key, salt), ``merged`` combines those columns per key. Light keys have the one salt 0. ``weight``: how many rows one
+    row of ``df`` stands for.
 
     Null keys are left out. An empty table gives no rows. Other columns of ``df`` are ignored, whatever their names.
     """
     rows = df.where(F.col(key).isNotNull())
-    counts = cut(key_counts(rows, key))
-    heavy = heavy_keys(counts, share).select(
-        F.col(key).alias("__key"), F.least(F.lit(max_salts), F.ceil(F.col("n_rows") / F.lit(rows_per_salt))).cast("int").alias("__salts")
-    )
+    heavy = salts(cut(key_counts(rows, key, weight)), cells).select(F.col(key).alias("__key"), F.col("n_salts").alias("__salts"))
     salted = rows.join(F.broadcast(heavy), rows[key] == F.col("__key"), "left")
     salt = F.when(F.col("__salts") > 1, F.pmod(F.xxhash64(*spread), F.col("__salts")).cast("int")).otherwise(F.lit(0))
     return salted.withColumn("__salt", salt).groupBy(key, "__salt").agg(*partial).groupBy(key).agg(*merged)
@@ -59,5 +69,3 @@ def with_key_counts(df: DataFrame, key: str, spread: list[Column], name: str, sh
         .withColumn(name, F.coalesce("__hn", "__ln"))
         .drop("__hk", "__hn", "__at", "__lk", "__ln")
     )
-
-
