@@ -1,12 +1,16 @@
-"""Problem 5: texts of val and test that occur again in train, the same or nearly so, by a segment join.
-
-A text is the set of its 5-character substrings. Two texts with |A∩B| / |A∪B| >= t differ so that at most
-``k = n - ceil(t * n)`` of the n distinct substrings of either are absent from the other: of any k + 1 segments of an
-evaluation text (5 characters each) at least one occurs in the training text. Counting k in lost segments instead of edits
-keeps segments long where an edit bound can't: a pair at 0.75 may be a third of its length apart, which would leave
-segments of two characters. The k + 1 rarest segments are taken on either side in one order (training substrings at other
-positions than their own k + 1 rarest can't be the first common one) and joined under a length bound; how many of them a pair
-has in common bounds its whole overlap, and the survivors are verified on whole texts: banded dynamic programming gives the edit distance, the exact sets decide.
+"""Problem 5: texts of val and test that occur again in train, the same or nearly so, by an edit-distance segment join.
+
+An evaluation text is cut into consecutive segments. Edits that leave two texts at a Jaccard similarity of t or more (over
+substrings of 5 characters) break at most k segments (:func:`allowed_breaks`), so of any k + 1 segments at least one stands
+unbroken in the training text, at a position that can differ by no more than the characters inserted or left out before it.
+The k + 1 segments with the rarest substrings are matched with all substrings of the training texts at allowed positions,
+and banded dynamic programming gives the edit distance of what matches.
+
+The cases are defined by substring sets, and two sets can be alike although no edits connect the texts: blocks moved further
+than edits could, or repetitions in another order. Such pairs come from an exact path beside it: two sets at t share one of
+the k + 1 rarest substrings of either, k being the number of substrings a text may lose. Both paths are one join under one
+pair of sound bounds, on sizes and on the parity of hashed substrings (two sets differ in at least as many elements as their
+parities in bits); the exact sets decide at the end. Every pair tells its path, so what the segment join finds alone is known.
 """
 
 from __future__ import annotations
@@ -21,11 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lemmary.functions.keys import clean_key
-from lemmary.operators.cut import cut
+from lemmary.operators.cut import cut, release
 
-#: Size of the table of segment counts, which is broadcast: 2**20 counts, however large the corpus.
-COUNT_BITS = 20
+#: Tables that are broadcast, of fixed size however large the corpus: 2**20 counts, 2**26 bits.
+COUNT_BITS, SEEN_BITS = 20, 26
+#: Bits of the parity sketch of a text's set of substrings.
+PARITY_BITS = 512
+_SKETCH = [f"s{i}" for i in range(PARITY_BITS // 64)]
 _EPS = 1e-9
+_REST = np.uint64(0xD6E8FEB86659FD93)
 
 
 def normal_text(c: Column | str) -> Column:
@@ -34,25 +42,39 @@ def normal_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[\s\x1c-\x1f\x85\p{Z}]+", " "))
 
 
-def segment_hashes(texts: list[str], size: int) -> list[np.ndarray]:
-    """The distinct 64-bit hashes of all substrings of ``size`` characters of each text, sorted."""
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0x94D049BB133111EB)
+
+
+def substring_hashes(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, position) of every substring of ``size`` characters of the texts, in order."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    ends = np.cumsum([len(t) for t in texts])
-    if len(codes) < size:
-        return [np.zeros(0, np.uint64) for _ in texts]
+    lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    n = np.maximum(lengths - size + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), n)
+    pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(np.cumsum(lengths) - lengths, n) + pos
+    h = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
-        h = np.zeros(len(codes) - size + 1, np.uint64)
         for i in range(size):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : len(codes) - size + 1 + i] + np.uint64(1)
+            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[at + i] + np.uint64(1)
             h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0x94D049BB133111EB)
-    out, start = [], 0
-    for end in ends:
-        out.append(np.unique(h[start : max(start, end - size + 1)]))
-        start = end
-    return out
+        return _mix(h), owner, pos
+
+
+def allowed_breaks(n: np.ndarray, threshold: float, size: int) -> np.ndarray:
+    """How many consecutive segments of 2 * size - 1 characters edits can break in a text of ``n`` substrings that stays at ``threshold``.
+
+    A text may lose (1 - threshold) * n substrings, those it gains counting ``threshold`` each. Leaving out b characters
+    inside costs b + (size - 1) * (1 + threshold) and breaks one segment for b = 1, two for b = 2, which is the most that a
+    cost buys (other edits and larger b break fewer for theirs); at either end leaving out one costs 1 and breaks one.
+    """
+    room = np.floor((1 - threshold) * n + _EPS)
+    one = 1 + (size - 1) * (1 + threshold)
+    inside = np.maximum(room - 2, 0)
+    return (np.minimum(room, 2) + 2 * np.floor(inside / (one + 1)) + (inside % (one + 1) >= one)).astype(np.int64)
 
 
 def banded_distances(pairs: list[tuple[str, str]], band: list[int]) -> list[int | None]:
@@ -112,15 +134,15 @@ def text_classes(rows: DataFrame, id_col: str, text_col: str, split_col: str, mi
     return members, cut(texts)
 
 
-def segment_counts(texts: DataFrame, size: int) -> np.ndarray:
-    """How many texts hold a segment of each of 2**COUNT_BITS hash ranges; summed per task before the shuffle."""
+def substring_counts(texts: DataFrame, size: int) -> np.ndarray:
+    """How often substrings of each of 2**COUNT_BITS hash ranges occur; summed per task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNT_BITS, np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                hs = np.concatenate([*segment_hashes(b.column("text").slice(at, 500).to_pylist(), size), np.zeros(0, np.uint64)])
-                total += np.bincount((hs >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+            for at in range(0, b.num_rows, 2000):
+                h = substring_hashes(b.column("text").slice(at, 2000).to_pylist(), size)[0]
+                total += np.bincount((h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
@@ -130,80 +152,155 @@ def segment_counts(texts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def _seen(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
+
+
+def _is_set(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = _seen(h)
+    return (words[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def seen_bits(keys: DataFrame) -> np.ndarray:
+    """The table of 2**SEEN_BITS bits, packed, one set for the range of each ``h``; combined per task before the shuffle."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << SEEN_BITS, bool)
+        for b in batches:
+            bits[_seen(b.column("h").to_numpy().view(np.uint64))] = True
+        words = np.packbits(bits, bitorder="little").view(np.int64)
+        at = np.nonzero(words)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(words[at])], names=["at", "word"])
+
+    found = keys.select("h").mapInArrow(mark, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
+    words = np.zeros(1 << (SEEN_BITS - 6), np.int64)
+    words[found["at"].to_numpy(np.int64)] = found["word"].to_numpy(np.int64)
+    return words
+
+
+def join_keys(texts: list[str], freq: np.ndarray, threshold: float, size: int, seen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, position, set size per text, parity sketch per text).
+
+    Keys with a position are segments: the k + 1 rarest of the cut or, with ``seen`` (the bits of the evaluation side's
+    keys), all substrings of segment length that may be one. Keys with position -1 are rarest substrings of the set.
+    """
+    h, owner, pos = substring_hashes(texts, size)
+    f = freq[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+    o = np.lexsort((h, f, owner))
+    sh, so = h[o], owner[o]
+    first = np.ones(len(sh), bool)
+    first[1:] = (sh[1:] != sh[:-1]) | (so[1:] != so[:-1])
+    sh, so = sh[first], so[first]
+    n = np.bincount(so, minlength=len(texts))
+    bits = np.bincount(so * PARITY_BITS + (sh & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=len(texts) * PARITY_BITS) & 1
+    sketch = np.packbits(bits.reshape(len(texts), PARITY_BITS).astype(bool), axis=1).view(np.int64)
+    rank = np.arange(len(sh)) - np.repeat(np.cumsum(n) - n, n)
+    rare = rank <= (n - np.ceil(threshold * n - _EPS))[so]
+    rare_h, rare_o = sh[rare] ^ _REST, so[rare]
+    # a segment is two substrings one after the other
+    width = 2 * size - 1
+    whole = np.nonzero((owner[: len(owner) - size + 1] == owner[size - 1 :]) if len(owner) >= size else np.zeros(0, bool))[0]
+    with np.errstate(over="ignore"):
+        seg_h = _mix(h[whole] * np.uint64(0x9E3779B97F4A7C15) + h[whole + size - 1]) if len(whole) else np.zeros(0, np.uint64)
+    seg_o, seg_p = owner[whole], pos[whole]
+    if seen is None:
+        lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+        slots = lengths // width
+        slot_o = np.repeat(np.arange(len(texts)), slots)
+        j = np.arange(slots.sum()) - np.repeat(np.cumsum(slots) - slots, slots)
+        start = j * lengths[slot_o] // np.maximum(slots[slot_o], 1)
+        count = np.maximum(lengths - width + 1, 0)
+        cut_at = (np.cumsum(count) - count)[slot_o] + start
+        rarity = np.full(len(cut_at), np.iinfo(np.int64).max)
+        for i in range(size):
+            rarity = np.minimum(rarity, f[whole[cut_at] + i])
+        o = np.lexsort((start, rarity, slot_o))
+        chosen = cut_at[o[(np.arange(len(o)) - np.repeat(np.cumsum(slots) - slots, slots)) <= allowed_breaks(n, threshold, size)[slot_o]]]
+        seg_h, seg_o, seg_p = seg_h[chosen], seg_o[chosen], seg_p[chosen]
+    else:
+        keep = _is_set(seen, seg_h)
+        seg_h, seg_o, seg_p = seg_h[keep], seg_o[keep], seg_p[keep]
+        keep = _is_set(seen, rare_h)
+        rare_h, rare_o = rare_h[keep], rare_o[keep]
+    return np.concatenate([seg_h, rare_h]), np.concatenate([seg_o, rare_o]), np.concatenate([seg_p, np.full(len(rare_h), -1)]).astype(np.int32), n.astype(np.int32), sketch
+
+
 def segment_join(texts: DataFrame, threshold: float = 0.75, size: int = 5) -> DataFrame:
-    """(k_eval, k_train, jaccard, edits) of all pairs of different texts, one in train and one in val or test, from ``threshold`` on.
+    """(k_eval, k_train, path, jaccard, edits) of all pairs of different texts, one in train and one in val or test, from ``threshold`` on.
 
-    ``edits`` is the edit distance where it is at most a quarter of the longer text, else null. A segment that is common
-    to very many first positions is one skewed join key, which adaptive execution splits.
+    ``path``: 'edits' (found by the segment join, the banded distance is within a quarter of the longer text), 'segments'
+    (found by it, but further apart), 'sets' (found by the exact path alone). ``edits`` is the distance where it is within
+    that band, else null. A key that very many texts have is one skewed join key, which adaptive execution splits.
     """
     spark = texts.sparkSession
-    counts = spark.sparkContext.broadcast(segment_counts(texts, size).astype(np.int32))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq = counts.value
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                hs, ns, which = [], [], []
-                for r, h in enumerate(segment_hashes(part.column("text").to_pylist(), size)):
-                    n = len(h)
-                    if not n:
-                        continue
-                    p = n - math.ceil(threshold * n - _EPS) + 1
-                    f = freq[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-                    hs.append(h[np.lexsort((h, f))[:p]])
-                    ns.append(np.full(p, n, np.int32))
-                    which.append(np.full(p, r, np.int64))
-                if not hs:
-                    continue
-                take = pa.array(np.concatenate(which))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ns)), *[part.column(c).take(take) for c in ("k", "in_train", "in_eval")]],
-                    names=["h", "n", "k", "in_train", "in_eval"],
-                )
-
-    segs = cut(texts.mapInArrow(prefixes, "h long, n int, k binary, in_train boolean, in_eval boolean"))
-    e = segs.where("in_eval").select("h", F.col("k").alias("k_eval"), F.col("n").alias("ne"))
-    t = segs.where("in_train").select("h", F.col("k").alias("k_train"), F.col("n").alias("nt"))
-    need = F.ceil((F.col("ne") + F.col("nt")) * (threshold / (1 + threshold)) - F.lit(_EPS))
-    close = F.least("ne", "nt") >= F.greatest("ne", "nt") * threshold - _EPS
-    # segments that two texts share beyond the counted ones lie behind one of the two prefixes
-    behind = lambda n: F.ceil(F.col(n) * threshold - F.lit(_EPS)) - 1
-    shared = e.join(t, "h").where(close & (F.col("k_eval") != F.col("k_train"))).groupBy("k_eval", "k_train", "ne", "nt").agg(F.count(F.lit(1)).alias("c"))
-    candidates = shared.where(F.col("c") >= need - F.greatest(behind("ne"), behind("nt"))).select("k_eval", "k_train")
-    both = candidates.join(texts.select(F.col("k").alias("k_eval"), F.col("text").alias("te")), "k_eval").join(texts.select(F.col("k").alias("k_train"), F.col("text").alias("tt")), "k_train")
+    counts = spark.sparkContext.broadcast(substring_counts(texts, size))
+
+    def keys(seen) -> object:  # noqa: ANN001
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 1000):
+                    part = b.slice(at, 1000)
+                    h, owner, pos, n, sketch = join_keys(part.column("text").to_pylist(), counts.value, threshold, size, seen and seen.value)
+                    cols = [pa.array(h.view(np.int64)), pa.array(pos), pa.array(n[owner]), part.column("k").take(pa.array(owner)), *[pa.array(np.ascontiguousarray(sketch[owner, i])) for i in range(len(_SKETCH))]]
+                    yield pa.RecordBatch.from_arrays(cols, names=["h", "at", "n", "k", *_SKETCH])
+
+        return run
+
+    schema = "h long, at int, n int, k binary, " + ", ".join(f"{x} long" for x in _SKETCH)
+    e = cut(texts.where("in_eval").select("k", "text").mapInArrow(keys(None), schema))
+    seen = spark.sparkContext.broadcast(seen_bits(e))
+    t = texts.where("in_train").select("k", "text").mapInArrow(keys(seen), schema)
+    e, t = (d.select("h", *[F.col(c).alias(f"{x}_{c}") for c in d.columns if c != "h"]) for d, x in ((e, "e"), (t, "t")))
+    close = F.least("e_n", "t_n") >= F.greatest("e_n", "t_n") * threshold - _EPS
+    apart = sum((F.bit_count(F.col(f"e_{x}").bitwiseXOR(F.col(f"t_{x}"))) for x in _SKETCH[1:]), F.bit_count(F.col(f"e_{_SKETCH[0]}").bitwiseXOR(F.col(f"t_{_SKETCH[0]}"))))
+    alike = apart <= (F.col("e_n") + F.col("t_n")) * ((1 - threshold) / (1 + threshold)) + _EPS
+    shift = F.col("t_at") - F.col("e_at")
+    allowed = (shift >= -(F.col("e_n") * (1 - threshold)) - _EPS) & (shift <= F.col("e_n") * (1 / threshold - 1) + _EPS)
+    by_set = (F.col("e_at") < 0) & (F.col("t_at") < 0)
+    by_segment = (F.col("e_at") >= 0) & (F.col("t_at") >= 0) & allowed
+    met = e.join(t, "h").where(close & (by_set | by_segment) & (F.col("e_k") != F.col("t_k")) & alike)
+    pairs = cut(met.groupBy(F.col("e_k").alias("k_eval"), F.col("t_k").alias("k_train")).agg(F.bool_or(F.col("e_at") >= 0).alias("by_segment")))
+    both = pairs.join(texts.select(F.col("k").alias("k_eval"), F.col("text").alias("te")), "k_eval").join(texts.select(F.col("k").alias("k_train"), F.col("text").alias("tt")), "k_train")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple[str, set[str]] = ("", set())
         for f in frames:
-            keep = []
+            similar = []
             for a, b in zip(f["te"], f["tt"], strict=True):
-                if last[0] != b:
-                    last = (b, {b[i : i + size] for i in range(len(b) - size + 1)})
-                ga = {a[i : i + size] for i in range(len(a) - size + 1)}
-                common = len(ga & last[1])
-                keep.append(common / (len(ga) + len(last[1]) - common))
-            f["jaccard"] = keep
+                x, y = ({s[i : i + size] for i in range(len(s) - size + 1)} for s in (a, b))
+                common = len(x & y)
+                similar.append(common / max(1, len(x) + len(y) - common))
+            f["jaccard"] = similar
             f = f[f["jaccard"] >= threshold - _EPS]
-            pairs = list(zip(f["te"], f["tt"], strict=True))
-            edits = banded_distances(pairs, [max(8, max(len(a), len(b)) // 4) for a, b in pairs])
-            yield pd.DataFrame({"k_eval": f["k_eval"], "k_train": f["k_train"], "jaccard": f["jaccard"], "edits": pd.array(edits, dtype="Int32")})
+            ab = list(zip(f["te"], f["tt"], strict=True))
+            edits = banded_distances(ab, [max(8, max(len(a), len(b)) // 4) for a, b in ab])
+            path = [("sets" if not s else "edits" if d is not None else "segments") for s, d in zip(f["by_segment"], edits, strict=True)]
+            yield pd.DataFrame({"k_eval": f["k_eval"], "k_train": f["k_train"], "path": path, "jaccard": f["jaccard"], "edits": pd.array(edits, dtype="Int32")})
 
-    return both.mapInPandas(verify, "k_eval binary, k_train binary, jaccard double, edits int")
+    found = cut(both.mapInPandas(verify, "k_eval binary, k_train binary, path string, jaccard double, edits int"))
+    release(pairs)
+    return found
 
 
 def cross_split_pairs(rows: DataFrame, id_col: str, text_col: str, split_col: str = "split", threshold: float = 0.75, size: int = 5, min_chars: int = 40) -> DataFrame:
-    """(eval_id, train_id, jaccard, edits): all pairs of different ids, one in train and one in val or test, with equal or close texts.
+    """(eval_id, train_id, path, jaccard, edits): all pairs of different ids, one in train and one in val or test, with equal or close texts.
 
     Null texts and ids, texts under ``min_chars`` normal characters and rows without a split are no cases; repeated rows
-    count once.
+    count once. The ``path`` of equal texts is 'equal'.
     """
     members, texts = text_classes(rows, id_col, text_col, split_col, min_chars)
     close = segment_join(texts, threshold, size)
-    same = texts.where("in_train AND in_eval").select(F.col("k").alias("k_eval"), F.col("k").alias("k_train"), F.lit(1.0).alias("jaccard"), F.lit(0).alias("edits"))
+    equal = (F.lit("equal").alias("path"), F.lit(1.0).alias("jaccard"), F.lit(0).alias("edits"))
+    same = texts.where("in_train AND in_eval").select(F.col("k").alias("k_eval"), F.col("k").alias("k_train"), *equal)
     e = members.where("side = 'eval'").select(F.col("k").alias("k_eval"), F.col("id").alias("eval_id"))
     t = members.where("side = 'train'").select(F.col("k").alias("k_train"), F.col("id").alias("train_id"))
-    return close.unionByName(same).join(e, "k_eval").join(t, "k_train").where("eval_id != train_id").select("eval_id", "train_id", "jaccard", "edits")
+    return close.unionByName(same).join(e, "k_eval").join(t, "k_train").where("eval_id != train_id").select("eval_id", "train_id", "path", "jaccard", "edits")
+
+
+def pair_paths(pairs: DataFrame, table_name: str) -> DataFrame:
+    """(table_name, path, n_pairs): how many pairs of different ids each path found; a pair found by several counts at the first of them."""
+    order = F.when(F.col("path") == "equal", 0).when(F.col("path") == "edits", 1).when(F.col("path") == "segments", 2).otherwise(3)
+    best = pairs.groupBy(F.least("eval_id", "train_id").alias("a"), F.greatest("eval_id", "train_id").alias("b")).agg(F.min_by("path", order).alias("path"))
+    return best.groupBy("path").agg(F.count(F.lit(1)).alias("n_pairs")).select(F.lit(table_name).alias("table_name"), "path", "n_pairs")
 
 
 def cross_split_names(rows: DataFrame, id_col: str, name_col: str, split_col: str = "split") -> DataFrame:

@@ -59,6 +59,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p5_paths(spark: SparkSession, d: str) -> DataFrame:
+    """(table_name, path, n_pairs): what the segment join finds by itself and what the exact path beside it adds."""
+    parts = [overlap.pair_paths(overlap.cross_split_pairs(table(spark, d, name), "id", text), name) for name, text in _TEXTS]
+    names = overlap.cross_split_names(table(spark, d, "theorems"), "id", "full_name").withColumn("path", F.lit("equal"))
+    return parts[0].unionByName(parts[1]).unionByName(overlap.pair_paths(names, "theorems"))
+
+
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     """(table_name, split, file_path, n_records, n_pairs): evaluation records that occur in train, per split and source file."""
     theorems = table(spark, d, "theorems").select(clean_key("id").alias("id"), "split", "file_path").distinct()
@@ -107,5 +114,5 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_linked, p2_found, p2_lists, p3_found, p3_splits, p3_edge_splits, p5_found, p5_report, p6_found, p6_pairs, p7_ids, p8_containers, p8_summary, p9_found, p9_sources)
+    for f in (p1_found, p1_linked, p2_found, p2_lists, p3_found, p3_splits, p3_edge_splits, p5_found, p5_paths, p5_report, p6_found, p6_pairs, p7_ids, p8_containers, p8_summary, p9_found, p9_sources)
 }

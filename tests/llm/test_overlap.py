@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from conftest import rows
 from lemmary.llm import overlap
@@ -86,9 +87,46 @@ def test_banded_distances():
     assert got == [d if (d := distance(a, b)) <= w else None for (a, b), w in zip(pairs, bands, strict=True)]
 
 
-def test_segment_hashes_are_the_distinct_substrings():
+def test_substring_hashes_are_the_substrings():
     texts = ["abcabcabc", "", "abcd", "abcde", "≤≥≠∈∉x"]
-    assert [len(h) for h in overlap.segment_hashes(texts, 5)] == [len(grams(t)) for t in texts]
-    a, b = overlap.segment_hashes(["zzabcde", "abcdeyy"], 5)
-    assert len(set(a) & set(b)) == 1
-    assert overlap.segment_hashes([], 5) == [] and [len(x) for x in overlap.segment_hashes(["a", ""], 5)] == [0, 0]
+    h, owner, pos = overlap.substring_hashes(texts, 5)
+    assert [len(set(h[owner == i])) for i in range(5)] == [len(grams(t)) for t in texts]
+    assert pos[owner == 0].tolist() == [0, 1, 2, 3, 4] and h[0] == h[3]
+    h, owner, _ = overlap.substring_hashes(["zzabcde", "abcdeyy"], 5)
+    assert len(set(h[owner == 0]) & set(h[owner == 1])) == 1
+    assert len(overlap.substring_hashes([], 5)[0]) == 0 and len(overlap.substring_hashes(["a", ""], 5)[0]) == 0
+
+
+@pytest.mark.parametrize("size", [3, 5])
+def test_edits_break_no_more_segments_than_allowed(size):
+    """Greedy worst cases: characters left out at slot borders until the similarity would fall under the threshold."""
+    r, width = random.Random(3), 2 * size - 1
+    gram = lambda t: {t[i : i + size] for i in range(len(t) - size + 1)}
+    for length in range(40, 400, 7):
+        a = "".join(chr(0x4E00 + i) for i in range(length))
+        slots = length // width
+        starts = [j * length // slots for j in range(slots)]
+        for step in (1, 2, 3):
+            b = [*a]
+            worst = 0
+            for s in [0, length - 1, *starts[1::step], *r.sample(range(length), length // 9)]:
+                before = b[:]
+                b[s] = ""
+                if s in starts and s:
+                    b[s - 1] = ""
+                x, y = gram(a), gram("".join(b))
+                if len(x & y) < 0.75 * len(x | y):
+                    b = before
+                worst = max(worst, sum(a[p : p + width] not in "".join(b) for p in starts))
+            assert worst <= overlap.allowed_breaks(np.array([length - size + 1]), 0.75, size)[0]
+
+
+def test_paths(spark):
+    r = random.Random(9)
+    a = "".join(chr(0x4E00 + r.randrange(9000)) for _ in range(200))
+    binders = [f"({x} : ℕ) " for x in "abcdefghijklmnop"]
+    data = [("a", a, "train", "", 1), ("b", a[:50] + "x" + a[52:], "val", "", 1), ("c", a[100:] + a[:100], "test", "", 1), ("d", a, "test", "", 1)]
+    data += [("e", "".join(binders), "train", "", 1), ("f", "".join(binders[::-1]), "val", "", 1)]
+    found = overlap.cross_split_pairs(spark.createDataFrame(data, SCHEMA), "id", "text")
+    assert rows(found.select("eval_id", "path", "edits")) == [("b", "edits", 2), ("c", "sets", None), ("d", "equal", 0), ("f", "edits", 16)]
+    assert rows(overlap.pair_paths(found, "t")) == [("t", "edits", 2), ("t", "equal", 1), ("t", "sets", 1)]
