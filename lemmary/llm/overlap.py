@@ -16,6 +16,7 @@ parities in bits); the exact sets decide at the end. Every pair tells its path,
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,17 +122,18 @@ def banded_distances(pairs: list[tuple[str, str]], band: list[int]) -> list[int
     return out
 
 
-def text_classes(rows: DataFrame, id_col: str, text_col: str, split_col: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    """(members, texts): members (id, side, k) with side 'train' or 'eval'; texts (k, text, in_train, in_eval), each text once."""
-    split = F.trim(F.col(split_col))
+def text_classes(rows: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (kind, id, text, split): members (kind, id, side, k) with side 'train' or 'eval'; texts (k, kind, text, in_train, in_eval), each text of a kind once."""
+    split = F.trim(F.col("split"))
     side = F.when(split == "train", "train").when(split.isin("val", "test"), "eval")
-    kept = rows.select(clean_key(id_col).alias("id"), side.alias("side"), normal_text(text_col).alias("text")).where(
+    kept = rows.select("kind", clean_key("id").alias("id"), side.alias("side"), normal_text("text").alias("text")).where(
         F.col("id").isNotNull() & F.col("side").isNotNull() & (F.length("text") >= min_chars)
     )
-    kept = kept.withColumn("k", F.unhex(F.md5(F.col("text").cast("binary"))))
-    members = cut(kept.select("id", "side", "k").distinct())
-    texts = kept.groupBy("k").agg(F.first("text").alias("text"), F.bool_or(F.col("side") == "train").alias("in_train"), F.bool_or(F.col("side") == "eval").alias("in_eval"))
-    return members, cut(texts)
+    kept = cut(kept.withColumn("k", F.unhex(F.md5(F.concat_ws("\u0001", "kind", "text").cast("binary")))))
+    texts = kept.groupBy("k").agg(
+        F.first("kind").alias("kind"), F.first("text").alias("text"), F.bool_or(F.col("side") == "train").alias("in_train"), F.bool_or(F.col("side") == "eval").alias("in_eval")
+    )
+    return kept.select("kind", "id", "side", "k").distinct(), cut(texts)
 
 
 def substring_counts(texts: DataFrame, size: int) -> np.ndarray:
@@ -141,7 +143,7 @@ def substring_counts(texts: DataFrame, size: int) -> np.ndarray:
         total = np.zeros(1 << COUNT_BITS, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 2000):
-                h = substring_hashes(b.column("text").slice(at, 2000).to_pylist(), size)[0]
+                h = substring_hashes(b.column("text").slice(at, 2000).to_pylist(), size)[0]  # of all kinds together: any one order will do
                 total += np.bincount((h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
@@ -178,13 +180,15 @@ def seen_bits(keys: DataFrame) -> np.ndarray:
     return words
 
 
-def join_keys(texts: list[str], freq: np.ndarray, threshold: float, size: int, seen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def join_keys(texts: list[str], kinds: list[str], freq: np.ndarray, threshold: float, size: int, seen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, text, position, set size per text, parity sketch per text).
 
     Keys with a position are segments: the k + 1 rarest of the cut or, with ``seen`` (the bits of the evaluation side's
     keys), all substrings of segment length that may be one. Keys with position -1 are rarest substrings of the set.
     """
     h, owner, pos = substring_hashes(texts, size)
+    kind_h = {x: np.uint64(zlib.crc32(x.encode()) << 20) for x in set(kinds)}
+    h ^= np.fromiter((kind_h[x] for x in kinds), np.uint64, len(kinds))[owner]  # texts of different kinds never meet
     f = freq[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
     o = np.lexsort((h, f, owner))
     sh, so = h[o], owner[o]
@@ -222,7 +226,8 @@ def join_keys(texts: list[str], freq: np.ndarray, threshold: float, size: int, s
         seg_h, seg_o, seg_p = seg_h[keep], seg_o[keep], seg_p[keep]
         keep = _is_set(seen, rare_h)
         rare_h, rare_o = rare_h[keep], rare_o[keep]
-    return np.concatenate([seg_h, rare_h]), np.concatenate([seg_o, rare_o]), np.concatenate([seg_p, np.full(len(rare_h), -1)]).astype(np.int32), n.astype(np.int32), sketch
+    keys, of = np.concatenate([seg_h, rare_h]), np.concatenate([seg_o, rare_o])
+    return keys, of, np.concatenate([seg_p, np.full(len(rare_h), -1)]).astype(np.int32), n.astype(np.int32), sketch
 
 
 def segment_join(texts: DataFrame, threshold: float = 0.75, size: int = 5) -> DataFrame:
@@ -240,16 +245,16 @@ def segment_join(texts: DataFrame, threshold: float = 0.75, size: int = 5) -> Da
             for b in batches:
                 for at in range(0, b.num_rows, 1000):
                     part = b.slice(at, 1000)
-                    h, owner, pos, n, sketch = join_keys(part.column("text").to_pylist(), counts.value, threshold, size, seen and seen.value)
+                    h, owner, pos, n, sketch = join_keys(part.column("text").to_pylist(), part.column("kind").to_pylist(), counts.value, threshold, size, seen and seen.value)
                     cols = [pa.array(h.view(np.int64)), pa.array(pos), pa.array(n[owner]), part.column("k").take(pa.array(owner)), *[pa.array(np.ascontiguousarray(sketch[owner, i])) for i in range(len(_SKETCH))]]
                     yield pa.RecordBatch.from_arrays(cols, names=["h", "at", "n", "k", *_SKETCH])
 
         return run
 
     schema = "h long, at int, n int, k binary, " + ", ".join(f"{x} long" for x in _SKETCH)
-    e = cut(texts.where("in_eval").select("k", "text").mapInArrow(keys(None), schema))
+    e = cut(texts.where("in_eval").select("k", "kind", "text").mapInArrow(keys(None), schema))
     seen = spark.sparkContext.broadcast(seen_bits(e))
-    t = texts.where("in_train").select("k", "text").mapInArrow(keys(seen), schema)
+    t = texts.where("in_train").select("k", "kind", "text").mapInArrow(keys(seen), schema)
     e, t = (d.select("h", *[F.col(c).alias(f"{x}_{c}") for c in d.columns if c != "h"]) for d, x in ((e, "e"), (t, "t")))
     close = F.least("e_n", "t_n") >= F.greatest("e_n", "t_n") * threshold - _EPS
     apart = sum((F.bit_count(F.col(f"e_{x}").bitwiseXOR(F.col(f"t_{x}"))) for x in _SKETCH[1:]), F.bit_count(F.col(f"e_{_SKETCH[0]}").bitwiseXOR(F.col(f"t_{_SKETCH[0]}"))))
@@ -281,39 +286,40 @@ def segment_join(texts: DataFrame, threshold: float = 0.75, size: int = 5) -> Da
     return found
 
 
-def cross_split_pairs(rows: DataFrame, id_col: str, text_col: str, split_col: str = "split", threshold: float = 0.75, size: int = 5, min_chars: int = 40) -> DataFrame:
-    """(eval_id, train_id, path, jaccard, edits): all pairs of different ids, one in train and one in val or test, with equal or close texts.
+def cross_split_pairs(rows: DataFrame, threshold: float = 0.75, size: int = 5, min_chars: int = 40) -> DataFrame:
+    """(kind, eval_id, train_id, path, jaccard, edits): of rows (kind, id, text, split) all pairs of different ids of one kind, one in
+    train and one in val or test, with equal or close texts.
 
     Null texts and ids, texts under ``min_chars`` normal characters and rows without a split are no cases; repeated rows
     count once. The ``path`` of equal texts is 'equal'.
     """
-    members, texts = text_classes(rows, id_col, text_col, split_col, min_chars)
+    members, texts = text_classes(rows, min_chars)
     close = segment_join(texts, threshold, size)
     equal = (F.lit("equal").alias("path"), F.lit(1.0).alias("jaccard"), F.lit(0).alias("edits"))
     same = texts.where("in_train AND in_eval").select(F.col("k").alias("k_eval"), F.col("k").alias("k_train"), *equal)
-    e = members.where("side = 'eval'").select(F.col("k").alias("k_eval"), F.col("id").alias("eval_id"))
+    e = members.where("side = 'eval'").select(F.col("k").alias("k_eval"), "kind", F.col("id").alias("eval_id"))
     t = members.where("side = 'train'").select(F.col("k").alias("k_train"), F.col("id").alias("train_id"))
-    return close.unionByName(same).join(e, "k_eval").join(t, "k_train").where("eval_id != train_id").select("eval_id", "train_id", "path", "jaccard", "edits")
+    return close.unionByName(same).join(e, "k_eval").join(t, "k_train").where("eval_id != train_id").select("kind", "eval_id", "train_id", "path", "jaccard", "edits")
 
 
-def pair_paths(pairs: DataFrame, table_name: str) -> DataFrame:
-    """(table_name, path, n_pairs): how many pairs of different ids each path found; a pair found by several counts at the first of them."""
-    order = F.when(F.col("path") == "equal", 0).when(F.col("path") == "edits", 1).when(F.col("path") == "segments", 2).otherwise(3)
-    best = pairs.groupBy(F.least("eval_id", "train_id").alias("a"), F.greatest("eval_id", "train_id").alias("b")).agg(F.min_by("path", order).alias("path"))
-    return best.groupBy("path").agg(F.count(F.lit(1)).alias("n_pairs")).select(F.lit(table_name).alias("table_name"), "path", "n_pairs")
+def cross_split_names(rows: DataFrame) -> DataFrame:
+    """(kind, eval_id, train_id, path): of rows (kind, id, text, split) the pairs of different ids whose names are equal in lower case without all but letters and digits."""
+    split = F.trim(F.col("split"))
+    key = F.regexp_replace(F.lower(F.col("text")), r"[^\p{L}\p{N}]", "")
+    kept = rows.select("kind", clean_key("id").alias("id"), key.alias("name"), F.when(split == "train", "train").when(split.isin("val", "test"), "eval").alias("side"))
+    kept = kept.where("id IS NOT NULL AND name != '' AND side IS NOT NULL").distinct()
+    e = kept.where("side = 'eval'").select("kind", "name", F.col("id").alias("eval_id"))
+    t = kept.where("side = 'train'").select("kind", "name", F.col("id").alias("train_id"))
+    return e.join(t, ["kind", "name"]).where("eval_id != train_id").select("kind", "eval_id", "train_id").distinct().withColumn("path", F.lit("equal"))
 
 
-def cross_split_names(rows: DataFrame, id_col: str, name_col: str, split_col: str = "split") -> DataFrame:
-    """(eval_id, train_id): pairs of different ids whose names are equal in lower case without all but letters and digits."""
-    split = F.trim(F.col(split_col))
-    key = F.regexp_replace(F.lower(F.col(name_col)), r"[^\p{L}\p{N}]", "")
-    kept = rows.select(clean_key(id_col).alias("id"), key.alias("name"), F.when(split == "train", "train").when(split.isin("val", "test"), "eval").alias("side"))
-    kept = kept.where("id IS NOT NULL AND name != '' AND side IS NOT NULL").distinct()
-    e = kept.where("side = 'eval'").select("name", F.col("id").alias("eval_id"))
-    t = kept.where("side = 'train'").select("name", F.col("id").alias("train_id"))
-    return e.join(t, "name").where("eval_id != train_id").select("eval_id", "train_id").distinct()
+def pair_paths(pairs: DataFrame) -> DataFrame:
+    """(table_name, path, n_pairs): how many pairs of different ids each path found; a pair found by several counts at the first of them."""
+    order = F.when(F.col("path") == "equal", 0).when(F.col("path") == "edits", 1).when(F.col("path") == "segments", 2).otherwise(3)
+    best = pairs.groupBy(F.col("kind").alias("table_name"), F.least("eval_id", "train_id").alias("a"), F.greatest("eval_id", "train_id").alias("b")).agg(F.min_by("path", order).alias("path"))
+    return best.groupBy("table_name", "path").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
-def found_pairs(pairs: DataFrame, table_name: str) -> DataFrame:
+def found_pairs(pairs: DataFrame) -> DataFrame:
     """(table_name, id_a, id_b), id_a < id_b."""
-    return pairs.select(F.lit(table_name).alias("table_name"), F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()
+    return pairs.select(F.col("kind").alias("table_name"), F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()

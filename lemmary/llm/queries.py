@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,21 +51,24 @@ def p3_edge_splits(spark: SparkSession, d: str) -> DataFrame:
     return groups.split_edges(table(spark, d, "positive_edges"), p3_splits(spark, d))
 
 
-_TEXTS = (("proof_states", "goal_text"), ("premises", "code"))
+def _texts(spark: SparkSession, d: str, *columns: tuple[str, str]) -> DataFrame:
+    """(kind, id, text, split) of the named tables and text columns."""
+    return reduce(DataFrame.unionByName, [table(spark, d, name).select(F.lit(name).alias("kind"), "id", F.col(text).alias("text"), "split") for name, text in columns])
+
+
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """(kind, eval_id, train_id, path) of proof states, premises and theorems."""
+    close = overlap.cross_split_pairs(_texts(spark, d, ("proof_states", "goal_text"), ("premises", "code"))).select("kind", "eval_id", "train_id", "path")
+    return close.unionByName(overlap.cross_split_names(_texts(spark, d, ("theorems", "full_name"))))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    out = overlap.found_pairs(overlap.cross_split_names(table(spark, d, "theorems"), "id", "full_name"), "theorems")
-    for name, text in _TEXTS:
-        out = out.unionByName(overlap.found_pairs(overlap.cross_split_pairs(table(spark, d, name), "id", text), name))
-    return out
+    return overlap.found_pairs(_overlaps(spark, d))
 
 
 def p5_paths(spark: SparkSession, d: str) -> DataFrame:
     """(table_name, path, n_pairs): what the segment join finds by itself and what the exact path beside it adds."""
-    parts = [overlap.pair_paths(overlap.cross_split_pairs(table(spark, d, name), "id", text), name) for name, text in _TEXTS]
-    names = overlap.cross_split_names(table(spark, d, "theorems"), "id", "full_name").withColumn("path", F.lit("equal"))
-    return parts[0].unionByName(parts[1]).unionByName(overlap.pair_paths(names, "theorems"))
+    return overlap.pair_paths(_overlaps(spark, d))
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
@@ -73,13 +78,10 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     states = table(spark, d, "proof_states").select(clean_key("id").alias("id"), "split", clean_key("theorem_id").alias("t")).distinct()
     states = states.join(files.withColumnRenamed("id", "t"), "t", "left").select("id", "split", "file_path")
     premises = table(spark, d, "premises").select(clean_key("id").alias("id"), "split", "file_path").distinct()
-    pairs = overlap.cross_split_names(table(spark, d, "theorems"), "id", "full_name").select(F.lit("theorems").alias("table_name"), "eval_id", "train_id")
-    for name, text in _TEXTS:
-        close = overlap.cross_split_pairs(table(spark, d, name), "id", text).select(F.lit(name).alias("table_name"), "eval_id", "train_id")
-        pairs = pairs.unionByName(close)
     homes = theorems.withColumn("table_name", F.lit("theorems")).unionByName(states.withColumn("table_name", F.lit("proof_states"))).unionByName(premises.withColumn("table_name", F.lit("premises")))
     homes = homes.where(F.trim("split").isin("val", "test")).groupBy("table_name", "id").agg(F.min(F.trim("split")).alias("split"), F.min("file_path").alias("file_path"))
-    per = pairs.distinct().groupBy("table_name", F.col("eval_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = _overlaps(spark, d).select(F.col("kind").alias("table_name"), F.col("eval_id").alias("id"), "train_id").distinct()
+    per = pairs.groupBy("table_name", "id").agg(F.count(F.lit(1)).alias("n"))
     return per.join(homes, ["table_name", "id"]).groupBy("table_name", "split", "file_path").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n").alias("n_pairs"))
 
 

@@ -5,10 +5,15 @@ import numpy as np
 import pytest
 from conftest import rows
 from lemmary.llm import overlap
+from pyspark.sql import functions as F
 
 SCHEMA = "id string, text string, split string, k string, n int"
 
 
+def of(spark, data, kind="t"):
+    return spark.createDataFrame(data, SCHEMA).withColumn("kind", F.lit(kind))
+
+
 def norm(t):
     return re.sub(r"\s+", " ", t.lower()).strip()
 
@@ -52,21 +57,22 @@ def test_against_brute_force(spark, seed):
     data = [(f"r{i:03}", edited(r, r.choice(base)), r.choice(["train", "train", "val", "test", None]), "x", 1) for i in range(160)]
     data += [("copy", data[0][1], "val", "x", 1), ("copy", data[0][1], "train", "x", 1), ("n", None, "val", "x", 1), (None, base[0], "val", "x", 1), ("e", "", "train", "x", 1), ("short", "abc", "test", "x", 1)]
     data += [("long1", "lorem ipsum dolor " * 300 + "a", "train", "x", 1), ("long2", "lorem ipsum dolor " * 290, "test", "x", 1)]
-    got = overlap.cross_split_pairs(spark.createDataFrame(data, SCHEMA), "id", "text")
+    other = of(spark, [("zz", *x[1:]) for x in data if x[2] == "val"], "u")  # the same texts in another table meet nothing
+    got = overlap.cross_split_pairs(of(spark, data).unionByName(other))
     assert rows(got.select("eval_id", "train_id").distinct()) == [tuple(x) for x in brute(data)]
 
 
 def test_empty(spark):
-    none = spark.createDataFrame([], SCHEMA)
-    assert rows(overlap.cross_split_pairs(none, "id", "text")) == [] and rows(overlap.cross_split_names(none, "id", "text")) == []
-    one = spark.createDataFrame([("a", "x" * 50, "train", "x", 1)], SCHEMA)
-    assert rows(overlap.cross_split_pairs(one, "id", "text")) == []
+    none = of(spark, [])
+    assert rows(overlap.cross_split_pairs(none)) == [] and rows(overlap.cross_split_names(none)) == []
+    assert rows(overlap.cross_split_pairs(of(spark, [("a", "x" * 50, "train", "x", 1)]))) == []
 
 
 def test_names(spark):
     data = [("a", "Foo.bar_baz", "train", "", 1), ("b", "foobarBAZ'", "val", "", 1), ("c", "...", "val", "", 1), ("d", "..", "train", "", 1), (" a ", "Foo.bar_baz", "train", "", 1), ("e", "foobarbaz", None, "", 1), ("f", None, "val", "", 1)]
-    assert rows(overlap.cross_split_names(spark.createDataFrame(data, SCHEMA), "id", "text")) == [("b", "a")]
-    assert rows(overlap.found_pairs(overlap.cross_split_names(spark.createDataFrame(data, SCHEMA), "id", "text"), "theorems")) == [("theorems", "a", "b")]
+    found = overlap.cross_split_names(of(spark, data, "theorems"))
+    assert rows(found.select("eval_id", "train_id")) == [("b", "a")]
+    assert rows(overlap.found_pairs(found)) == [("theorems", "a", "b")]
 
 
 def distance(a, b):
@@ -127,6 +133,6 @@ def test_paths(spark):
     binders = [f"({x} : ℕ) " for x in "abcdefghijklmnop"]
     data = [("a", a, "train", "", 1), ("b", a[:50] + "x" + a[52:], "val", "", 1), ("c", a[100:] + a[:100], "test", "", 1), ("d", a, "test", "", 1)]
     data += [("e", "".join(binders), "train", "", 1), ("f", "".join(binders[::-1]), "val", "", 1)]
-    found = overlap.cross_split_pairs(spark.createDataFrame(data, SCHEMA), "id", "text")
+    found = overlap.cross_split_pairs(of(spark, data))
     assert rows(found.select("eval_id", "path", "edits")) == [("b", "edits", 2), ("c", "sets", None), ("d", "equal", 0), ("f", "edits", 16)]
-    assert rows(overlap.pair_paths(found, "t")) == [("t", "edits", 2), ("t", "equal", 1), ("t", "sets", 1)]
+    assert rows(overlap.pair_paths(found).select("table_name", "path", "n_pairs")) == [("t", "edits", 2), ("t", "equal", 1), ("t", "sets", 1)]
