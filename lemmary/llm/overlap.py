@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,8 @@ from lemmary.operators.cut import cut, release
 
 #: Tables that are broadcast, of fixed size however large the corpus: 2**20 counts, 2**26 bits.
 COUNT_BITS, SEEN_BITS = 20, 26
+#: Texts of a batch, whose number takes so many bits of a sort key; the substring keeps what rarity (8 bits) leaves.
+TEXT_BITS = 10
 #: Bits of the parity sketch of a text's set of substrings.
 PARITY_BITS = 512
 _SKETCH = [f"s{i}" for i in range(PARITY_BITS // 64)]
@@ -136,22 +138,57 @@ def text_classes(rows: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]
     return kept.select("kind", "id", "side", "k").distinct(), cut(texts)
 
 
-def substring_counts(texts: DataFrame, size: int) -> np.ndarray:
-    """How often substrings of each of 2**COUNT_BITS hash ranges occur; summed per task before the shuffle."""
+def _segments(h: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index in ``h`` of its first substring) of every run of 2 * size - 1 characters: two substrings one after the other."""
+    whole = np.nonzero(owner[: len(owner) - size + 1] == owner[size - 1 :])[0] if len(owner) >= size else np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        return _mix(h[whole] * np.uint64(0x9E3779B97F4A7C15) + h[np.minimum(whole + size - 1, len(h) - 1)]), whole
+
+
+def _count_at(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def corpus_table(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.ndarray], op: np.ufunc) -> np.ndarray:
+    """One array of 64-bit words for all rows: ``make`` gives that of a task, ``op`` combines them, piece by piece on the executors.
+
+    Its size is fixed, so what reaches the driver doesn't grow with the rows. Without rows it is empty.
+    """
+    piece = 4096
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = make(batches).reshape(-1, piece)
+        at = np.nonzero(words.any(axis=1))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([words[i].tobytes() for i in at], pa.binary()), pa.array(np.full(len(at), len(words), np.int32))], names=["at", "words", "of"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNT_BITS, np.int64)
+    def merge(t: pa.Table) -> pa.Table:
+        words = op.reduce([np.frombuffer(w, np.int64) for w in t.column("words").to_pylist()])
+        return pa.table({"at": t.column("at")[:1], "words": pa.array([words.tobytes()], pa.binary()), "of": t.column("of")[:1]})
+
+    schema = "at int, words binary, of int"
+    found = rows.mapInArrow(task, schema).groupBy("at").applyInArrow(merge, schema).collect()
+    out = np.zeros((found[0]["of"] if found else 0, piece), np.int64)
+    for r in found:
+        out[r["at"]] = np.frombuffer(r["words"], np.int64)
+    return out.ravel()
+
+
+def rarity_counts(texts: DataFrame, size: int) -> np.ndarray:
+    """How often substrings (row 0) and segments (row 1) of each of 2**COUNT_BITS hash ranges occur, in quarters of powers of two."""
+    width = 1 << COUNT_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(2 * width, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 2000):
-                h = substring_hashes(b.column("text").slice(at, 2000).to_pylist(), size)[0]  # of all kinds together: any one order will do
-                total += np.bincount((h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
-
-    summed = texts.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << COUNT_BITS, np.int64)
-    out[summed["bucket"].to_numpy(np.int64)] = summed["n"].to_numpy(np.int64)
-    return out
+                h, owner, _ = substring_hashes(b.column("text").slice(at, 2000).to_pylist(), size)
+                total[:width] += np.bincount(_count_at(h), minlength=width)
+                total[width:] += np.bincount(_count_at(_segments(h, owner, size)[0]), minlength=width)
+        return total
+
+    total = corpus_table(texts.select("text"), count, np.add)
+    total = (total if len(total) else np.zeros(2 * width, np.int64)).reshape(2, width)
+    return np.minimum(np.log2(total + 1.0) * 4, 255).astype(np.uint8)
 
 
 def _seen(h: np.ndarray) -> np.ndarray:
@@ -160,74 +197,106 @@ def _seen(h: np.ndarray) -> np.ndarray:
 
 def _is_set(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = _seen(h)
+    if not len(words):
+        return np.zeros(len(h), bool)
     return (words[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
-def seen_bits(keys: DataFrame) -> np.ndarray:
-    """The table of 2**SEEN_BITS bits, packed, one set for the range of each ``h``; combined per task before the shuffle."""
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Sizes of sets by tenths: 1.1 ** class."""
+    return np.floor(np.log(np.maximum(n, 1)) / math.log(1.1) + _EPS).astype(np.int64)
+
+
+def sizes_met(n: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Least and most size of the sets that a set of ``n`` reaches ``threshold`` with if its ``rank``-th rarest substring is the first they share."""
+    return n * threshold - _EPS, np.minimum(n / threshold, (n - rank) * ((1 + threshold) / threshold) - n) + _EPS
+
+
+def _of_size(h: np.ndarray, cls: np.ndarray, met: bool) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mix(h + (cls * 2 + met).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def size_marks(h: np.ndarray, n: np.ndarray, rank: np.ndarray, threshold: float) -> np.ndarray:
+    """What a key of the evaluation side marks: itself with each size it can meet."""
+    low, high = sizes_met(n, rank, threshold)
+    first = size_class(np.floor(low))
+    times = np.where(high >= low, size_class(high) - first + 1, 0)
+    row = np.repeat(np.arange(len(h)), times)
+    met = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    return _of_size(h[row], met, True)
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << SEEN_BITS, bool)
-        for b in batches:
-            bits[_seen(b.column("h").to_numpy().view(np.uint64))] = True
-        words = np.packbits(bits, bitorder="little").view(np.int64)
-        at = np.nonzero(words)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(words[at])], names=["at", "word"])
 
-    found = keys.select("h").mapInArrow(mark, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
-    words = np.zeros(1 << (SEEN_BITS - 6), np.int64)
-    words[found["at"].to_numpy(np.int64)] = found["word"].to_numpy(np.int64)
-    return words
+def size_match(words: np.ndarray, h: np.ndarray, n: np.ndarray, rank: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether a training key of this size may meet an evaluation key: true for all that do."""
+    ok = _is_set(words, _of_size(h, size_class(n), True))
+    at = np.nonzero(ok)[0]
+    low, high = sizes_met(n[at], rank[at], threshold)
+    first, last = size_class(np.floor(low)), size_class(high)
+    met = np.zeros(len(at), bool)
+    for step in range(int((last - first).max(initial=-1)) + 1):
+        met |= (first + step <= last) & (high >= low) & _is_set(words, _of_size(h[at], first + step, False))
+    ok[at] = met
+    return ok
 
 
-def join_keys(texts: list[str], kinds: list[str], freq: np.ndarray, threshold: float, size: int, seen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text, position, set size per text, parity sketch per text).
+class Keys:
+    """The join keys of a batch of texts: segments (``at`` is their position) and rarest substrings of the set (``at`` is -1).
 
-    Keys with a position are segments: the k + 1 rarest of the cut or, with ``seen`` (the bits of the evaluation side's
-    keys), all substrings of segment length that may be one. Keys with position -1 are rarest substrings of the set.
+    Without ``seen`` those of the evaluation side: of the cut the k + 1 rarest segments. With ``seen``, the marks of the
+    evaluation side, those of training: all substrings of segment length, as far as one may meet a key of the other side.
     """
-    h, owner, pos = substring_hashes(texts, size)
-    kind_h = {x: np.uint64(zlib.crc32(x.encode()) << 20) for x in set(kinds)}
-    h ^= np.fromiter((kind_h[x] for x in kinds), np.uint64, len(kinds))[owner]  # texts of different kinds never meet
-    f = freq[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-    o = np.lexsort((h, f, owner))
-    sh, so = h[o], owner[o]
-    first = np.ones(len(sh), bool)
-    first[1:] = (sh[1:] != sh[:-1]) | (so[1:] != so[:-1])
-    sh, so = sh[first], so[first]
-    n = np.bincount(so, minlength=len(texts))
-    bits = np.bincount(so * PARITY_BITS + (sh & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=len(texts) * PARITY_BITS) & 1
-    sketch = np.packbits(bits.reshape(len(texts), PARITY_BITS).astype(bool), axis=1).view(np.int64)
-    rank = np.arange(len(sh)) - np.repeat(np.cumsum(n) - n, n)
-    rare = rank <= (n - np.ceil(threshold * n - _EPS))[so]
-    rare_h, rare_o = sh[rare] ^ _REST, so[rare]
-    # a segment is two substrings one after the other
-    width = 2 * size - 1
-    whole = np.nonzero((owner[: len(owner) - size + 1] == owner[size - 1 :]) if len(owner) >= size else np.zeros(0, bool))[0]
-    with np.errstate(over="ignore"):
-        seg_h = _mix(h[whole] * np.uint64(0x9E3779B97F4A7C15) + h[whole + size - 1]) if len(whole) else np.zeros(0, np.uint64)
-    seg_o, seg_p = owner[whole], pos[whole]
-    if seen is None:
-        lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-        slots = lengths // width
-        slot_o = np.repeat(np.arange(len(texts)), slots)
-        j = np.arange(slots.sum()) - np.repeat(np.cumsum(slots) - slots, slots)
-        start = j * lengths[slot_o] // np.maximum(slots[slot_o], 1)
-        count = np.maximum(lengths - width + 1, 0)
-        cut_at = (np.cumsum(count) - count)[slot_o] + start
-        rarity = np.full(len(cut_at), np.iinfo(np.int64).max)
-        for i in range(size):
-            rarity = np.minimum(rarity, f[whole[cut_at] + i])
-        o = np.lexsort((start, rarity, slot_o))
-        chosen = cut_at[o[(np.arange(len(o)) - np.repeat(np.cumsum(slots) - slots, slots)) <= allowed_breaks(n, threshold, size)[slot_o]]]
-        seg_h, seg_o, seg_p = seg_h[chosen], seg_o[chosen], seg_p[chosen]
-    else:
-        keep = _is_set(seen, seg_h)
-        seg_h, seg_o, seg_p = seg_h[keep], seg_o[keep], seg_p[keep]
-        keep = _is_set(seen, rare_h)
-        rare_h, rare_o = rare_h[keep], rare_o[keep]
-    keys, of = np.concatenate([seg_h, rare_h]), np.concatenate([seg_o, rare_o])
-    return keys, of, np.concatenate([seg_p, np.full(len(rare_h), -1)]).astype(np.int32), n.astype(np.int32), sketch
+
+    def __init__(self, texts: list[str], kinds: list[str], counts: np.ndarray, threshold: float, size: int, seen: np.ndarray | None) -> None:
+        h, owner, pos = substring_hashes(texts, size)
+        f = counts[0][_count_at(h)]
+        seg_h, whole = _segments(h, owner, size)
+        seg_f = counts[1][_count_at(seg_h)]
+        # texts of different kinds never meet
+        kind_h = {x: np.uint64(zlib.crc32(x.encode()) << 20) for x in set(kinds)}
+        of_kind = np.fromiter((kind_h[x] for x in kinds), np.uint64, len(kinds))
+        h ^= of_kind[owner]
+        seg_h ^= of_kind[owner[whole]]
+        # one sort key: text, rarity, substring
+        order = (owner.astype(np.uint64) << np.uint64(64 - TEXT_BITS)) | (f.astype(np.uint64) << np.uint64(56 - TEXT_BITS)) | (h >> np.uint64(8 + TEXT_BITS))
+        order.sort()
+        if len(order):
+            order = order[np.append(True, order[1:] != order[:-1])]
+        so, gram = (order >> np.uint64(64 - TEXT_BITS)).astype(np.int64), order & np.uint64((1 << (56 - TEXT_BITS)) - 1)
+        n = np.bincount(so, minlength=len(texts))
+        bits = np.bincount(so * PARITY_BITS + (gram & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=len(texts) * PARITY_BITS) & 1
+        self.sketch = np.packbits(bits.reshape(len(texts), PARITY_BITS).astype(bool), axis=1).view(np.int64)
+        rank = np.arange(len(gram)) - np.repeat(np.cumsum(n) - n, n)
+        rare = rank <= (n - np.ceil(threshold * n - _EPS))[so]
+        with np.errstate(over="ignore"):
+            rare_h, rare_o, rank = _mix(gram[rare] ^ _REST), so[rare], rank[rare]
+        seg_o, seg_p = owner[whole], pos[whole]
+        if seen is None:
+            lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+            width = 2 * size - 1
+            slots = lengths // width
+            before = np.cumsum(slots) - slots
+            slot_o = np.repeat(np.arange(len(texts)), slots)
+            start = (np.arange(slots.sum()) - before[slot_o]) * lengths[slot_o] // np.maximum(slots[slot_o], 1)
+            runs = np.maximum(lengths - width + 1, 0)
+            cut_at = (np.cumsum(runs) - runs)[slot_o] + start
+            o = np.lexsort((start, seg_f[cut_at], slot_o))
+            chosen = cut_at[o[np.arange(len(o)) - before[slot_o] <= allowed_breaks(n, threshold, size)[slot_o]]]
+            seg_h, seg_o, seg_p = seg_h[chosen], seg_o[chosen], seg_p[chosen]
+        else:
+            keep = np.nonzero(_is_set(seen, seg_h))[0]
+            keep = keep[_is_set(seen, _of_size(seg_h[keep], size_class(n)[seg_o[keep]], True))]
+            seg_h, seg_o, seg_p = seg_h[keep], seg_o[keep], seg_p[keep]
+            keep = size_match(seen, rare_h, n[rare_o], rank, threshold)
+            rare_h, rare_o, rank = rare_h[keep], rare_o[keep], rank[keep]
+        self.h, self.owner = np.concatenate([seg_h, rare_h]), np.concatenate([seg_o, rare_o])
+        self.at = np.concatenate([seg_p, np.full(len(rare_h), -1)]).astype(np.int32)
+        self.rank, self.n = np.concatenate([np.zeros(len(seg_h), np.int64), rank]), n
+
+    def marks(self, threshold: float) -> np.ndarray:
+        """Segments mark themselves and, with each size they can meet, again; rarest substrings the latter and their own size."""
+        n, rest = self.n[self.owner], self.at < 0
+        return np.concatenate([size_marks(self.h, n, self.rank, threshold), self.h[~rest], _of_size(self.h[rest], size_class(n[rest]), False)])
 
 
 def segment_join(texts: DataFrame, threshold: float = 0.75, size: int = 5) -> DataFrame:
@@ -238,23 +307,35 @@ def segment_join(texts: DataFrame, threshold: float = 0.75, size: int = 5) -> Da
     that band, else null. A key that very many texts have is one skewed join key, which adaptive execution splits.
     """
     spark = texts.sparkSession
-    counts = spark.sparkContext.broadcast(substring_counts(texts, size))
+    counts = spark.sparkContext.broadcast(rarity_counts(texts, size))
+
+    def each(batches: Iterator[pa.RecordBatch], seen) -> Iterator[tuple[pa.RecordBatch, Keys]]:  # noqa: ANN001
+        for b in batches:
+            for at in range(0, b.num_rows, 1 << TEXT_BITS):
+                part = b.slice(at, 1 << TEXT_BITS)
+                yield part, Keys(part.column("text").to_pylist(), part.column("kind").to_pylist(), counts.value, threshold, size, seen and seen.value)
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        """2**SEEN_BITS bits, packed: one is set for the hash range of each mark."""
+        bits = np.zeros(1 << SEEN_BITS, bool)
+        for _, keys in each(batches, None):
+            bits[_seen(keys.marks(threshold))] = True
+        return np.packbits(bits, bitorder="little").view(np.int64)
 
-    def keys(seen) -> object:  # noqa: ANN001
+    def rows(seen) -> object:  # noqa: ANN001
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for at in range(0, b.num_rows, 1000):
-                    part = b.slice(at, 1000)
-                    h, owner, pos, n, sketch = join_keys(part.column("text").to_pylist(), part.column("kind").to_pylist(), counts.value, threshold, size, seen and seen.value)
-                    cols = [pa.array(h.view(np.int64)), pa.array(pos), pa.array(n[owner]), part.column("k").take(pa.array(owner)), *[pa.array(np.ascontiguousarray(sketch[owner, i])) for i in range(len(_SKETCH))]]
-                    yield pa.RecordBatch.from_arrays(cols, names=["h", "at", "n", "k", *_SKETCH])
+            for part, x in each(batches, seen):
+                cols = [pa.array(x.h.view(np.int64)), pa.array(x.at), pa.array(x.n[x.owner].astype(np.int32)), part.column("k").take(pa.array(x.owner))]
+                cols += [pa.array(np.ascontiguousarray(x.sketch[x.owner, i])) for i in range(len(_SKETCH))]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "at", "n", "k", *_SKETCH])
 
         return run
 
     schema = "h long, at int, n int, k binary, " + ", ".join(f"{x} long" for x in _SKETCH)
-    e = cut(texts.where("in_eval").select("k", "kind", "text").mapInArrow(keys(None), schema))
-    seen = spark.sparkContext.broadcast(seen_bits(e))
-    t = texts.where("in_train").select("k", "kind", "text").mapInArrow(keys(seen), schema)
+    asked = texts.where("in_eval").select("k", "kind", "text")
+    seen = spark.sparkContext.broadcast(corpus_table(asked, marks, np.bitwise_or))
+    e = asked.mapInArrow(rows(None), schema)
+    t = texts.where("in_train").select("k", "kind", "text").mapInArrow(rows(seen), schema)
     e, t = (d.select("h", *[F.col(c).alias(f"{x}_{c}") for c in d.columns if c != "h"]) for d, x in ((e, "e"), (t, "t")))
     close = F.least("e_n", "t_n") >= F.greatest("e_n", "t_n") * threshold - _EPS
     apart = sum((F.bit_count(F.col(f"e_{x}").bitwiseXOR(F.col(f"t_{x}"))) for x in _SKETCH[1:]), F.bit_count(F.col(f"e_{_SKETCH[0]}").bitwiseXOR(F.col(f"t_{_SKETCH[0]}"))))

@@ -134,5 +134,5 @@ def test_paths(spark):
     data = [("a", a, "train", "", 1), ("b", a[:50] + "x" + a[52:], "val", "", 1), ("c", a[100:] + a[:100], "test", "", 1), ("d", a, "test", "", 1)]
     data += [("e", "".join(binders), "train", "", 1), ("f", "".join(binders[::-1]), "val", "", 1)]
     found = overlap.cross_split_pairs(of(spark, data))
-    assert rows(found.select("eval_id", "path", "edits")) == [("b", "edits", 2), ("c", "sets", None), ("d", "equal", 0), ("f", "edits", 16)]
-    assert rows(overlap.pair_paths(found).select("table_name", "path", "n_pairs")) == [("t", "edits", 2), ("t", "equal", 1), ("t", "sets", 1)]
+    assert rows(found.select("eval_id", "path", "edits")) == [("b", "edits", 2), ("c", "sets", None), ("d", "equal", 0), ("f", "sets", 16)]
+    assert rows(overlap.pair_paths(found).select("table_name", "path", "n_pairs")) == [("t", "edits", 1), ("t", "equal", 1), ("t", "sets", 2)]
