@@ -3,7 +3,7 @@
 Each of ``tables`` hash tables cuts ``width``-wide slots along ``hashes`` Gaussian directions. Every vector is indexed in
 its own bucket of each table and looks into that bucket and ``probes`` neighbouring ones, visited in the order of their
 estimated success (the template of Lv et al. over the sorted distances to the slot borders). Candidates of all tables are
-merged, thinned by a 128-bit sign sketch whose bound lies four standard deviations beyond the threshold, and ranked by
+merged, thinned by a 192-bit sign sketch whose bound lies 3.5 standard deviations beyond the threshold, and ranked by
 exact cosine. Equal vectors form one class; a list can hold no more than the k + 1 smallest ids of a class (ties go to the
 smaller id), so classes of any size stay exact without pairs inside them. A bucket that holds very many rows (nearly equal
 vectors) is cut into blocks on both sides; every pair of blocks is a matrix product that keeps the best of each query, so
@@ -12,20 +12,25 @@ neither its pairs nor its rows meet in one task.
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lemmary.functions.keys import clean_key
-from lemmary.operators.cut import cut
+from lemmary.operators.cut import cut, release
 
-SKETCH_BITS = 128
+SKETCH_BITS = 192
+_SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+#: Buckets' rows of a partition up to this size are joined by a hash table, checked at run time; larger ones by sorting.
+HASH_JOIN_BYTES = "64MB"
 #: Buckets of more rows are ranked in blocks of fixed size instead of pair by pair.
 LARGE_BUCKET, QUERY_BLOCK, INDEX_BLOCK = 1024, 2048, 4096
 
@@ -50,7 +55,7 @@ def probe_template(hashes: int, probes: int) -> list[tuple[int, ...]]:
 
 def default_hashes(n: int) -> int:
     """Directions per table for ``n`` vectors: one more per doubling beyond 2**16, so that buckets keep their size."""
-    return 8 + max(0, math.ceil(math.log2(max(n, 1) / 65536)))
+    return 9 + max(0, math.ceil(math.log2(max(n, 1) / 65536)))
 
 
 class Hasher:
@@ -85,7 +90,7 @@ class Hasher:
 
 def usable_vectors(vectors: DataFrame, dim: int) -> DataFrame:
     """(kind, id, v) of rows whose vector has ``dim`` finite values that aren't all zero, each entity once."""
-    v = F.col("embedding").cast("array<double>")
+    v = F.col("embedding")
     ok = (F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.where(ok).select(clean_key("entity_type").alias("kind"), clean_key("entity_id").alias("id"), v.alias("v"))
     return rows.where(F.col("kind").isNotNull() & F.col("id").isNotNull()).groupBy("kind", "id").agg(F.min("v").alias("v"))
@@ -99,6 +104,18 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+@contextlib.contextmanager
+def _hash_joins(spark: SparkSession) -> Iterator[None]:
+    """Within, adaptive execution may join by hash table what it has measured to be small enough."""
+    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, HASH_JOIN_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _large_buckets(query: DataFrame, index: DataFrame, sizes: DataFrame, classes: DataFrame, best: int, min_cosine: float) -> DataFrame:
     """(a, b, cosine): for the queries of large buckets the ``best`` others of each block of a bucket, by cosine, then id."""
     asked = cut(query.select("bucket", "c").join(sizes, "bucket"))
@@ -134,7 +151,7 @@ def _large_buckets(query: DataFrame, index: DataFrame, sizes: DataFrame, classes
     return groups.applyInArrow(rank, "a long, b long, cosine double")
 
 
-def nearest_lists(vectors: DataFrame, k: int = 10, min_cosine: float = 0.8, dim: int = 64, hashes: int | None = None, width: float | None = None, tables: int = 8, probes: int = 28, seed: int = 7) -> DataFrame:
+def nearest_lists(vectors: DataFrame, k: int = 10, min_cosine: float = 0.8, dim: int = 64, hashes: int | None = None, width: float | None = None, tables: int = 8, probes: int = 10, seed: int = 7) -> DataFrame:
     """(kind, id, other, cosine, rank): of every entity the k others of its kind with the highest cosine, from ``min_cosine`` on.
 
     Cosines are doubles rounded to 6 decimals; ties go to the smaller id. Null vectors, vectors of another length and zero
@@ -142,12 +159,12 @@ def nearest_lists(vectors: DataFrame, k: int = 10, min_cosine: float = 0.8, dim:
     :func:`default_hashes`, ``width`` grows with its root, which keeps the chance of a hit. Recall is below 1 by the nature
     of the method (measured: see README); what is returned has exact cosines.
     """
-    entities = cut(usable_vectors(vectors, dim).withColumn("vk", F.xxhash64("kind", F.to_json("v"))).withColumn("vm", F.md5(F.to_json("v").cast("binary"))))
+    entities = cut(usable_vectors(vectors, dim).withColumn("vm", F.md5(F.to_json("v").cast("binary"))))
     classes = entities.groupBy("kind", "vm").agg(F.min("id").alias("cid"), F.first("v").alias("v"))
     classes = cut(classes.select("kind", "vm", F.xxhash64("kind", "cid").alias("c"), "cid", "v"))
-    n = classes.count()
+    spark, n = classes.sparkSession, classes.count()
     hashes = hashes or default_hashes(n)
-    hasher = Hasher(dim, hashes, width or 0.55 * math.sqrt(hashes), tables, probes, seed)
+    hasher = Hasher(dim, hashes, width or 0.65 * math.sqrt(hashes), tables, probes, seed)
 
     def salt(kinds: pa.Array) -> np.ndarray:
         seen = {x: (zlib.crc32(str(x).encode()) << 29) for x in set(kinds.to_pylist())}
@@ -163,22 +180,22 @@ def nearest_lists(vectors: DataFrame, k: int = 10, min_cosine: float = 0.8, dim:
                 s = hasher.sketch(x)
                 rep = keys.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), pa.array(np.repeat(b.column("c").to_numpy(), rep)), pa.array(np.repeat(s[:, 0], rep)), pa.array(np.repeat(s[:, 1], rep))],
-                    names=["bucket", "c", "s0", "s1"],
+                    [pa.array(keys.ravel()), pa.array(np.repeat(b.column("c").to_numpy(), rep)), *[pa.array(np.repeat(s[:, i], rep)) for i in range(len(_SKETCH))]],
+                    names=["bucket", "c", *_SKETCH],
                 )
 
-    schema = "bucket long, c long, s0 long, s1 long"
+    schema = "bucket long, c long, " + ", ".join(f"{x} long" for x in _SKETCH)
     source = classes.select("kind", "c", "v")
-    index = cut(source.mapInArrow(lambda it: emit(it, False), schema).select("bucket", *[F.col(x).alias(f"i_{x}") for x in ("c", "s0", "s1")]))
+    index = cut(source.mapInArrow(lambda it: emit(it, False), schema).select("bucket", *[F.col(x).alias(f"i_{x}") for x in ("c", *_SKETCH)]))
     query = source.mapInArrow(lambda it: emit(it, True), schema)
     sizes = cut(index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE_BUCKET))
     has_large = not sizes.isEmpty()
     small = index.join(sizes.select("bucket"), "bucket", "left_anti") if has_large else index
     p = math.acos(min_cosine) / math.pi
-    far = math.ceil(SKETCH_BITS * p + 4 * math.sqrt(SKETCH_BITS * p * (1 - p)))
-    apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("i_s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("i_s1")))
+    far = math.ceil(SKETCH_BITS * p + 3.5 * math.sqrt(SKETCH_BITS * p * (1 - p)))
+    apart = reduce(Column.__add__, [F.bit_count(F.col(x).bitwiseXOR(F.col(f"i_{x}"))) for x in _SKETCH])
     found = (
-        query.join(small.hint("shuffle_hash"), "bucket")
+        query.join(small, "bucket")
         .where((F.col("c") != F.col("i_c")) & (apart <= far))
         .select(F.least("c", "i_c").alias("a"), F.greatest("c", "i_c").alias("b"))
         .distinct()
@@ -193,7 +210,10 @@ def nearest_lists(vectors: DataFrame, k: int = 10, min_cosine: float = 0.8, dim:
                 keep = cos >= min_cosine
                 yield pa.RecordBatch.from_arrays([pa.array(t.column("a").to_numpy()[keep]), pa.array(t.column("b").to_numpy()[keep]), pa.array(cos[keep])], names=["a", "b", "cosine"])
 
-    close = cut(found.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(rank, "a long, b long, cosine double"))
+    with _hash_joins(spark):
+        close = cut(found.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(rank, "a long, b long, cosine double"))
+    if not has_large:
+        release(index, sizes)
     members = entities.select("kind", "id", "vm").join(classes.select("kind", "vm", "c"), ["kind", "vm"]).select("kind", "id", "c")
     by_class = Window.partitionBy("c").orderBy("id")
     first = cut(members.withColumn("place", F.row_number().over(by_class)).where(F.col("place") <= k + 1))
