@@ -164,7 +164,7 @@ def nearest_lists(vectors: DataFrame, k: int = 10, min_cosine: float = 0.8, dim:
     classes = cut(classes.select("kind", "vm", F.xxhash64("kind", "cid").alias("c"), "cid", "v"))
     spark, n = classes.sparkSession, classes.count()
     hashes = hashes or default_hashes(n)
-    hasher = Hasher(dim, hashes, width or 0.65 * math.sqrt(hashes), tables, probes, seed)
+    hasher = Hasher(dim, hashes, width or 0.6 * math.sqrt(hashes), tables, probes, seed)
 
     def salt(kinds: pa.Array) -> np.ndarray:
         seen = {x: (zlib.crc32(str(x).encode()) << 29) for x in set(kinds.to_pylist())}
