@@ -114,7 +114,11 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_by_source(truncation.truncated(table(spark, d, "documents")))
 
 
+def p9_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_reasons(truncation.truncated(table(spark, d, "documents")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_linked, p2_found, p2_lists, p3_found, p3_splits, p3_edge_splits, p5_found, p5_paths, p5_report, p6_found, p6_pairs, p7_ids, p8_containers, p8_summary, p9_found, p9_sources)
+    for f in (p1_found, p1_linked, p2_found, p2_lists, p3_found, p3_splits, p3_edge_splits, p5_found, p5_paths, p5_report, p6_found, p6_pairs, p7_ids, p8_containers, p8_summary, p9_found, p9_reasons, p9_sources)
 }

@@ -59,9 +59,48 @@ def test_length_limits_stand_alone(spark):
     docs = [(i, "x" * 100 + f"{i:04}" + "y" * r.randrange(300), "a", 1, 1) for i in range(500)] + [(1000 + i, f"{i:04}" + "z" * 246, "a", 1, 1) for i in range(60)]
     docs += [(2000 + i, f"{i:03}" + "é" * 100 + "q" * 57, "b", 1, 1) for i in range(30)] + [(3000 + i, f"{i:04}" + "e" * (20 + i % 5), "c", 1, 1) for i in range(400)]
     got = rows(truncation.length_limits(spark.createDataFrame(docs, SCHEMA)))
-    assert ("a", "chars", 250) in got and ("b", "bytes", 260) in got and not [x for x in got if x[0] == "c"]
+    assert ("=a", "chars", 250) in got and ("=b", "bytes", 260) in got and not [x for x in got if x[0] == "=c"]
 
 
 def test_ending():
     e = lambda t: truncation.ending(t)[0]
-    assert e("All is well!") == "done" and e("x ```\ncode") == "cut" and e("done. […]") == "cut" and e("and so on...") == "ask…" and e("the") == "ask" and e("(all of it?)") == "done"
+    assert e("All is well!") == "done" and e("x ```\ncode") == "fence" and e("done. […]") == "omission" and e("and so on...") == "ask" and e("the") == "ask" and e("(all of it?)") == "done"
+    assert e("half \ufffd") == "character" and e("one two three four five six seven eight nine") == "ask long"
+    assert truncation.ending("x " * 3000 + "y" * 5000)[1][3] == "y" * 5000  # the whole last token, however long
+
+
+def test_null_source_is_its_own(spark):
+    docs = [(i, f"{i:04}" + "z" * 246 + ".", None, 1, 1) for i in range(60)] + [(100 + i, "q" * (i + 20) + ".", "", 1, 1) for i in range(300)]
+    got = rows(truncation.length_limits(spark.createDataFrame(docs, SCHEMA)))
+    assert got == [("null", "chars", 251)]
+
+
+def test_counts_against_a_plain_count():
+    from collections import Counter
+
+    texts = ["A cat sat. Then 12 cats sat...\nthe end", "", None, "one\n\n```\ncode x\n```\nFoo.bar it", "the end", "x"]
+    ends, more, words = Counter(), Counter(), Counter()
+    for t in texts:
+        seen = set()
+        for line in truncation.prose_lines(truncation.stripped(t or "")):
+            tokens = truncation._TOKEN.findall(truncation._bare(line))
+            seen.update(tokens)
+            s = ["^", "^", *map(truncation.shape, tokens)]
+            for i, x in enumerate(tokens):
+                k = tuple(s[i : i + 3])
+                if i + 1 == len(tokens):
+                    ends[k] += 1
+                elif x != "." or not truncation._opens(tokens[i + 1]):
+                    more[k] += 1
+                else:
+                    more[k] += 0
+        for part in (t or "").split("```")[1::2]:
+            seen.update(truncation._TOKEN.findall(part))
+        words.update(seen)
+    got_words, n, lasts, (g, ctx, e, m, h, e2, m2) = truncation.batch_counts(texts)
+    assert dict(zip(got_words, n.tolist(), strict=True)) == words | {w: 0 for w in got_words if w not in words}
+    key = lambda k: int(truncation._chain(truncation._chain(*(truncation._word_hashes([x]) for x in k[:2])), truncation._word_hashes([k[2]])).view("i8")[0])
+    want = {key(k): (k[2], ends[k], more[k]) for k in ends.keys() | more.keys()}
+    assert {a: (w, b, c) for a, w, b, c in zip(g.tolist(), lasts, e.tolist(), m.tolist(), strict=True)} == want
+    assert e.sum() == e2.sum() and m.sum() == m2.sum() and set(ctx.tolist()) == set(h.tolist())
+    assert truncation.batch_counts([])[0] == [] and len(truncation.batch_counts(["", None])[3][0]) == 0
