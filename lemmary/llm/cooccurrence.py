@@ -57,9 +57,8 @@ def cooccurring_pairs(rows: DataFrame, basket_col: str, item_col: str, min_count
 
     # rare with rare
     sizes = light.groupBy("basket").agg(F.count(F.lit(1)).alias("m"))
-    large_at = max(block, (light.count() // 65536) + 1)
-    large = sizes.where(F.col("m") > large_at).select("basket", F.ceil(F.col("m") / block).cast("int").alias("blocks"))  # fewer than 65,536
-    blocked = light.join(F.broadcast(large), "basket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    large = sizes.where(F.col("m") > block).select("basket", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    blocked = light.join(large, "basket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     blocked = blocked.withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
     left = blocked.select("basket", F.col("item").alias("x"), F.col("own").alias("bi"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("bj"))
     right = blocked.select("basket", F.col("item").alias("y"), F.explode(F.sequence(F.lit(0), "own")).alias("bi"), F.col("own").alias("bj"))

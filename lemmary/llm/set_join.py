@@ -41,34 +41,36 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     """(class_a, class_b, overlap, jaccard) of all pairs of classes with Jaccard similarity of at least ``threshold``.
 
     A hot prefix token makes one skewed join key; adaptive execution splits it over tasks, the rows being joinable in
-    any subsets. A pair comes out once, at the first token both prefixes share.
+    any subsets.
     """
     tokens = classes.select("class_id", F.explode("tokens").alias("tok"))
     counted = with_key_counts(tokens, "tok", [F.col("class_id")], "df")
     ordered = counted.groupBy("class_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("tok").alias("h")))), lambda x: x["h"]).alias("t")
     )
-    n = F.size("t")
-    sized = cut(ordered.withColumn("n", n))
-    prefix = sized.select("class_id", "n", "t", F.posexplode(F.slice("t", F.lit(1), F.col("n") - _ceil(F.col("n") * threshold) + 1)).alias("pos", "h"))
-    a = prefix.select(*[F.col(c).alias(f"a_{c}") for c in ("class_id", "n", "t", "pos")], F.col("h"))
-    b = prefix.select(*[F.col(c).alias(f"b_{c}") for c in ("class_id", "n", "t", "pos")], F.col("h"))
+    parity = [f"aggregate(filter(t, x -> (x & 64) = {64 * i}), 0L, (a, x) -> a ^ shiftleft(1L, CAST(x & 63 AS int)))" for i in range(2)]
+    sized = cut(ordered.select("class_id", "t", F.size("t").alias("n"), *[F.expr(p).alias(f"s{i}") for i, p in enumerate(parity)]))
+    prefix = sized.select("class_id", "n", "s0", "s1", F.posexplode(F.slice("t", F.lit(1), F.col("n") - _ceil(F.col("n") * threshold) + 1)).alias("pos", "h"))
+    a = prefix.select(*[F.col(c).alias(f"a_{c}") for c in ("class_id", "n", "s0", "s1", "pos")], F.col("h"))
+    b = prefix.select(*[F.col(c).alias(f"b_{c}") for c in ("class_id", "n", "s0", "s1", "pos")], F.col("h"))
     need = _ceil((F.col("a_n") + F.col("b_n")) * (threshold / (1 + threshold)))
     longer = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_class_id") < F.col("b_class_id")))
     close = F.col("a_n") >= F.col("b_n") * threshold - _EPS
     possible = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= need
-    common = F.array_intersect("a_t", "b_t")
+    apart = F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))) + F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1")))
+    alike = apart <= F.col("a_n") + F.col("b_n") - 2 * need
+    candidates = a.join(b, "h").where(longer & close & possible & alike).select("a_class_id", "b_class_id").distinct()
+    side = lambda x: sized.select(F.col("class_id").alias(f"{x}_class_id"), F.col("n").alias(f"{x}_n"), F.col("t").alias(f"{x}_t"))
+    overlap = F.size(F.array_intersect("a_t", "b_t"))
     return (
-        a.join(b, "h")
-        .where(longer & close & possible)
-        .where((common[0] == F.col("h")) & (F.size(common) >= need))
+        candidates.join(side("a"), "a_class_id").join(side("b"), "b_class_id").withColumn("overlap", overlap).where(F.col("overlap") >= need)
         .select(
             F.least("a_class_id", "b_class_id").alias("class_a"),
             F.greatest("a_class_id", "b_class_id").alias("class_b"),
-            F.size(common).alias("overlap"),
-            (F.size(common) / (F.col("a_n") + F.col("b_n") - F.size(common))).alias("jaccard"),
+            "overlap",
+            (F.col("overlap") / (F.col("a_n") + F.col("b_n") - F.col("overlap"))).alias("jaccard"),
         )
-    )
+    )
 
 
 def similar_record_pairs(members: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -40,3 +40,11 @@ def test_heavy_items_use_the_bit_matrix(spark):
 
 def test_empty(spark):
     assert rows(cooccurrence.cooccurring_pairs(spark.createDataFrame([], SCHEMA), "b", "i")) == []
+
+
+def test_a_basket_larger_than_a_block_is_cut_at_every_size(spark):
+    """700 light items in one basket and blocks of 100: 49 pairs of blocks, none of which counts more than 100 x 100 pairs."""
+    data = [("big", f"i{i:03}") for i in range(700)] + [(f"b{j}", f"i{i:03}") for i in range(0, 700, 7) for j in range(i, i + 3)] + [(f"b{j}", f"i{i + 1:03}") for i in range(0, 700, 7) for j in range(i, i + 3)]
+    d = spark.createDataFrame(data, "basket string, item string")
+    got = {(r["item_a"], r["item_b"]): r["n_both"] for r in cooccurrence.cooccurring_pairs(d, "basket", "item", min_count=4, min_lift=1.0, block=100).collect()}
+    assert got == {(f"i{i:03}", f"i{i + 1:03}"): 4 for i in range(0, 700, 7)}
