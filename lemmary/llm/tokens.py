@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 #: Default vocabulary; a parameter of every operator.
@@ -110,9 +111,9 @@ def piece_starts(codes: np.ndarray, block: int = 128) -> np.ndarray:
 class Encoder:
     """Pair merging by rank, cached per piece; the cache is emptied when it holds ``cache_size`` pieces."""
 
-    def __init__(self, ranks_path: str = RANKS, cache_size: int = 300_000) -> None:
-        with open(ranks_path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, vocabulary: bytes, cache_size: int = 300_000) -> None:
+        """``vocabulary``: the content of a file with one base64 token and its rank per line."""
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
         self.tokens = {v: k for k, v in self.ranks.items()}
         self.cache: dict[str, list[int]] = {}
         self.cache_size = cache_size
@@ -178,8 +179,18 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(ranks_path: str) -> Encoder:
-    return Encoder(ranks_path)
+def encoder(vocabulary: bytes) -> Encoder:
+    return Encoder(vocabulary)
+
+
+def read_vocabulary(path: str = RANKS) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def _shipped(docs: DataFrame, ranks_path: str) -> Broadcast:
+    """The vocabulary (about a megabyte) read by the driver, so that executors need no file of their own."""
+    return docs.sparkSession.sparkContext.broadcast(read_vocabulary(ranks_path))
 
 
 def _chunks(batch: pa.RecordBatch, max_chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -202,10 +213,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     character position of the piece each id belongs to. A narrow operation: no shuffle.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+    id_type, vocabulary = rows.schema["doc_id"].dataType.simpleString(), _shipped(docs, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks_path)
+        enc = encoder(vocabulary.value)
         for batch in batches:
             for part, texts in _chunks(batch):
                 ids, sizes, at = enc.encode_batch(texts)
@@ -222,10 +233,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS) -> DataFrame:
     """(doc_id, n_tokens): sizes of all texts; the ids stay in the Python workers."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+    id_type, vocabulary = rows.schema["doc_id"].dataType.simpleString(), _shipped(docs, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks_path)
+        enc = encoder(vocabulary.value)
         for batch in batches:
             for part, texts in _chunks(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(enc.encode_batch(texts)[1])], names=["doc_id", "n_tokens"])

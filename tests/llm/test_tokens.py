@@ -24,7 +24,7 @@ def reference():
 
 
 def encode(texts):
-    ids, per, off = tokens.encoder(tokens.RANKS).encode_batch(texts)
+    ids, per, off = tokens.encoder(tokens.read_vocabulary()).encode_batch(texts)
     out, at = [], 0
     for n in per:
         out.append((ids[at : at + n].tolist(), off[at : at + n].tolist()))
@@ -43,7 +43,7 @@ def test_cases(reference):
 @given(st.text(max_size=80))
 def test_round_trip(text):
     [(ids, off)] = encode([text])
-    assert tokens.encoder(tokens.RANKS).decode(ids) == text
+    assert tokens.encoder(tokens.read_vocabulary()).decode(ids) == text
     assert off == sorted(off) and (not off or off[0] == 0)
 
 
