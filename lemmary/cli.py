@@ -46,7 +46,7 @@ def evaluate_t2(p: Pipeline, a: argparse.Namespace) -> None:
 
 def aggregate_guidance(p: Pipeline, a: argparse.Namespace) -> None:
     """Guidance bundles as JSON lines."""
-    q._bundles(p).write.mode("overwrite").json(f"{a.out}/t3_{suffix(p.split, a.llm)}_bundles")
+    q.bundles(p, llm=a.llm).write.mode("overwrite").json(f"{a.out}/t3_{suffix(p.split, a.llm)}_bundles")
 
 
 def build_report(p: Pipeline, a: argparse.Namespace) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lemmary.functions.keys import clean_values
 from lemmary.operators import enrich, export, fusion, guidance, metrics, profiles, report, retrieval, tfidf, theorem
+from lemmary.operators.cut import cut
 from lemmary.plans.graph_sql import ORACLE  # noqa: F401
 from lemmary.plans.model import Model
 from lemmary.plans.pipeline import SOURCES, Pipeline
@@ -139,7 +140,7 @@ def export_manifest(p: Pipeline) -> DataFrame:
 
 @query
 def first_states(p: Pipeline) -> DataFrame:
-    return profiles.first_states(p.states).select("theorem_id", "id", "tactic_idx", "n")
+    return profiles.first_states(p.theorem_states).select("theorem_id", "id", "tactic_idx", "n")
 
 
 @query
@@ -159,7 +160,7 @@ def theorem_profiles(p: Pipeline) -> DataFrame:
 
 @query
 def theorem_profiles_without_arrays(p: Pipeline) -> DataFrame:
-    return profiles.theorem_profiles(p.m.theorems(), p.states, arrays=False).select("theorem_id", "profile_text")
+    return profiles.theorem_profiles(p.m.theorems(), p.theorem_states, arrays=False).select("theorem_id", "profile_text")
 
 
 @query
@@ -414,14 +415,12 @@ def t2_summary_llm(p: Pipeline) -> DataFrame:
 # guidance
 
 
-def _guidance(p: Pipeline, limit: int = 25) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Queries, their neighbours, premise and strategy suggestions; votes in the order of state id, then premise or label."""
-    q = guidance.first_queries(p.profiles.where(F.col("split") == p.split), limit)
-    near = p.theorem_neighbors.join(F.broadcast(q.select("query_id")), "query_id", "left_semi")
-    s = p.states.where("split = 'train' AND theorem_id IS NOT NULL").select(F.col("id").alias("proof_state_id"), "theorem_id")
-    votes = p.m.edges().join(s, "proof_state_id").select("theorem_id", F.col("premise_id").alias("item_id"), F.col("proof_state_id").alias("seq"))
-    labels = p.m.techniques().where("split = 'train'").select("theorem_id", F.col("label").alias("item_id"), F.col("proof_state_id").alias("seq"))
-    return q, near, guidance.positional_votes(near, votes, 10), guidance.positional_votes(near, labels, 8)
+def _guidance(p: Pipeline, limit: int = 25, llm: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The first query theorems in file order, their neighbours (``llm``: of the enriched profiles), premise and strategy suggestions."""
+    theorems = p.profiles.where(F.col("split") == p.split).join(p.m.theorem_order().withColumnRenamed("id", "theorem_id"), "theorem_id")
+    q = cut(guidance.first_queries(theorems, limit))
+    near = cut((p.theorem_neighbors_llm if llm else p.theorem_neighbors).join(q.select("query_id"), "query_id", "left_semi"))
+    return q, near, guidance.positional_votes(near, p.m.premise_votes("train"), 10), guidance.positional_votes(near, p.m.label_votes("train"), 8)
 
 
 @query
@@ -439,27 +438,38 @@ def guidance_strategies(p: Pipeline) -> DataFrame:
     return _guidance(p)[3]
 
 
-def _bundles(p: Pipeline) -> DataFrame:
-    q, near, prem, strat = _guidance(p)
-    return guidance.bundles(q, near, prem, strat, p.premises.where("split = 'train'").select("id", "full_name"), p.m.features())
+def train_names(p: Pipeline) -> DataFrame:
+    return p.premises.where("split = 'train'").select("id", "full_name")
+
+
+def bundles(p: Pipeline, limit: int = 25, llm: bool = False) -> DataFrame:
+    return guidance.bundles(*_guidance(p, limit, llm), train_names(p), p.m.features())
 
 
 @query
 def guidance_bundles(p: Pipeline) -> DataFrame:
-    return _bundles(p)
+    return guidance.flat_bundles(bundles(p))
+
+
+@query
+def guidance_bundles_llm(p: Pipeline) -> DataFrame:
+    return guidance.flat_bundles(bundles(p, llm=True))
 
 
 @query
 def guidance_summary(p: Pipeline) -> DataFrame:
-    return guidance.bundle_summary(_bundles(p))
+    return guidance.bundle_summary(bundles(p))
+
+
+@query
+def guidance_histograms(p: Pipeline) -> DataFrame:
+    return guidance.histograms(bundles(p))
 
 
 @query
 def guidance_evidence(p: Pipeline) -> DataFrame:
-    """Premises by their score over all bundles, by name."""
-    names = p.premises.where("split = 'train'").select(F.col("id").alias("item_id"), "full_name")
-    got = _guidance(p)[2].join(names, "item_id", "left").groupBy(F.coalesce("full_name", "item_id").alias("name"))
-    return got.agg(F.round(F.sum("score"), 6).alias("score"), F.count(F.lit(1)).alias("n_bundles"))
+    _, _, premises, strategies = _guidance(p)
+    return guidance.evidence(premises, strategies, train_names(p))
 
 
 # statistics, report, enrichment
@@ -494,7 +504,7 @@ def report_markdown(p: Pipeline) -> DataFrame:
 @query
 def llm_enrich_stub(p: Pipeline) -> DataFrame:
     """Answers of the offline client for theorems that the enrichment table lacks."""
-    goals = profiles.first_states(p.states).groupBy("theorem_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "goal_text", "symbols"))), lambda x: x).alias("s"))
+    goals = profiles.first_states(p.theorem_states).groupBy("theorem_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "goal_text", "symbols"))), lambda x: x).alias("s"))
     goals = goals.select("theorem_id", F.transform("s", lambda x: x["goal_text"]).alias("goals"), clean_values(F.flatten(F.transform("s", lambda x: F.coalesce(x["symbols"], F.array().cast("array<string>"))))).alias("symbols"))
     base = p.m.theorems().withColumnRenamed("id", "theorem_id").join(goals, "theorem_id", "left")
     wanted = enrich.requests(base, "offline").join(p.m.enrichment().select("theorem_id"), "theorem_id", "left_anti")

@@ -9,8 +9,9 @@ def _key(c: str) -> str:
     return f"CASE WHEN regexp_matches({c}, '\\S') THEN trim({c}, ' ') END"
 
 
-def _mins(cols: str) -> str:
-    return ", ".join(f"min({c}) AS {c}" for c in cols.split())
+def _whole(source: str, by: str, order: str) -> str:
+    """One whole row per ``by``, the first in ``order``."""
+    return f"SELECT * EXCLUDE (pick) FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {', '.join(c + ' NULLS LAST' for c in order.split())}) AS pick FROM ({source})) WHERE pick = 1"
 
 
 _TOKEN = r"[\pL\pN_][\pL\pN_''.:]*|[^\s\x0b\x1c-\x1f\x{85}\pZ]"
@@ -92,24 +93,25 @@ def _unit(view: str) -> str:
 
 
 VIEWS: dict[str, str] = {
-    "th": f"SELECT {_key('id')} AS id, {_mins('full_name file_path domain_tag subdomain_tag split')} FROM theorems GROUP BY 1 HAVING {_key('any_value(id)')} IS NOT NULL",
-    "ps": f"""SELECT * REPLACE ({_key('theorem_id')} AS theorem_id) FROM (SELECT {_key('id')} AS id, {_mins('theorem_id full_name tactic_idx goal_text tactic domain_tag subdomain_tag split')},
- any_value(local_hypotheses) AS local_hypotheses, any_value(symbols) AS symbols FROM proof_states GROUP BY 1) WHERE id IS NOT NULL""",
-    "pr": f"SELECT * FROM (SELECT {_key('id')} AS id, {_mins('full_name file_path domain_tag subdomain_tag code split')} FROM premises GROUP BY 1) WHERE id IS NOT NULL",
-    "en": f"""SELECT * FROM (SELECT {_key('theorem_id')} AS theorem_id, {_mins('full_name split topic goal_pattern difficulty_bucket_hint prompt_version prompt_hash model')},
- any_value(mathematical_objects) AS mathematical_objects, any_value(key_symbols) AS key_symbols, any_value(useful_lemma_types) AS useful_lemma_types, any_value(strategy_facets) AS strategy_facets,
- any_value(likely_tactics) AS likely_tactics, any_value(difficulty_reasons) AS difficulty_reasons FROM theorem_enrichment GROUP BY 1) WHERE theorem_id IS NOT NULL""",
+    "th": _whole(f"SELECT * REPLACE ({_key('id')} AS id) FROM theorems WHERE {_key('id')} IS NOT NULL", "id", "split full_name file_path domain_tag subdomain_tag"),
+    "psx": f"SELECT * REPLACE ({_key('id')} AS id, {_key('theorem_id')} AS theorem_id), row_number() OVER () AS seq FROM proof_states",
+    "ps": _whole("SELECT * FROM psx WHERE id IS NOT NULL", "id", "theorem_id split full_name tactic_idx goal_text tactic domain_tag subdomain_tag symbols local_hypotheses"),
+    "pst": _whole("SELECT * FROM psx WHERE id IS NOT NULL AND theorem_id IS NOT NULL", "id, theorem_id", "split full_name tactic_idx goal_text tactic domain_tag subdomain_tag symbols local_hypotheses"),
+    "lk": "SELECT DISTINCT id, theorem_id, split FROM psx WHERE id IS NOT NULL AND theorem_id IS NOT NULL",
+    "pr": _whole(f"SELECT * REPLACE ({_key('id')} AS id) FROM premises WHERE {_key('id')} IS NOT NULL", "id", "split full_name file_path domain_tag subdomain_tag code"),
+    "en": _whole(f"SELECT * REPLACE ({_key('theorem_id')} AS theorem_id) FROM theorem_enrichment WHERE {_key('theorem_id')} IS NOT NULL", "theorem_id",
+        "prompt_version prompt_hash model split full_name topic goal_pattern difficulty_bucket_hint mathematical_objects key_symbols useful_lemma_types strategy_facets likely_tactics difficulty_reasons"),
     "ed": f"SELECT DISTINCT * FROM (SELECT {_key('proof_state_id')} AS proof_state_id, {_key('premise_id')} AS premise_id FROM positive_edges) WHERE proof_state_id IS NOT NULL AND premise_id IS NOT NULL",
-    "tech": "SELECT id AS proof_state_id, theorem_id, split_part(trim(tactic, ' '), ' ', 1) AS label, split FROM ps WHERE split_part(trim(tactic, ' '), ' ', 1) != ''",
+    "tech": "SELECT DISTINCT id AS proof_state_id, theorem_id, split_part(trim(tactic, ' '), ' ', 1) AS label, split FROM psx WHERE id IS NOT NULL AND split_part(trim(tactic, ' '), ' ', 1) != ''",
     "feat": """SELECT *, CASE WHEN num_proof_states <= 2 THEN 'easy' WHEN num_proof_states <= 6 THEN 'medium' ELSE 'hard' END AS difficulty_bucket FROM
- (SELECT theorem_id, count(*) AS num_proof_states, count(*) + max(coalesce(tactic_idx, 0)) / 10 AS theorem_complexity_score FROM ps WHERE theorem_id IS NOT NULL GROUP BY theorem_id)""",
+ (SELECT theorem_id, count(DISTINCT id) AS num_proof_states, count(DISTINCT id) + max(coalesce(tactic_idx, 0)) / 10 AS theorem_complexity_score FROM psx WHERE id IS NOT NULL AND theorem_id IS NOT NULL GROUP BY theorem_id)""",
     "psv": _vectors("ProofState"),
     "prv": _vectors("Premise"),
     "thv": _vectors("Theorem"),
     "trainpool": "SELECT id FROM pr WHERE split = 'train'",
     "vpool": "SELECT prv.* FROM prv SEMI JOIN trainpool USING (id)",
     "gold": "SELECT proof_state_id AS query_id, premise_id AS item_id FROM ed WHERE proof_state_id IN (SELECT id FROM ps WHERE split = 'test')",
-    "tgold": "SELECT DISTINCT theorem_id AS query_id, premise_id AS item_id FROM ed JOIN ps ON ps.id = proof_state_id WHERE split = 'test' AND theorem_id IS NOT NULL",
+    "tgold": "SELECT DISTINCT theorem_id AS query_id, premise_id AS item_id FROM ed JOIN lk ON lk.id = proof_state_id WHERE split = 'test'",
     "qs": "SELECT ps.*, psv.v FROM ps JOIN psv USING (id) WHERE split = 'test' AND id IN (SELECT query_id FROM gold)",
     "qu": _unit("qs"),
     "vpoolu": _unit("vpool"),
@@ -131,7 +133,7 @@ VIEWS: dict[str, str] = {
     "qsym": "SELECT id, unnest(" + _symbols("array_to_string(symbols, ' ')", "goal_text", "array_to_string(local_hypotheses, ' ')", "full_name") + ") AS term, 1.0 AS w FROM qs",
     "psym": "SELECT id, unnest(" + _symbols("full_name", "code", "file_path") + ") AS term, 1.0 AS w FROM pr WHERE split = 'train'",
     "symbol": _sparse("qsym", "psym", 100),
-    "fs": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY theorem_id ORDER BY tactic_idx NULLS LAST, id) AS n FROM ps WHERE theorem_id IS NOT NULL) WHERE n <= 5",
+    "fs": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY theorem_id ORDER BY tactic_idx NULLS LAST, id) AS n FROM pst) WHERE n <= 5",
     "fsg": f"""SELECT theorem_id, count(*) AS cnt, array_to_string(list(goal_text ORDER BY n) FILTER (regexp_matches(goal_text, '\\S')), chr(10)) AS goals,
  array_to_string({_VALUES.format('flatten(list(coalesce(symbols, [])))')}, ' ') AS syms,
  array_to_string(list_slice(flatten(list(list_slice(list_filter(coalesce(local_hypotheses, []), lambda x: x IS NOT NULL), 1, 4) ORDER BY n)), 1, 12), chr(10)) AS hyps FROM fs GROUP BY theorem_id""",
@@ -164,7 +166,7 @@ VIEWS: dict[str, str] = {
     "thq": "SELECT thvu.* FROM thvu JOIN th USING (id) WHERE split = 'test'",
     "thc": "SELECT thvu.* FROM thvu JOIN th USING (id) WHERE split = 'train'",
     "vnear": _dense("thq", "thc", 20),
-    "tedges": "SELECT DISTINCT theorem_id AS neighbor_id, premise_id AS item_id FROM ed JOIN ps ON ps.id = proof_state_id WHERE split = 'train' AND theorem_id IS NOT NULL",
+    "tedges": "SELECT DISTINCT theorem_id AS neighbor_id, premise_id AS item_id FROM ed JOIN lk ON lk.id = proof_state_id WHERE split = 'train'",
     "tprem": _expand("tnear", "tedges", 20, "rank"),
     "lprem": _expand("lnear", "tedges", 20, "rank"),
     "simth": "SELECT qs.id AS query_id, t.item_id, t.rank, t.score FROM qs JOIN tprem t ON t.query_id = qs.theorem_id",
@@ -271,14 +273,26 @@ _DIFF = _TQ | {
  FROM tq LEFT JOIN da ON da.query_id = tq.query_id LEFT JOIN db ON db.query_id = tq.query_id LEFT JOIN feat ON feat.theorem_id = tq.query_id""",
 }
 _GUIDE = {
-    "gq": "SELECT theorem_id AS query_id, full_name, domain_tag FROM prof WHERE split = 'test' ORDER BY theorem_id LIMIT 25",
+    "tseq": f"SELECT id, min(seq) AS seq FROM (SELECT {_key('id')} AS id, row_number() OVER () AS seq FROM theorems) GROUP BY id",
+    "gq": "SELECT theorem_id AS query_id, full_name, domain_tag FROM prof JOIN tseq ON tseq.id = theorem_id WHERE split = 'test' ORDER BY seq LIMIT 25",
     "gn": "SELECT tnear.* FROM tnear SEMI JOIN gq USING (query_id)",
-    "gtrain": "SELECT id, theorem_id FROM ps WHERE split = 'train' AND theorem_id IS NOT NULL",
-    "gv": "SELECT gn.query_id, ed.premise_id AS item_id, row_number() OVER (PARTITION BY gn.query_id ORDER BY gn.rank, ed.proof_state_id, ed.premise_id) AS place FROM gn JOIN gtrain ON gtrain.theorem_id = gn.item_id JOIN ed ON ed.proof_state_id = gtrain.id",
-    "gl": "SELECT gn.query_id, label AS item_id, row_number() OVER (PARTITION BY gn.query_id ORDER BY gn.rank, proof_state_id, label) AS place FROM gn JOIN tech ON tech.theorem_id = gn.item_id AND tech.split = 'train'",
+    "ge": f"""SELECT ps, premise_id, min(seq) AS seq FROM (SELECT {_key('proof_state_id')} AS ps, {_key('premise_id')} AS premise_id, recorded_at, row_number() OVER () AS seq FROM positive_edges)
+ WHERE ps IS NOT NULL AND premise_id IS NOT NULL GROUP BY ps, premise_id, recorded_at""",
+    "gv": "SELECT gn.query_id, premise_id AS item_id, row_number() OVER (PARTITION BY gn.query_id ORDER BY gn.rank, seq, premise_id) AS place FROM gn JOIN lk ON lk.theorem_id = gn.item_id AND lk.split = 'train' JOIN ge ON ge.ps = lk.id",
+    "gls": "SELECT id, theorem_id, min(seq) AS seq FROM psx WHERE split = 'train' GROUP BY id, theorem_id",
+    "gl": "SELECT gn.query_id, label AS item_id, row_number() OVER (PARTITION BY gn.query_id ORDER BY gn.rank, seq, label) AS place FROM gn JOIN tech ON tech.theorem_id = gn.item_id AND tech.split = 'train' JOIN gls ON gls.id = tech.proof_state_id AND gls.theorem_id = tech.theorem_id",
     "gp": _ranked("SELECT query_id, item_id, sum(1.0 / place) AS score FROM gv GROUP BY ALL", 10),
     "gs": _ranked("SELECT query_id, item_id, sum(1.0 / place) AS score FROM gl GROUP BY ALL", 8),
+    "gd": "SELECT query_id, round(avg(coalesce(theorem_complexity_score, 0)), 6) AS s, count(*) AS n FROM gn JOIN feat ON feat.theorem_id = gn.item_id GROUP BY query_id",
+    "gb": "SELECT query_id, difficulty_bucket AS b FROM (SELECT query_id, difficulty_bucket, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, difficulty_bucket) AS r FROM gn JOIN feat ON feat.theorem_id = gn.item_id WHERE difficulty_bucket != '' GROUP BY query_id, difficulty_bucket) WHERE r = 1",
+    "gnames": "SELECT id, full_name FROM pr WHERE split = 'train'",
+    "gbun": """SELECT gq.query_id AS theorem_id, full_name, domain_tag, coalesce((SELECT string_agg(item_id, ',' ORDER BY rank) FROM gn WHERE gn.query_id = gq.query_id AND rank <= 10), '') AS neighbors,
+ coalesce((SELECT string_agg(item_id, ',' ORDER BY rank) FROM gp WHERE gp.query_id = gq.query_id), '') AS premises,
+ coalesce((SELECT string_agg(coalesce(gnames.full_name, item_id), chr(10) ORDER BY rank) FROM gp LEFT JOIN gnames ON gnames.id = item_id WHERE gp.query_id = gq.query_id), '') AS premise_names,
+ coalesce((SELECT string_agg(item_id, ',' ORDER BY rank) FROM gs WHERE gs.query_id = gq.query_id), '') AS strategies,
+ coalesce(s, 0.0) AS difficulty_score, coalesce(b, '') AS difficulty_bucket, coalesce(n, 0) AS difficulty_neighbors FROM gq LEFT JOIN gd ON gd.query_id = gq.query_id LEFT JOIN gb ON gb.query_id = gq.query_id""",
 }
+_GUIDE_LLM = _GUIDE | {"gn": "SELECT lnear.* FROM lnear SEMI JOIN gq USING (query_id)"}
 _ENRICHED = {
     "enr": """SELECT th.*, num_proof_states, theorem_complexity_score, difficulty_bucket, topic AS llm_topic, goal_pattern AS llm_goal_pattern, difficulty_bucket_hint AS llm_difficulty_bucket_hint,
  prompt_version AS llm_prompt_version, model AS llm_model, topic IS NOT NULL AS llm_enrichment_available FROM th LEFT JOIN feat ON feat.theorem_id = th.id LEFT JOIN en ON en.theorem_id = th.id"""
@@ -382,7 +396,19 @@ ORACLE: dict[str, str] = {
     "guidance_limit": compose("SELECT * FROM gq", _GUIDE),
     "guidance_premises": compose("SELECT * FROM gp", _GUIDE),
     "guidance_strategies": compose("SELECT * FROM gs", _GUIDE),
-    "guidance_evidence": compose("SELECT coalesce(full_name, item_id) AS name, round(sum(score), 6) AS score, count(*) AS n_bundles FROM gp LEFT JOIN (SELECT id, full_name FROM pr WHERE split = 'train') ON id = item_id GROUP BY 1", _GUIDE),
+    "guidance_bundles": compose("SELECT * FROM gbun", _GUIDE),
+    "guidance_bundles_llm": compose("SELECT * FROM gbun", _GUIDE_LLM),
+    "guidance_histograms": compose(
+        """SELECT kind, value, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY kind), 6) AS share FROM (SELECT 'bucket' AS kind, coalesce(nullif(difficulty_bucket, ''), 'unknown') AS value FROM gbun
+ UNION ALL SELECT 'domain', coalesce(nullif(domain_tag, ''), 'unknown') FROM gbun) GROUP BY kind, value""",
+        _GUIDE,
+    ),
+    "guidance_evidence": compose(
+        """SELECT * FROM (SELECT kind, name, score, n_bundles, CAST(row_number() OVER (PARTITION BY kind ORDER BY score DESC, name) AS int) AS rank FROM (
+ SELECT 'premise' AS kind, coalesce(full_name, item_id) AS name, round(sum(score), 6) AS score, count(*) AS n_bundles FROM gp LEFT JOIN gnames ON id = item_id GROUP BY 2
+ UNION ALL SELECT 'strategy', item_id, round(sum(score), 6), count(*) FROM gs GROUP BY item_id)) WHERE rank <= 5""",
+        _GUIDE,
+    ),
     "guidance_summary": compose(
         """SELECT count(*) AS bundles, round(sum((SELECT count(*) FROM gn WHERE gn.query_id = gq.query_id AND gn.rank <= 10)) / greatest(count(*), 1), 6) AS avg_neighbors,
  round(sum((SELECT count(*) FROM gp WHERE gp.query_id = gq.query_id)) / greatest(count(*), 1), 6) AS avg_premises, round(sum((SELECT count(*) FROM gs WHERE gs.query_id = gq.query_id)) / greatest(count(*), 1), 6) AS avg_strategies,

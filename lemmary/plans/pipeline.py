@@ -24,6 +24,10 @@ class Pipeline:
     def states(self) -> DataFrame:
         return cut(self.m.states())
 
+    @cached_property
+    def theorem_states(self) -> DataFrame:
+        return cut(self.m.theorem_states())
+
     @cached_property
     def premises(self) -> DataFrame:
         return cut(self.m.premises())
@@ -101,7 +105,7 @@ class Pipeline:
 
     @cached_property
     def profiles(self) -> DataFrame:
-        return cut(profiles.theorem_profiles(self.m.theorems(), self.states))
+        return cut(profiles.theorem_profiles(self.m.theorems(), self.theorem_states))
 
     @cached_property
     def llm_profiles(self) -> DataFrame:

@@ -8,6 +8,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lemmary.sources.files import required_table
+
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -28,6 +30,6 @@ def ship(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table ``name`` of ``folder``; columns are pruned and filters pushed by Catalyst."""
+    """The table ``name`` of ``folder`` (FileNotFoundError without it); columns are pruned and filters pushed by Catalyst."""
     ship(spark)
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return required_table(spark, f"{folder}/{name}.parquet")
