@@ -82,11 +82,19 @@ def sparse_scores(q: pa.Table, c: pa.Table) -> np.ndarray:
     return score
 
 
-def block_top_k(queries: DataFrame, candidates: DataFrame, k: int, scores: Callable[[pa.Table, pa.Table], np.ndarray], columns: list[str], keep_zero: bool) -> DataFrame:
-    """(query_id, item_id, rank, score): the k best candidates of every query by ``scores`` over ``columns``.
+def cosine_scores(q: pa.Table, c: pa.Table) -> np.ndarray:
+    def unit(t: pa.Table) -> np.ndarray:
+        x = _flat(t.column("v"))[0].reshape(t.num_rows, -1)
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
-    ``keep_zero``: whether candidates without any score count (dense: always k; sparse: only what has a term in common).
-    No queries or no candidates give no rows.
+    return unit(q) @ unit(c).T
+
+
+def block_top_k(queries: DataFrame, candidates: DataFrame, k: int, measures: dict[str, Callable[[pa.Table, pa.Table], np.ndarray]], columns: list[str], keep_zero: bool) -> DataFrame:
+    """(measure, query_id, item_id, rank, score): the k best candidates of every query by each of ``measures`` over ``columns``.
+
+    All measures are taken in one pass over the pairs of blocks. ``keep_zero``: whether candidates without any score count
+    (dense: always k; sparse: only what has a term in common). No queries or no candidates give no rows.
     """
     named = lambda d, key, side: d.select(F.col("id").alias(key), *[F.col(x).alias(f"{side}_{x}") for x in columns])
     q, c = named(queries, "query_id", "q"), named(candidates, "item_id", "c")
@@ -97,13 +105,7 @@ def block_top_k(queries: DataFrame, candidates: DataFrame, k: int, scores: Calla
     q = q.withColumn("left_block", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("right_block", each(nc))
     c = c.withColumn("right_block", F.pmod(F.xxhash64("item_id"), F.lit(nc)).cast("int")).withColumn("left_block", each(nq))
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.string()), ("item_id", pa.string()), ("score", pa.float64())])
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        right = right.sort_by("item_id")
-        plain = lambda t: t.rename_columns([x[2:] if x[:2] in ("q_", "c_") else x for x in t.column_names])
-        s = np.round(scores(plain(left), plain(right)), 9)
+    def best(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows, cols = [], []
         for r, row in enumerate(s):
             at = np.arange(len(row)) if keep_zero else np.nonzero(row)[0]
@@ -113,18 +115,35 @@ def block_top_k(queries: DataFrame, candidates: DataFrame, k: int, scores: Calla
             at = at[np.argsort(-row[at], kind="stable")][:k]
             rows.append(np.full(len(at), r))
             cols.append(at)
-        i, j = np.concatenate(rows), np.concatenate(cols)
-        return pa.table([left.column("query_id").take(pa.array(i)), right.column("item_id").take(pa.array(j)), pa.array(s[i, j])], schema=schema)
+        return np.concatenate(rows), np.concatenate(cols)
 
-    found = q.groupBy("left_block", "right_block").cogroup(c.groupBy("left_block", "right_block")).applyInArrow(run, "query_id string, item_id string, score double")
-    return top_k(found, k)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("measure", pa.string()), ("query_id", pa.string()), ("item_id", pa.string()), ("score", pa.float64())])
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        right = right.sort_by("item_id")
+        plain = lambda t: t.rename_columns([x[2:] if x[:2] in ("q_", "c_") else x for x in t.column_names])
+        parts = []
+        for name, scores in measures.items():
+            s = np.round(scores(plain(left), plain(right)), 9)
+            i, j = best(s)
+            parts.append(pa.table([pa.array([name] * len(i)), left.column("query_id").take(pa.array(i)), right.column("item_id").take(pa.array(j)), pa.array(s[i, j])], schema=schema))
+        return pa.concat_tables(parts)
+
+    found = q.groupBy("left_block", "right_block").cogroup(c.groupBy("left_block", "right_block")).applyInArrow(run, "measure string, query_id string, item_id string, score double")
+    return top_k(found, k, ("measure", "query_id"))
 
 
 def dense_top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """By inner product of ``v`` (double); always min(k, candidates) rows per query, negative scores included."""
-    return block_top_k(queries, candidates, k, dense_scores, ["v"], True)
+    return block_top_k(queries, candidates, k, {"dot": dense_scores}, ["v"], True).drop("measure")
+
+
+def dense_and_cosine_top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """(measure, query_id, item_id, rank, score) by inner product ('dot') and by cosine ('cosine') of ``v``, in one pass."""
+    return block_top_k(queries, candidates, k, {"dot": dense_scores, "cosine": cosine_scores}, ["v"], True)
 
 
 def sparse_top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """By inner product of sparse rows (t, w); candidates without a common term are left out."""
-    return block_top_k(queries, candidates, k, sparse_scores, ["t", "w"], False)
+    return block_top_k(queries, candidates, k, {"dot": sparse_scores}, ["t", "w"], False).drop("measure")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lemmary.functions.text import symbol_tokens, tokens
@@ -20,8 +20,29 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame, max_features: int) -> DataFrame:
     """(term, df, total): the ``max_features`` terms with the highest total count, ties by term."""
-    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    return terms.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
+    return most_frequent(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")), max_features)
+
+
+def most_frequent(terms: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` rows of ``terms`` (term, total, ...; each term once) with the highest total, ties by term.
+
+    Nothing is sorted as a whole: a histogram of totals (few distinct values) gives the total of the last row, which all
+    above pass. Rows of that total are range-partitioned by term and numbered within their ranges.
+    """
+    terms = cut(terms)
+    if terms.count() <= limit:
+        return terms
+    sums = terms.groupBy("total").agg(F.count(F.lit(1)).alias("n"))
+    running = sums.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("total"))))
+    last = running.where(F.col("upto") >= limit).orderBy("upto").first()
+    above, room = terms.where(F.col("total") > last["total"]), limit - (last["upto"] - last["n"])
+    tied = cut(terms.where(F.col("total") == last["total"]).repartitionByRange("term").withColumn("__range", F.spark_partition_id()))
+    sizes, before, offset = tied.groupBy("__range").count().orderBy("__range").collect(), 0, F.lit(0)
+    for r in sizes:  # as many as partitions
+        offset = F.when(F.col("__range") == r["__range"], before).otherwise(offset)
+        before += r["count"]
+    place = F.row_number().over(Window.partitionBy("__range").orderBy("term")) + offset
+    return above.unionByName(tied.withColumn("__place", place).where(F.col("__place") <= room).drop("__range", "__place"))
 
 
 def idf_of(counts: DataFrame, n: int, max_features: int = TEXT_FEATURES) -> DataFrame:
@@ -35,8 +56,8 @@ def fit(docs: DataFrame, max_features: int = TEXT_FEATURES) -> DataFrame:
 
 
 def _weighted(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    """Terms out of vocabulary are dropped; the idf table has at most ``max_features`` rows, so it is broadcast."""
-    return counts.join(F.broadcast(idf), "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    """Terms out of vocabulary are dropped; the idf table has at most ``max_features`` rows, whose size decides how it is joined."""
+    return counts.join(idf, "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
 
 
 def weights(docs: DataFrame, idf: DataFrame) -> DataFrame:
@@ -61,7 +82,17 @@ def lexical_top_k(queries: DataFrame, candidates: DataFrame, k: int, max_feature
     return sparse_top_k(cut(sparse_rows(term_counts(queries), idf)), cut(sparse_rows(counts, idf)), k)
 
 
-def symbol_rows(docs: DataFrame, parts: list) -> DataFrame:
-    """(id, t, w): binary sparse rows of the symbol tokens of ``parts``."""
-    sets = docs.select("id", F.transform(symbol_tokens(*parts), lambda x: F.xxhash64(x)).alias("t"))
-    return sets.where(F.size("t") > 0).withColumn("w", F.transform("t", lambda x: F.lit(1.0)))
+def symbol_terms(docs: DataFrame, parts: list) -> DataFrame:
+    """(id, term) of the symbol tokens of ``parts``, each once."""
+    return docs.select("id", F.explode(symbol_tokens(*parts)).alias("term"))
+
+
+def symbol_vocabulary(terms: DataFrame, max_features: int = SYMBOL_FEATURES) -> DataFrame:
+    """(term) of the ``max_features`` symbol tokens that most documents have."""
+    return most_frequent(terms.groupBy("term").agg(F.count(F.lit(1)).alias("total")), max_features).select("term")
+
+
+def symbol_rows(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(id, t, w): binary sparse rows of the terms in the vocabulary."""
+    sets = terms.join(vocabulary, "term", "left_semi").groupBy("id").agg(F.collect_list(F.xxhash64("term")).alias("t"))
+    return sets.withColumn("w", F.transform("t", lambda x: F.lit(1.0)))

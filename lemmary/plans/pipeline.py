@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
@@ -15,8 +16,15 @@ from lemmary.plans.model import Model
 class Pipeline:
     """``split`` states and theorems as queries against those of train."""
 
-    def __init__(self, model: Model, split: str = "test", k: int = 100, neighbor_k: int = 20) -> None:
-        self.m, self.split, self.k, self.neighbor_k = model, split, k, neighbor_k
+    def __init__(self, model: Model, split: str = "test", k: int = 100, neighbor_k: int = 20, embeddings: DataFrame | None = None) -> None:
+        """``embeddings``: (entity_type, id, embedding) of an encoder for the pretrained sources; else they rank by cosine of the given vectors."""
+        self.m, self.split, self.k, self.neighbor_k, self.embeddings = model, split, k, neighbor_k, embeddings
+
+    def together(self, *names: str) -> None:
+        """Compute parts that don't need each other at the same time, so that small stages fill the cluster."""
+        with ThreadPoolExecutor(len(names)) as pool:
+            for done in [pool.submit(getattr, self, n) for n in names]:
+                done.result()
 
     # proof state -> premise
 
@@ -54,17 +62,34 @@ class Pipeline:
         return cut(s.join(self.state_vectors.select("id", "v"), "id").join(has_gold, "id", "left_semi"))
 
     @cached_property
-    def dense(self) -> DataFrame:
-        return cut(retrieval.dense_top_k(self.queries, self.pool, self.k))
+    def premise_searches(self) -> DataFrame:
+        """Premises nearest to the queries by inner product and, unless there are vectors of an encoder, by cosine: one pass."""
+        return cut(retrieval.dense_and_cosine_top_k(self.queries, self.pool, self.k))
+
+    @cached_property
+    def state_searches(self) -> DataFrame:
+        """Train states nearest to the queries by both measures, once for k = 100; smaller k and all modes are taken from it."""
+        return cut(retrieval.dense_and_cosine_top_k(self.queries, self.train_states, 100))
 
     @staticmethod
-    def unit(d: DataFrame) -> DataFrame:
-        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-        return d.withColumn("v", F.transform("v", lambda x: x / norm))
+    def by(searches: DataFrame, measure: str) -> DataFrame:
+        return searches.where(F.col("measure") == measure).drop("measure")
+
+    @property
+    def dense(self) -> DataFrame:
+        return self.by(self.premise_searches, "dot")
+
+    def encoded(self, kind: str, like: DataFrame) -> DataFrame:
+        """Vectors (id, v) of the encoder's table for the ids of ``like``."""
+        v = self.embeddings.where(F.col("entity_type") == kind).select("id", F.col("embedding").cast("array<double>").alias("v"))
+        return v.join(like.select("id"), "id", "left_semi")
 
     @cached_property
     def pretrained_dense(self) -> DataFrame:
-        return cut(retrieval.dense_top_k(self.unit(self.queries), self.unit(self.pool), self.k))
+        if self.embeddings is None:
+            return self.by(self.premise_searches, "cosine")
+        train = self.premises.where("split = 'train'")
+        return cut(retrieval.dense_top_k(self.encoded("ProofState", self.queries), self.encoded("Premise", train), self.k))
 
     @cached_property
     def lexical(self) -> DataFrame:
@@ -75,19 +100,19 @@ class Pipeline:
     @cached_property
     def symbol(self) -> DataFrame:
         joined = lambda c: F.concat_ws(" ", F.coalesce(c, F.array().cast("array<string>")))
-        q = cut(tfidf.symbol_rows(self.queries, [joined("symbols"), "goal_text", joined("local_hypotheses"), "full_name"]))
-        c = cut(tfidf.symbol_rows(self.premises.where("split = 'train'"), ["full_name", "code", "file_path"]))
-        return cut(retrieval.sparse_top_k(q, c, self.k))
+        terms = cut(tfidf.symbol_terms(self.premises.where("split = 'train'"), ["full_name", "code", "file_path"]))
+        known = cut(tfidf.symbol_vocabulary(terms))
+        q = cut(tfidf.symbol_rows(tfidf.symbol_terms(self.queries, [joined("symbols"), "goal_text", joined("local_hypotheses"), "full_name"]), known))
+        return cut(retrieval.sparse_top_k(q, cut(tfidf.symbol_rows(terms, known)), self.k))
 
     @cached_property
     def train_states(self) -> DataFrame:
         train = self.states.where("split = 'train'").select("id")
         return self.state_vectors.join(train, "id", "left_semi")
 
-    @cached_property
+    @property
     def similar_states(self) -> DataFrame:
-        """Once for k = 100; smaller k and all modes are taken from it."""
-        return cut(retrieval.dense_top_k(self.queries, self.train_states, 100))
+        return self.by(self.state_searches, "dot")
 
     @cached_property
     def state_edges(self) -> DataFrame:
@@ -98,7 +123,10 @@ class Pipeline:
 
     @cached_property
     def pretrained_similar_ps(self) -> DataFrame:
-        near = retrieval.dense_top_k(self.unit(self.queries), self.unit(self.train_states), 100)
+        if self.embeddings is None:
+            near = self.by(self.state_searches, "cosine")
+        else:
+            near = retrieval.dense_top_k(self.encoded("ProofState", self.queries), self.encoded("ProofState", self.states.where("split = 'train'")), 100)
         return fusion.expand(near, self.state_edges, 100, self.k, "rank_sim")
 
     # theorem -> theorem
@@ -125,9 +153,12 @@ class Pipeline:
 
     @cached_property
     def theorem_neighbors_pretrained(self) -> DataFrame:
-        v = self.unit(self.m.vectors("Theorem"))
         t = self.m.theorems().select("id", "split")
-        return cut(retrieval.dense_top_k(v.join(t.where(F.col("split") == self.split), "id", "left_semi"), v.join(t.where("split = 'train'"), "id", "left_semi"), self.neighbor_k))
+        q, c = t.where(F.col("split") == self.split), t.where("split = 'train'")
+        if self.embeddings is not None:
+            return cut(retrieval.dense_top_k(self.encoded("Theorem", q), self.encoded("Theorem", c), self.neighbor_k))
+        v = self.m.vectors("Theorem")
+        return cut(self.by(retrieval.dense_and_cosine_top_k(v.join(q, "id", "left_semi"), v.join(c, "id", "left_semi"), self.neighbor_k), "cosine"))
 
     @cached_property
     def theorem_queries(self) -> DataFrame:
@@ -165,6 +196,9 @@ class Pipeline:
 
     @cached_property
     def all_sources(self) -> DataFrame:
+        self.together("states", "theorem_states", "premises", "state_vectors", "state_edges", "gold", "train_theorem_edges")
+        self.together("queries", "pool", "profiles")
+        self.together("premise_searches", "state_searches", "lexical", "symbol", "theorem_neighbors", "theorem_neighbors_llm")
         return cut(self.sources(SOURCES))
 
     def fused(self, names: list[str] | None = None, sources: DataFrame | None = None) -> DataFrame:
