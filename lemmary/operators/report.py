@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,16 +11,12 @@ def value_counts(df: DataFrame, by: str, column: str, limit: int | None = None)
     counts = df.where(F.col(column).isNotNull() & F.col(by).isNotNull()).groupBy(by, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     if limit is None:
         return counts
-    from pyspark.sql import Window
-
     order = Window.partitionBy(by).orderBy(F.desc("n"), F.asc("value"))
     return counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit).drop("r")
 
 
 def other_counts(counts: DataFrame, by: str, limit: int = 8) -> DataFrame:
     """(by, listed, other, total): rows under the first ``limit`` values and under all others."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy(by).orderBy(F.desc("n"), F.asc("value"))
     ranked = counts.withColumn("r", F.row_number().over(order))
     return ranked.groupBy(by).agg(
@@ -28,6 +24,23 @@ def other_counts(counts: DataFrame, by: str, limit: int = 8) -> DataFrame:
     )
 
 
+def value_table(counts: DataFrame, by: str, order: tuple[str, ...], limit: int = 8) -> DataFrame:
+    """(place, value, n_<each of order>, share): the first ``limit`` values of each ``by`` in turn, each value once, in the order first met.
+
+    Then a row 'Other' with what is left. ``share`` is of the last of ``order``.
+    """
+    window = Window.partitionBy(by).orderBy(F.desc("n"), F.asc("value"))
+    ranked = counts.where(F.col(by).isin(*order)).withColumn("r", F.row_number().over(window))
+    turn = F.coalesce(*[F.when(F.col(by) == s, i) for i, s in enumerate(order)])
+    sums = [F.sum(F.when(F.col(by) == s, F.col("n")).otherwise(0)).alias(f"n_{s}") for s in order]
+    per = ranked.groupBy("value").agg(F.min(F.when(F.col("r") <= limit, turn * limit + F.col("r"))).alias("met"), *sums)
+    listed = F.when(F.col("met").isNotNull(), F.col("value")).otherwise("Other")
+    rows = per.groupBy(listed.alias("value")).agg(F.min("met").alias("met"), *[F.sum(f"n_{s}").alias(f"n_{s}") for s in order])
+    total = F.greatest(F.sum(f"n_{order[-1]}").over(Window.partitionBy()), F.lit(1))  # a few dozen rows
+    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("met")))
+    return rows.select(place.alias("place"), "value", *[f"n_{s}" for s in order], F.round(F.col(f"n_{order[-1]}") / total, 6).alias("share"))
+
+
 def split_stats(theorems: DataFrame, states: DataFrame, premises: DataFrame, edges: DataFrame) -> DataFrame:
     """Per split: rows of each table, states per theorem and edges per state."""
     n = lambda d, name: d.where("split IS NOT NULL").groupBy("split").agg(F.count(F.lit(1)).alias(name))
@@ -37,11 +50,20 @@ def split_stats(theorems: DataFrame, states: DataFrame, premises: DataFrame, edg
     return out.withColumn("states_per_theorem", ratio("proof_states", "theorems")).withColumn("edges_per_state", ratio("positive_edges", "proof_states"))
 
 
-def markdown_table(df: DataFrame, columns: list[str]) -> list[str]:
-    """Lines of a markdown table of a small aggregate; floats with four decimals."""
+def markdown_rows(columns: list[str], rows: list[list]) -> list[str]:
+    """Lines of a markdown table; floats with four decimals."""
     fmt = lambda v: f"{v:.4f}" if isinstance(v, float) else str("" if v is None else v).replace("|", "\\|").replace("\n", " ")
-    rows = [[fmt(r[c]) for c in columns] for r in df.select(*columns).collect()]
-    return ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *["| " + " | ".join(r) + " |" for r in rows]]
+    return ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *["| " + " | ".join(map(fmt, r)) + " |" for r in rows]]
+
+
+def markdown_table(df: DataFrame, columns: list[str]) -> list[str]:
+    """A markdown table of a small aggregate; columns named share as percentages."""
+    return markdown_rows(columns, [[percent(r[c]) if c == "share" else r[c] for c in columns] for r in df.select(*columns).collect()])
+
+
+def percent(value: float | None) -> str:
+    """A share with one decimal, '' if unknown."""
+    return "" if value is None else f"{value:.1%}"
 
 
 def all_positive(exact: float | None, recall: float | None, coverage: float | None) -> str:

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmary.functions.keys import clean_values
 from lemmary.operators import enrich, export, fusion, guidance, metrics, profiles, report, retrieval, tfidf, theorem
 from lemmary.operators.cut import cut
 from lemmary.plans.graph_sql import ORACLE  # noqa: F401
 from lemmary.plans.model import Model
-from lemmary.plans.pipeline import SOURCES, Pipeline
+from lemmary.plans.pipeline import Pipeline
+from lemmary.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _LAST: dict[tuple[str, str], Pipeline] = {}
@@ -334,11 +334,12 @@ def metric_delta(p: Pipeline) -> DataFrame:
 
 @query
 def candidate_rankings(p: Pipeline) -> DataFrame:
-    """One row per eligible state: its ranking by every source as one list, and its gold premises."""
-    lists = p.all_sources.groupBy("query_id", "source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"]), ",").alias("ids"))
-    wide = lists.groupBy("query_id").pivot("source", sorted(SOURCES)).agg(F.first("ids"))
+    """One row per eligible state: its ranking by every source and fusion as one list, and its gold premises."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"])
+    lists = p.all_rankings.groupBy("query_id", "method").agg(F.array_join(ordered, ",").alias("ids"))
+    wide = lists.groupBy("query_id").pivot("method", sorted(p.methods)).agg(F.first("ids"))
     of = p.queries.select(F.col("id").alias("query_id"), "theorem_id", "full_name", "split")
-    return of.join(wide, "query_id", "left").join(gold_by_query(p), "query_id", "left").fillna("", SOURCES)
+    return of.join(wide, "query_id", "left").join(gold_by_query(p), "query_id", "left").fillna("", p.methods)
 
 
 @query
@@ -490,27 +491,126 @@ def domain_other(p: Pipeline) -> DataFrame:
     return report.other_counts(report.value_counts(p.m.theorems(), "split", "domain_tag"), "split", 3)
 
 
+@query
+def domain_table(p: Pipeline) -> DataFrame:
+    """Domains of theorems, the first 8 of train, val and the query split in turn, with their counts in each."""
+    return report.value_table(report.value_counts(p.m.theorems(), "split", "domain_tag"), "split", tuple(dict.fromkeys(["train", "val", p.split])))
+
+
+@query
+def label_counts(p: Pipeline) -> DataFrame:
+    """The first 8 strategy labels of each split by the number of states with them."""
+    return report.value_counts(p.m.techniques().select("proof_state_id", "label", "split").distinct(), "split", "label", 8)
+
+
+@query
+def bucket_counts(p: Pipeline) -> DataFrame:
+    """Theorems by difficulty bucket and split."""
+    return report.value_counts(p.m.theorems().join(p.m.features().withColumnRenamed("theorem_id", "id"), "id"), "split", "difficulty_bucket")
+
+
+@query
+def export_versions(p: Pipeline) -> DataFrame:
+    return export.versions(_enriched(p).where("split IS NOT NULL"))
+
+
+def export_tables(p: Pipeline) -> dict[str, DataFrame]:
+    """The tables of an export with a split each; those the folder lacks are left out."""
+    states = p.m.links().select("proof_state_id", "split").where("split IS NOT NULL")
+    theorems = p.m.theorems().where("split IS NOT NULL")
+    keys = {
+        "proof_state_id": states, "theorem_id": theorems.select(F.col("id").alias("theorem_id"), "split"), "premise_id": p.m.premises().where("split IS NOT NULL").select(F.col("id").alias("premise_id"), "split"),
+        "file_path": theorems.where("file_path IS NOT NULL").select("file_path", "split"),
+    }
+    present = [t for t in export.MORE_TABLES if p.m.has(t)]
+    extra = export.prefixed(p.m.enrichment().drop("split"))
+    profiles_ = p.llm_profiles.join(p.profiles.select("theorem_id", F.col("profile_text").alias("base_profile_text")), "theorem_id").join(extra, "theorem_id", "left")
+    enriched = export.enriched_theorems(p.m.theorems(), p.m.features(), p.m.enrichment())
+    return {"theorems": enriched, "theorem_profiles": profiles_} | {t: export.of_split(table(p.m.spark, p.m.folder, t), keys) for t in [*export.TABLES, *present]}
+
+
+@query
+def export_counts(p: Pipeline) -> DataFrame:
+    return export.split_counts(export_tables(p))
+
+
+_T1_STAGES = [
+    ("Baselines", ["dense", "lexical", "symbol", "dense_lexical_rrf"]),
+    ("Similar states", ["similar_ps", "similar_ps_k50", "similar_ps_k100", "similar_ps_k100_sim", "similar_ps_k100_rank_sim"]),
+    ("Similar theorems", ["similar_theorem", "similar_theorem_llm"]),
+    ("Encoder", ["pretrained_dense", "pretrained_similar_ps"]),
+    ("Fusions", ["full_union_rrf", *[f"weighted_rrf_{n}" for n in fusion.PRESETS]]),
+]
+_GLOSSARY = [
+    ("recall_at_k (covered)", "part of the gold premises in the pool that the first k results hold, mean over queries"),
+    ("all-positive recall", "hits over all gold premises, those outside the pool included; '~' marks recall times coverage"),
+    ("map", "mean over queries of the precision at every hit, summed over the gold premises in the pool"),
+    ("ndcg_at_k", "gain discounted by the logarithm of the rank, over the best possible"),
+    ("gold_pool_coverage", "part of all gold premises that are in the pool"),
+    ("reciprocal-rank fusion", "each source adds weight / rank to what it returns"),
+    ("strategy recall, precision, F1", "labels of the neighbours' states against those of the theorem"),
+    ("difficulty MAE, bucket accuracy", "mean score and most frequent bucket of the neighbours against the theorem's"),
+]
+
+
+def report_lines(p: Pipeline, limit: int = 25) -> list[str]:
+    """The lines of the report: data, metrics of all methods, theorem neighbours, guidance, glossary. Only small aggregates are collected."""
+    splits = tuple(dict.fromkeys(["train", "val", p.split]))
+    text = ["# Report", "", "## Data", "", *report.markdown_table(split_stats(p).orderBy("split"), ["split", "theorems", "proof_states", "premises", "positive_edges", "states_per_theorem", "edges_per_state"])]
+    text += ["", "### Domains", "", *report.markdown_table(domain_table(p).orderBy("place"), ["value", *[f"n_{s}" for s in splits], "share"])]
+    spread = lambda d: {s: ", ".join(f"{r['value']}: {r['n']}" for r in d.where(F.col("split") == s).orderBy(F.desc("n"), "value").collect()) for s in splits}
+    labels = [["difficulty bucket", *spread(bucket_counts(p)).values()], ["strategy label", *spread(label_counts(p)).values()]]
+    text += ["", "### Labels", "", *report.markdown_rows(["label type", *splits], labels)]
+    m = {r["method"]: r.asDict() for r in metrics.summarize(p.rows()).collect()}
+    columns = ["recall_at_10", "recall_at_50", "recall_at_100"]
+    stage = lambda name, x: [name, x["method"], *[x[c] for c in columns], report.all_positive(x.get("all_positive_recall_at_100"), x["recall_at_100"], x["gold_pool_coverage"]), x["map"], x["ndcg_at_10"], x["gold_pool_coverage"]]
+    text += ["", "## Proof state to premise", "", *report.markdown_rows(["stage", "method", *columns, "all-positive recall_at_100", "map", "ndcg_at_10", "gold_pool_coverage"], [stage(n, m[x]) for n, xs in _T1_STAGES for x in xs if x in m])]
+    deltas = [[x, *[report.signed(r[c], m["dense"][c]) for c in ("recall_at_100", "all_positive_recall_at_100", "map", "ndcg_at_10")]] for x, r in sorted(m.items()) if x != "dense"] if "dense" in m else []
+    text += ["", "### Against dense", "", *report.markdown_rows(["method", "recall_at_100", "all-positive recall_at_100", "map", "ndcg_at_10"], deltas)]
+    kinds = [("profiles", p.theorem_neighbors)] + [("enriched profiles", p.theorem_neighbors_llm)] * p.llm + [("encoder", p.theorem_neighbors_pretrained)] * p.pretrained
+    rows = []
+    for name, near in kinds:
+        s, l, d = metrics.summarize(p.theorem_rows(near)).first(), theorem.strategy_summary(_labels(p, near)).first(), theorem.difficulty_summary(_difficulty(p, near)).first()
+        rows.append([name, *[s[c] for c in columns], s["map"], s["ndcg_at_10"], l["recall"], l["precision"], l["f1"], d["mae"], d["bucket_accuracy"]])
+    text += ["", "## Theorem to theorem", "", *report.markdown_rows(["neighbours by", *columns, "map", "ndcg_at_10", "strategy recall", "precision", "F1", "difficulty MAE", "bucket accuracy"], rows)]
+    b = cut(bundles(p, limit, p.llm))
+    text += ["", "## Guidance", "", f"The first {limit} theorems in file order, no sample of them.", "", *report.markdown_table(guidance.bundle_summary(b), ["bundles", "avg_neighbors", "avg_premises", "avg_strategies", "avg_difficulty_neighbors"])]
+    h = guidance.histograms(b)
+    for kind, title in (("bucket", "difficulty bucket"), ("domain", "domain")):
+        text += ["", f"### By {title}", "", *report.markdown_table(h.where(F.col("kind") == kind).orderBy(F.desc("n"), "value").limit(8), ["value", "n", "share"])]
+    _, _, premises, strategies = _guidance(p, limit, p.llm)
+    text += ["", "### Evidence", "", *report.markdown_table(guidance.evidence(premises, strategies, train_names(p)).orderBy("kind", "rank"), ["kind", "name", "score"])]
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).alias(c)
+    some = b.orderBy("theorem_id").limit(5).select("full_name", "domain_tag", n("neighbors"), n("premise_suggestions"), n("strategy_facets"), "difficulty_bucket")
+    text += ["", "### Examples", "", *report.markdown_table(some, some.columns)]
+    return [*text, "", "## Glossary", "", *report.markdown_rows(["term", "meaning"], [list(x) for x in _GLOSSARY])]
+
+
 @query
 def report_markdown(p: Pipeline) -> DataFrame:
-    summary = metrics.summarize(p.rows()).orderBy("method")
-    text = ["# Report", "", "## Splits", "", *report.markdown_table(split_stats(p).orderBy("split"), ["split", "theorems", "proof_states", "premises", "positive_edges"])]
-    text += ["", "## Premise retrieval", "", *report.markdown_table(summary, ["method", "recall_at_10", "recall_at_100", "map", "ndcg_at_10", "gold_pool_coverage"])]
-    text += ["", "## Against dense", "", *report.markdown_table(metric_delta(p).where("metric = 'map'").orderBy("method"), ["method", "value", "delta"])]
-    text += ["", "## Theorem retrieval", "", *report.markdown_table(t2_summary(p), ["recall_at_10", "recall_at_100", "map", "ndcg_at_10"])]
-    text += ["", "## Guidance", "", *report.markdown_table(guidance_summary(p), ["bundles", "avg_neighbors", "avg_premises", "avg_strategies"])]
-    return p.m.spark.createDataFrame(list(enumerate(text)), "line int, text string")
+    return p.m.spark.createDataFrame(list(enumerate(report_lines(p))), "line int, text string")
+
+
+def enrichment_answers(p: Pipeline, cache: DataFrame | None, **options: object) -> DataFrame:
+    """Answers for all theorems of the pipeline's tables, asked for anew where the cache has none for the same prompt."""
+    shown = enrich.prompt_rows(p.m.theorems(), p.theorem_states, p.max_states)
+    model = options.pop("model", "offline")
+    return enrich.enrichment_run(cut(enrich.requests(shown, model)), cache, **options)
 
 
 @query
 def llm_enrich_stub(p: Pipeline) -> DataFrame:
-    """Answers of the offline client for theorems that the enrichment table lacks."""
-    goals = profiles.first_states(p.theorem_states).groupBy("theorem_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "goal_text", "symbols"))), lambda x: x).alias("s"))
-    goals = goals.select("theorem_id", F.transform("s", lambda x: x["goal_text"]).alias("goals"), clean_values(F.flatten(F.transform("s", lambda x: F.coalesce(x["symbols"], F.array().cast("array<string>"))))).alias("symbols"))
-    base = p.m.theorems().withColumnRenamed("id", "theorem_id").join(goals, "theorem_id", "left")
-    wanted = enrich.requests(base, "offline").join(p.m.enrichment().select("theorem_id"), "theorem_id", "left_anti")
-    return enrich.enrich(wanted)
+    """Answers of the offline client for theorems that the enrichment table lacks or answers for another prompt."""
+    cache = p.m.enrichment().where("prompt_hash IS NOT NULL").select("theorem_id", "prompt_hash", "model")
+    wanted = enrich.requests(enrich.prompt_rows(p.m.theorems(), p.theorem_states), "offline")
+    return enrich.enrich(enrich.uncached(wanted, cache)).drop("created_at")
+
+
+@query
+def enrichment_summary(p: Pipeline) -> DataFrame:
+    return enrich.enrichment_summary(cut(enrichment_answers(p, None)))
 
 
 @query
 def hash_embed(p: Pipeline) -> DataFrame:
-    return enrich.hash_embed(p.profiles.select(F.col("theorem_id").alias("id"), F.col("profile_text").alias("text")))
+    return enrich.embed(p.profiles.select(F.col("theorem_id").alias("id"), F.col("profile_text").alias("text")))

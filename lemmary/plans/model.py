@@ -31,11 +31,14 @@ def whole_rows(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 class Model:
     """Lazy views of the tables of one folder. Ids are cleaned first; repeated rows count once."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, answers: DataFrame | None = None) -> None:
+        """``answers``: rows of an enrichment run to be used instead of the folder's ``theorem_enrichment``."""
+        self.spark, self.folder, self.answers = spark, folder, answers
 
     def raw(self, name: str) -> DataFrame:
         """A table of the folder; one that may be missing is empty then, any other is an error (FileNotFoundError)."""
+        if name == "theorem_enrichment" and self.answers is not None:
+            return self.answers.where("status = 'ok'")
         if name in OPTIONAL:
             return optional_table(self.spark, f"{self.folder}/{name}.parquet", OPTIONAL[name])
         return table(self.spark, self.folder, name)

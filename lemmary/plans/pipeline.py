@@ -16,9 +16,22 @@ from lemmary.plans.model import Model
 class Pipeline:
     """``split`` states and theorems as queries against those of train."""
 
-    def __init__(self, model: Model, split: str = "test", k: int = 100, neighbor_k: int = 20, embeddings: DataFrame | None = None) -> None:
-        """``embeddings``: (entity_type, id, embedding) of an encoder for the pretrained sources; else they rank by cosine of the given vectors."""
-        self.m, self.split, self.k, self.neighbor_k, self.embeddings = model, split, k, neighbor_k, embeddings
+    def __init__(self, model: Model, split: str = "test", k: int = 100, neighbor_k: int = 20, embeddings: DataFrame | None = None, llm: bool = True, pretrained: bool = True, max_states: int = 5) -> None:
+        """``embeddings``: (entity_type, id, embedding) of an encoder for the pretrained sources; else they rank by cosine of the given vectors.
+
+        ``llm`` and ``pretrained`` say whether the sources and fusions that need enrichment and an encoder take part.
+        """
+        self.m, self.split, self.k, self.neighbor_k, self.embeddings, self.max_states = model, split, k, neighbor_k, embeddings, max_states
+        self.llm, self.pretrained = llm, pretrained
+
+    @property
+    def active_sources(self) -> list[str]:
+        return [s for s in SOURCES if (self.llm or not s.endswith("_llm")) and (self.pretrained or not s.startswith("pretrained_"))]
+
+    @property
+    def methods(self) -> list[str]:
+        """The names of all rankings that take part."""
+        return [*self.active_sources, "dense_lexical_rrf", "full_union_rrf", *[f"weighted_rrf_{n}" for n in fusion.active_presets(self.llm, self.pretrained)]]
 
     def together(self, *names: str) -> None:
         """Compute parts that don't need each other at the same time, so that small stages fill the cluster."""
@@ -133,7 +146,7 @@ class Pipeline:
 
     @cached_property
     def profiles(self) -> DataFrame:
-        return cut(profiles.theorem_profiles(self.m.theorems(), self.theorem_states))
+        return cut(profiles.theorem_profiles(self.m.theorems(), self.theorem_states, self.max_states))
 
     @cached_property
     def llm_profiles(self) -> DataFrame:
@@ -198,8 +211,8 @@ class Pipeline:
     def all_sources(self) -> DataFrame:
         self.together("states", "theorem_states", "premises", "state_vectors", "state_edges", "gold", "train_theorem_edges")
         self.together("queries", "pool", "profiles")
-        self.together("premise_searches", "state_searches", "lexical", "symbol", "theorem_neighbors", "theorem_neighbors_llm")
-        return cut(self.sources(SOURCES))
+        self.together("premise_searches", "state_searches", "lexical", "symbol", "theorem_neighbors", *["theorem_neighbors_llm"] * self.llm)
+        return cut(self.sources(self.active_sources))
 
     def fused(self, names: list[str] | None = None, sources: DataFrame | None = None) -> DataFrame:
         """The named fusions (all: None), over the sources they weigh."""
@@ -214,7 +227,7 @@ class Pipeline:
     def all_rankings(self) -> DataFrame:
         """(method, query_id, item_id, rank): every source and fusion."""
         pick = lambda d, m: d.select(m.alias("method"), "query_id", "item_id", "rank")
-        fused = self.fused(sources=self.all_sources)
+        fused = self.fused(list(fusion.active_presets(self.llm, self.pretrained)), self.all_sources)
         return cut(
             pick(self.all_sources, F.col("source"))
             .unionByName(pick(self.union(["dense", "lexical"]), F.lit("dense_lexical_rrf")))
@@ -231,7 +244,7 @@ class Pipeline:
         """Metrics per method and eligible query; queries that a method ranks nothing for have their row too."""
         r = self.all_rankings if method is None else self.ranking(method)
         q = self.queries.select(F.col("id").alias("query_id"))
-        methods = [method] if method else ["dense_lexical_rrf", "full_union_rrf", *SOURCES, *[f"weighted_rrf_{n}" for n in fusion.PRESETS]]
+        methods = [method] if method else self.methods
         q = q.withColumn("method", F.explode(F.array(*[F.lit(x) for x in methods])))
         return metrics.ranking_rows(q, r, self.gold, self.pool)
 

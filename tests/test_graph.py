@@ -77,23 +77,43 @@ def test_extract_json():
 
 
 def test_enrichment_run_and_cache(spark):
-    p = spark.createDataFrame([("t1", "N", "D", "S", ["g1", " ", None, "g3"], ["A"]), ("t2", None, None, None, None, None)], "theorem_id string, full_name string, domain_tag string, subdomain_tag string, goals array<string>, symbols array<string>")
-    w = enrich.requests(p, "m")
+    t = spark.createDataFrame([("t1", "N", "f.l", "D", "S", "train"), ("t2", None, None, None, None, "train")], THEOREM)
+    states = spark.createDataFrame(
+        [("s1", "t1", 0, "g1", ["h1", None, "h2"], ["B", " A "]), ("s2", "t1", 1, " ", None, None), ("s3", "t1", 2, "x" * 600, [], ["A"])],
+        "id string, theorem_id string, tactic_idx int, goal_text string, local_hypotheses array<string>, symbols array<string>",
+    )
+    w = enrich.requests(enrich.prompt_rows(t, states), "m")
     text = w.where("theorem_id = 't1'").first()["prompt"]
-    assert "1. g1\n4. g3" in text and "Name: N" in text
+    assert "1. g1\n3. " + "x" * 500 + "..." in text and "Name: N" in text and "1. h1 | h2" in text and "Symbols: A, B" in text and "File: f.l" in text
     got = {r["theorem_id"]: r for r in enrich.enrich(w).collect()}
-    assert got["t1"]["status"] == "ok" and got["t1"]["topic"].startswith("topic ") and got["t1"]["mathematical_objects"] is None
-    failing = {r["theorem_id"]: (r["status"], r["error"]) for r in enrich.enrich(w, lambda t: "nothing").collect()}
-    assert set(failing.values()) == {("error", "no JSON object in the answer")}
+    assert got["t1"]["status"] == "ok" and got["t1"]["topic"].startswith("topic ") and got["t1"]["mathematical_objects"] is None and got["t1"]["strategy_facets"][0]["confidence"] == 0.5
+    failed = enrich.enrich(w, lambda t: "nothing")
+    assert {(r["status"], r["error"], r["raw_response"]) for r in failed.collect()} == {("error", "no JSON object in the answer", "nothing")}
+    assert tuple(enrich.enrichment_summary(failed).first()) == (2, 0, 2, "t1: no JSON object in the answer\nt2: no JSON object in the answer")
+    assert tuple(enrich.enrichment_summary(failed.limit(0)).first()) == (0, 0, 0, "")
     cache = w.where("theorem_id = 't1'")
     assert rows(enrich.uncached(w, cache), "theorem_id") == [("t2",)]
     assert rows(enrich.uncached(w, cache.withColumn("prompt_hash", F.lit("old"))), "theorem_id") == [("t1",), ("t2",)]
+    earlier = enrich.enrich(w.where("theorem_id = 't1'"), lambda t: '{"topic": "old"}')
+    assert rows(enrich.enrichment_run(w, earlier), "theorem_id", "topic")[0] == ("t1", "old")
+    assert rows(enrich.enrichment_run(w, earlier, force=True), "theorem_id", "topic")[0][1] != "old"
+    assert rows(enrich.enrichment_run(w, failed), "status") == [("ok",), ("ok",)]  # failures aren't answers
+    assert rows(enrich.enrichment_run(w, None, limit=1), "theorem_id") == [("t1",)]
+
+
+def test_odd_answers(spark):
+    w = spark.createDataFrame([("t", "N", "train", "p", "h", "m", "v")], "theorem_id string, full_name string, split string, prompt string, prompt_hash string, model string, prompt_version string")
+    odd = json.dumps({"topic": {"a": 1}, "key_symbols": "one", "strategy_facets": [1, {"facet": 2, "confidence": "high"}], "likely_tactics": [1, None]})
+    r = enrich.enrich(w, lambda t: odd).first()
+    assert r["topic"] == '{"a": 1}' and r["key_symbols"] == ["one"] and r["likely_tactics"] == ["1", "None"] and [tuple(x) for x in r["strategy_facets"]] == [("2", None, None, None)]
 
 
-def test_hash_embed(spark):
+def test_embed(spark):
     d = spark.createDataFrame([("a", "x y x"), ("b", ""), ("c", None)], "id string, text string")
-    got = {r["id"]: r["embedding"] for r in enrich.hash_embed(d, 8).collect()}
+    got = {r["id"]: r["embedding"] for r in enrich.embed(d, lambda t: enrich.hashed_words(t, 8)).collect()}
     assert abs(sum(x * x for x in got["a"]) - 1) < 1e-6 and got["b"] == [0.0] * 8 == got["c"]
+    sizes = {r["id"]: r["embedding"] for r in enrich.embed(d, lambda t: [[len(t)]] * len(t), 2).collect()}
+    assert max(x[0] for x in sizes.values()) <= 2
 
 
 def test_export(spark, tmp_path):
@@ -102,6 +122,11 @@ def test_export(spark, tmp_path):
     e = spark.createDataFrame([("t1", "", "m", "v1"), ("t2", None, "m", "v2")], "theorem_id string, topic string, model string, prompt_version string")
     x = export.enriched_theorems(t, f, e)
     assert rows(x, "id", "llm_enrichment_available", "theorem_complexity_score") == [("t1", True, 1.0), ("t2", False, None), ("t3", False, None)]
+    assert tuple(export.versions(x).first()) == ("m", "v1,v2")
+    edges = spark.createDataFrame([("s1", "p"), ("s2", "p"), (None, "p")], "proof_state_id string, premise_id string")
+    own = spark.createDataFrame([("s1", "train"), ("s1", "val"), ("s2", "test")], "proof_state_id string, split string")
+    assert rows(export.of_split(edges, {"proof_state_id": own}), "proof_state_id", "split") == [("s1", "train"), ("s1", "val"), ("s2", "test")]
+    assert export.of_split(spark.createDataFrame([(1,)], "x int"), {"proof_state_id": own}).count() == 3
     assert rows(export.manifest(x)) == [("train", 2, 1, 0.5, "m", "v1"), ("val", 1, 0, 0.0, "m", "v2")]
     export.write_splits(x, str(tmp_path), "theorems")
     assert spark.read.parquet(str(tmp_path / "hf/theorems/validation")).count() == 1 and spark.read.parquet(str(tmp_path / "train/theorems.parquet")).count() == 2
@@ -112,6 +137,9 @@ def test_report(spark):
     c = report.value_counts(t, "split", "domain")
     assert rows(report.value_counts(t, "split", "domain", 2)) == [("train", "A", 2), ("train", "B", 1)]
     assert rows(report.other_counts(c, "split", 1)) == [("train", 2, 2, 4)]
+    v = report.value_counts(t, "split", "domain").unionByName(spark.createDataFrame([("test", "Z", 3), ("test", "A", 1)], "split string, value string, n long"))
+    assert rows(report.value_table(v, "split", ("train", "val", "test"), 1)) == [(1, "A", 2, 0, 1, 0.25), (2, "Z", 0, 0, 3, 0.75), (3, "Other", 2, 0, 0, 0.0)]
+    assert report.percent(0.1234) == "12.3%" and report.percent(None) == ""
     d = spark.createDataFrame([("a|b", 0.5)], "name string, x double")
     assert report.markdown_table(d, ["name", "x"]) == ["| name | x |", "| --- | --- |", "| a\\|b | 0.5000 |"]
 
