@@ -14,15 +14,24 @@ MODES = {
 }
 
 
-def expand(neighbors: DataFrame, edges: DataFrame, k_neighbors: int, k: int = 100, mode: str = "rank") -> DataFrame:
-    """Items of the first neighbours (query_id, item_id, rank, score), weighted by rank, similarity (negative: 0) or both.
+def expand_all(neighbors: DataFrame, edges: DataFrame, variants: dict[str, tuple[int, str]], k: int = 100) -> DataFrame:
+    """(source, query_id, item_id, rank, score): items of the first neighbours, for every variant (neighbours, mode) in one pass.
 
-    ``edges``: (neighbor_id, item_id), distinct. A neighbour without items gives none; an unknown mode is a ValueError.
+    A vote weighs by rank, similarity (negative: 0) or both. ``edges``: (neighbor_id, item_id), distinct. A neighbour
+    without items gives none; an unknown mode is a ValueError.
     """
-    if mode not in MODES:
-        raise ValueError(f"unknown expansion mode: {mode}")
-    near = neighbors.where(F.col("rank") <= k_neighbors).select("query_id", F.col("item_id").alias("neighbor_id"), MODES[mode]().alias("f"))
-    return top_k(near.join(edges, "neighbor_id").groupBy("query_id", "item_id").agg(F.sum("f").alias("score")), k)
+    for _, mode in variants.values():
+        if mode not in MODES:
+            raise ValueError(f"unknown expansion mode: {mode}")
+    votes = F.array(*[F.struct(F.lit(n).alias("source"), F.when(F.col("rank") <= first, MODES[mode]()).alias("f")) for n, (first, mode) in variants.items()])
+    near = neighbors.where(F.col("rank") <= max(first for first, _ in variants.values())).select("query_id", F.col("item_id").alias("neighbor_id"), votes.alias("votes"))
+    cast = near.join(edges, "neighbor_id").select("query_id", "item_id", F.inline("votes")).where("f IS NOT NULL")
+    return top_k(cast.groupBy("source", "query_id", "item_id").agg(F.sum("f").alias("score")), k, ("source", "query_id"))
+
+
+def expand(neighbors: DataFrame, edges: DataFrame, k_neighbors: int, k: int = 100, mode: str = "rank") -> DataFrame:
+    """(query_id, item_id, rank, score) of one variant of :func:`expand_all`."""
+    return expand_all(neighbors, edges, {"one": (k_neighbors, mode)}, k).drop("source")
 
 
 #: The weights of the named fusions, by source.

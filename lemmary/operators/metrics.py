@@ -68,4 +68,4 @@ def metric_delta(summary: DataFrame, base: str, metrics: list[str]) -> DataFrame
     """(method, metric, value, delta) of every method against ``base``."""
     long = summary.select("method", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("x")).select("method", "x.metric", "x.value")
     b = long.where(F.col("method") == base).select("metric", F.col("value").alias("base"))
-    return long.join(F.broadcast(b), "metric").select("method", "metric", "value", F.round(F.col("value") - F.col("base"), 6).alias("delta"))
+    return long.join(b, "metric").select("method", "metric", "value", F.round(F.col("value") - F.col("base"), 6).alias("delta"))

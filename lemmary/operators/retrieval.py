@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
+QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 16_384
+#: Queries of a block that are scored at once: bounds the score matrix of a task to CHUNK x CANDIDATE_BLOCK doubles.
+CHUNK = 1024
 #: Terms that meet in more than this part of all pairs of a block are multiplied densely, the others by merged postings.
 DENSE_SHARE = 0.005
 
@@ -78,7 +80,12 @@ def sparse_scores(q: pa.Table, c: pa.Table) -> np.ndarray:
         n = nc[col]
         shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         pos = np.repeat(start[col], n) + shift
-        np.add.at(out, np.repeat(a, n) * c.num_rows + ci[pos], np.repeat(w, n) * cw[pos])
+        cell = np.repeat(a, n) * c.num_rows + ci[pos]
+        o = np.argsort(cell, kind="stable")
+        cell, value = cell[o], (np.repeat(w, n) * cw[pos])[o]
+        first = np.nonzero(np.append(True, cell[1:] != cell[:-1]))[0] if len(cell) else np.zeros(0, np.int64)
+        if len(first):
+            out[cell[first]] += np.add.reduceat(value, first)
     return score
 
 
@@ -124,10 +131,13 @@ def block_top_k(queries: DataFrame, candidates: DataFrame, k: int, measures: dic
         right = right.sort_by("item_id")
         plain = lambda t: t.rename_columns([x[2:] if x[:2] in ("q_", "c_") else x for x in t.column_names])
         parts = []
-        for name, scores in measures.items():
-            s = np.round(scores(plain(left), plain(right)), 9)
-            i, j = best(s)
-            parts.append(pa.table([pa.array([name] * len(i)), left.column("query_id").take(pa.array(i)), right.column("item_id").take(pa.array(j)), pa.array(s[i, j])], schema=schema))
+        for at in range(0, left.num_rows, CHUNK):
+            some = left.slice(at, CHUNK)
+            for name, scores in measures.items():
+                s = scores(plain(some), plain(right))
+                np.round(s, 9, out=s)
+                i, j = best(s)
+                parts.append(pa.table([pa.array([name] * len(i)), some.column("query_id").take(pa.array(i)), right.column("item_id").take(pa.array(j)), pa.array(s[i, j])], schema=schema))
         return pa.concat_tables(parts)
 
     found = q.groupBy("left_block", "right_block").cogroup(c.groupBy("left_block", "right_block")).applyInArrow(run, "measure string, query_id string, item_id string, score double")

@@ -24,7 +24,7 @@ def vocabulary(counts: DataFrame, max_features: int) -> DataFrame:
 
 
 def most_frequent(terms: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` rows of ``terms`` (term, total, ...; each term once) with the highest total, ties by term.
+    """The ``limit`` rows of ``terms`` (term, total, ...; each term once) with the highest total, ties by term; computed once and cut.
 
     Nothing is sorted as a whole: a histogram of totals (few distinct values) gives the total of the last row, which all
     above pass. Rows of that total are range-partitioned by term and numbered within their ranges.
@@ -42,7 +42,7 @@ def most_frequent(terms: DataFrame, limit: int) -> DataFrame:
         offset = F.when(F.col("__range") == r["__range"], before).otherwise(offset)
         before += r["count"]
     place = F.row_number().over(Window.partitionBy("__range").orderBy("term")) + offset
-    return above.unionByName(tied.withColumn("__place", place).where(F.col("__place") <= room).drop("__range", "__place"))
+    return cut(above.unionByName(tied.withColumn("__place", place).where(F.col("__place") <= room).drop("__range", "__place")))
 
 
 def idf_of(counts: DataFrame, n: int, max_features: int = TEXT_FEATURES) -> DataFrame:
@@ -78,7 +78,7 @@ def sparse_rows(counts: DataFrame, idf: DataFrame) -> DataFrame:
 def lexical_top_k(queries: DataFrame, candidates: DataFrame, k: int, max_features: int = TEXT_FEATURES) -> DataFrame:
     """The k candidates (id, text) with the highest TF-IDF cosine for every query (id, text)."""
     counts = cut(term_counts(candidates))  # read for the vocabulary and for the weights
-    idf = cut(idf_of(counts, candidates.count(), max_features))
+    idf = idf_of(counts, candidates.count(), max_features)
     return sparse_top_k(cut(sparse_rows(term_counts(queries), idf)), cut(sparse_rows(counts, idf)), k)
 
 

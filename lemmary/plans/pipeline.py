@@ -114,7 +114,7 @@ class Pipeline:
     def symbol(self) -> DataFrame:
         joined = lambda c: F.concat_ws(" ", F.coalesce(c, F.array().cast("array<string>")))
         terms = cut(tfidf.symbol_terms(self.premises.where("split = 'train'"), ["full_name", "code", "file_path"]))
-        known = cut(tfidf.symbol_vocabulary(terms))
+        known = tfidf.symbol_vocabulary(terms)
         q = cut(tfidf.symbol_rows(tfidf.symbol_terms(self.queries, [joined("symbols"), "goal_text", joined("local_hypotheses"), "full_name"]), known))
         return cut(retrieval.sparse_top_k(q, cut(tfidf.symbol_rows(terms, known)), self.k))
 
@@ -195,11 +195,9 @@ class Pipeline:
     def source(self, name: str) -> DataFrame:
         """(query_id, item_id, rank, score) of one source, computed when first asked for."""
         make = {
-            "dense": lambda: self.dense, "lexical": lambda: self.lexical, "symbol": lambda: self.symbol, "similar_ps": lambda: self.expanded(25, "rank"),
-            "similar_ps_k50": lambda: self.expanded(50, "rank"), "similar_ps_k100": lambda: self.expanded(100, "rank"), "similar_ps_k100_sim": lambda: self.expanded(100, "sim"),
-            "similar_ps_k100_rank_sim": lambda: self.expanded(100, "rank_sim"), "similar_theorem": lambda: self.theorem_premises(self.theorem_neighbors),
+            "dense": lambda: self.dense, "lexical": lambda: self.lexical, "symbol": lambda: self.symbol, "similar_theorem": lambda: self.theorem_premises(self.theorem_neighbors),
             "similar_theorem_llm": lambda: self.theorem_premises(self.theorem_neighbors_llm), "pretrained_dense": lambda: self.pretrained_dense,
-            "pretrained_similar_ps": lambda: self.pretrained_similar_ps,
+            "pretrained_similar_ps": lambda: self.pretrained_similar_ps, **{n: lambda v=v: self.expanded(*v) for n, v in EXPANSIONS.items()},
         }
         return make[name]()
 
@@ -212,7 +210,8 @@ class Pipeline:
         self.together("states", "theorem_states", "premises", "state_vectors", "state_edges", "gold", "train_theorem_edges")
         self.together("queries", "pool", "profiles")
         self.together("premise_searches", "state_searches", "lexical", "symbol", "theorem_neighbors", *["theorem_neighbors_llm"] * self.llm)
-        return cut(self.sources(self.active_sources))
+        expanded = fusion.expand_all(self.similar_states, self.state_edges, EXPANSIONS, self.k).select("source", "query_id", "item_id", "rank", "score")
+        return cut(self.sources([s for s in self.active_sources if s not in EXPANSIONS]).unionByName(expanded))
 
     def fused(self, names: list[str] | None = None, sources: DataFrame | None = None) -> DataFrame:
         """The named fusions (all: None), over the sources they weigh."""
@@ -230,8 +229,8 @@ class Pipeline:
         fused = self.fused(list(fusion.active_presets(self.llm, self.pretrained)), self.all_sources)
         return cut(
             pick(self.all_sources, F.col("source"))
-            .unionByName(pick(self.union(["dense", "lexical"]), F.lit("dense_lexical_rrf")))
-            .unionByName(pick(self.union(["dense", "lexical", "symbol", "similar_ps"]), F.lit("full_union_rrf")))
+            .unionByName(pick(fusion.rank_union(self.all_sources, ["dense", "lexical"], self.k), F.lit("dense_lexical_rrf")))
+            .unionByName(pick(fusion.rank_union(self.all_sources, ["dense", "lexical", "symbol", "similar_ps"], self.k), F.lit("full_union_rrf")))
             .unionByName(pick(fused, F.concat(F.lit("weighted_rrf_"), F.col("preset"))))
         )
 
@@ -257,3 +256,7 @@ SOURCES = [
     "dense", "lexical", "symbol", "similar_ps", "similar_ps_k50", "similar_ps_k100", "similar_ps_k100_sim", "similar_ps_k100_rank_sim",
     "similar_theorem", "similar_theorem_llm", "pretrained_dense", "pretrained_similar_ps",
 ]
+#: Variants of the similar-state source: neighbours, weighting.
+EXPANSIONS = {
+    "similar_ps": (25, "rank"), "similar_ps_k50": (50, "rank"), "similar_ps_k100": (100, "rank"), "similar_ps_k100_sim": (100, "sim"), "similar_ps_k100_rank_sim": (100, "rank_sim"),
+}
