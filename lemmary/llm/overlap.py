@@ -59,12 +59,14 @@ def substring_hashes(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarra
     owner = np.repeat(np.arange(len(texts)), n)
     pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = np.repeat(np.cumsum(lengths) - lengths, n) + pos
-    h = np.zeros(len(at), np.uint64)
+    h = np.zeros(max(0, len(codes) - size + 1), np.uint64)
     with np.errstate(over="ignore"):
         for i in range(size):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[at + i] + np.uint64(1)
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += codes[i : i + len(h)]
+            h += np.uint64(1)
             h ^= h >> np.uint64(29)
-        return _mix(h), owner, pos
+        return _mix(h[at]), owner, pos
 
 
 def allowed_breaks(n: np.ndarray, threshold: float, size: int) -> np.ndarray:

@@ -83,4 +83,4 @@ def packing_summary(packed: DataFrame, budgets: DataFrame) -> DataFrame:
     per = packed.groupBy("budget", "container").agg(F.sum("n_tokens").alias("used"))
     per = per.groupBy("budget").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("n_tokens"))
     caps = budgets.select("budget", "capacity_tokens").distinct()
-    return per.join(F.broadcast(caps), "budget").select("budget", "n_containers", "n_tokens", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6).alias("fill"))
+    return per.join(caps, "budget").select("budget", "n_containers", "n_tokens", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6).alias("fill"))

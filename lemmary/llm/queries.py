@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lemmary.functions.keys import clean_key
 from lemmary.llm import cooccurrence, groups, overlap, packing, set_join, tokens, truncation, vectors
 from lemmary.llm.oracle import ORACLE  # noqa: F401
+from lemmary.operators.cut import cut
 from lemmary.sources.tables import table
 
 
@@ -51,6 +52,20 @@ def p3_edge_splits(spark: SparkSession, d: str) -> DataFrame:
     return groups.split_edges(table(spark, d, "positive_edges"), p3_splits(spark, d))
 
 
+def p3_checks(spark: SparkSession, d: str) -> DataFrame:
+    """(name, n): groups in several splits, ids without one, splits whose share of proof states is off by more than 0.01 (all must be 0), edges and proof states counted."""
+    records = cut(p3_splits(spark, d))
+    states = records.where("kind = 'proof_state'")
+    n = states.count()
+    got = states.groupBy("split").agg((F.count(F.lit(1)) / F.lit(max(n, 1))).alias("got")).join(table(spark, d, "split_targets").distinct(), "split", "full")
+    off = F.abs(F.coalesce("got", F.lit(0.0)) - F.coalesce("share", F.lit(0.0))) > 0.01
+    several = records.groupBy("group_id").agg(F.count_distinct("split").alias("n")).where("n > 1")
+    edges = groups.split_edges(table(spark, d, "positive_edges"), records)
+    counts = {"groups in several splits": several, "ids without split": records.where("split IS NULL"), "splits off target": got.where(off), "proof states": states}
+    parts = [x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, x in counts.items()]
+    return reduce(DataFrame.unionByName, [*parts, edges.agg(F.sum("n_edges").alias("n")).select(F.lit("edges").alias("name"), "n")])
+
+
 def _texts(spark: SparkSession, d: str, *columns: tuple[str, str]) -> DataFrame:
     """(kind, id, text, split) of the named tables and text columns."""
     return reduce(DataFrame.unionByName, [table(spark, d, name).select(F.lit(name).alias("kind"), "id", F.col(text).alias("text"), "split") for name, text in columns])
@@ -120,5 +135,5 @@ def p9_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_linked, p2_found, p2_lists, p3_found, p3_splits, p3_edge_splits, p5_found, p5_paths, p5_report, p6_found, p6_pairs, p7_ids, p8_containers, p8_summary, p9_found, p9_reasons, p9_sources)
+    for f in (p1_found, p1_linked, p2_found, p2_lists, p3_found, p3_splits, p3_edge_splits, p3_checks, p5_found, p5_paths, p5_report, p6_found, p6_pairs, p7_ids, p8_containers, p8_summary, p9_found, p9_reasons, p9_sources)
 }
