@@ -156,10 +156,10 @@ def enrichment_run(wanted: DataFrame, cache: DataFrame | None, client: Callable[
 
 def enrichment_summary(answers: DataFrame) -> DataFrame:
     """One row: requested, succeeded, failed and the first errors by theorem id, as 'id: error' lines."""
-    bad = F.when(F.col("status") == "error", F.concat_ws(": ", "theorem_id", "error"))
-    first = answers.where("status = 'error'").orderBy("theorem_id").limit(LISTED_ERRORS).agg(F.array_join(F.array_sort(F.collect_list(bad)), "\n").alias("errors"))
+    first = answers.where("status = 'error'").orderBy("theorem_id").limit(LISTED_ERRORS).select(F.lit(None).cast("string").alias("status"), F.concat_ws(": ", "theorem_id", "error").alias("line"))
+    rows = answers.select("status", F.lit(None).cast("string").alias("line")).unionByName(first)
     n = lambda s: F.count(F.when(F.col("status") == s, 1))
-    return answers.agg(F.count(F.lit(1)).alias("requested"), n("ok").alias("succeeded"), n("error").alias("failed")).join(first)
+    return rows.agg(F.count("status").alias("requested"), n("ok").alias("succeeded"), n("error").alias("failed"), F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("errors"))
 
 
 def hashed_words(texts: list[str], dim: int = 64) -> np.ndarray:
