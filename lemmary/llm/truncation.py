@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lemmary.llm.joins import hash_joins
 from lemmary.operators.cut import cut
 
 FENCE = "```"
@@ -289,7 +290,8 @@ def truncated(docs: DataFrame, known: int = 2) -> DataFrame:
     goes_on = F.when(more > 0, more >= ends).when(longer > ends, True).when(ends >= 3, False).otherwise(rare)
     half_word = (F.col("last") != ".") & (below >= known) & (seen < F.greatest(F.lit(float(known)), 0.001 * below))
     verdict = F.when(half_word, "word").when(F.when(F.col("last") == ".", more > ends).otherwise(goes_on), "continuation")
-    judged = cut(judged.select(F.col("g").alias("j_g"), F.col("h").alias("j_h"), F.col("last").alias("j_last"), F.col("long").alias("j_long"), verdict.alias("reason")))
+    with hash_joins(docs.sparkSession):
+        judged = cut(judged.select(F.col("g").alias("j_g"), F.col("h").alias("j_h"), F.col("last").alias("j_last"), F.col("long").alias("j_long"), verdict.alias("reason")))
     same = F.col("g").eqNullSafe(F.col("j_g")) & F.col("h").eqNullSafe(F.col("j_h")) & F.col("last").eqNullSafe(F.col("j_last")) & (F.col("state").endswith("long") == F.col("j_long"))
     answered = asked.join(judged, same, "left").select("doc_id", "source", "reason")
     return sure.unionByName(answered).select("doc_id", "source", F.col("reason").isNotNull().alias("is_cut"), "reason")

@@ -12,7 +12,6 @@ neither its pairs nor its rows meet in one task.
 
 from __future__ import annotations
 
-import contextlib
 import itertools
 import math
 import zlib
@@ -21,16 +20,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lemmary.functions.keys import clean_key
+from lemmary.llm.joins import hash_joins
 from lemmary.operators.cut import cut, release
 
 SKETCH_BITS = 192
 _SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
-#: Buckets' rows of a partition up to this size are joined by a hash table, checked at run time; larger ones by sorting.
-HASH_JOIN_BYTES = "64MB"
 #: Buckets of more rows are ranked in blocks of fixed size instead of pair by pair.
 LARGE_BUCKET, QUERY_BLOCK, INDEX_BLOCK = 1024, 2048, 4096
 
@@ -104,18 +102,6 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-@contextlib.contextmanager
-def _hash_joins(spark: SparkSession) -> Iterator[None]:
-    """Within, adaptive execution may join by hash table what it has measured to be small enough."""
-    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
-    before = spark.conf.get(name)
-    spark.conf.set(name, HASH_JOIN_BYTES)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _large_buckets(query: DataFrame, index: DataFrame, sizes: DataFrame, classes: DataFrame, best: int, min_cosine: float) -> DataFrame:
     """(a, b, cosine): for the queries of large buckets the ``best`` others of each block of a bucket, by cosine, then id."""
     asked = cut(query.select("bucket", "c").join(sizes, "bucket"))
@@ -210,7 +196,7 @@ def nearest_lists(vectors: DataFrame, k: int = 10, min_cosine: float = 0.8, dim:
                 keep = cos >= min_cosine
                 yield pa.RecordBatch.from_arrays([pa.array(t.column("a").to_numpy()[keep]), pa.array(t.column("b").to_numpy()[keep]), pa.array(cos[keep])], names=["a", "b", "cosine"])
 
-    with _hash_joins(spark):
+    with hash_joins(spark):
         close = cut(found.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(rank, "a long, b long, cosine double"))
     if not has_large:
         release(index, sizes)
