@@ -15,6 +15,7 @@ parities in bits); the exact sets decide at the end. Every pair tells its path,
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Callable, Iterator
@@ -22,10 +23,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lemmary.functions.keys import clean_key
+from lemmary.llm.joins import hash_joins
 from lemmary.operators.cut import cut, release
 
 #: Tables that are broadcast, of fixed size however large the corpus: 2**20 counts, 2**26 bits.
@@ -39,10 +41,9 @@ _EPS = 1e-9
 _REST = np.uint64(0xD6E8FEB86659FD93)
 
 
-def normal_text(c: Column | str) -> Column:
+def normal_text(text: str) -> str:
     """Lower case, each run of white space one space, ends trimmed."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.trim(F.regexp_replace(F.lower(c), r"[\s\x1c-\x1f\x85\p{Z}]+", " "))
+    return " ".join(text.lower().split())
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -130,10 +131,16 @@ def text_classes(rows: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]
     """Of rows (kind, id, text, split): members (kind, id, side, k) with side 'train' or 'eval'; texts (k, kind, text, in_train, in_eval), each text of a kind once."""
     split = F.trim(F.col("split"))
     side = F.when(split == "train", "train").when(split.isin("val", "test"), "eval")
-    kept = rows.select("kind", clean_key("id").alias("id"), side.alias("side"), normal_text("text").alias("text")).where(
-        F.col("id").isNotNull() & F.col("side").isNotNull() & (F.length("text") >= min_chars)
-    )
-    kept = cut(kept.withColumn("k", F.unhex(F.md5(F.concat_ws("\u0001", "kind", "text").cast("binary")))))
+    sided = rows.select("kind", clean_key("id").alias("id"), side.alias("side"), "text").where("id IS NOT NULL AND side IS NOT NULL AND text IS NOT NULL")
+
+    def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [normal_text(t) for t in b.column("text").to_pylist()]
+            keys = [hashlib.md5(f"{kind}\u0001{t}".encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for kind, t in zip(b.column("kind").to_pylist(), texts, strict=True)]
+            made = pa.RecordBatch.from_arrays([b.column("kind"), b.column("id"), b.column("side"), pa.array(texts, pa.string()), pa.array(keys, pa.binary())], names=["kind", "id", "side", "text", "k"])
+            yield made.filter(pa.array([len(t) >= min_chars for t in texts], pa.bool_()))
+
+    kept = cut(sided.mapInArrow(normalise, "kind string, id string, side string, text string, k binary"))
     texts = kept.groupBy("k").agg(
         F.first("kind").alias("kind"), F.first("text").alias("text"), F.bool_or(F.col("side") == "train").alias("in_train"), F.bool_or(F.col("side") == "eval").alias("in_eval")
     )
@@ -347,7 +354,8 @@ def segment_join(texts: DataFrame, threshold: float = 0.75, size: int = 5) -> Da
     by_set = (F.col("e_at") < 0) & (F.col("t_at") < 0)
     by_segment = (F.col("e_at") >= 0) & (F.col("t_at") >= 0) & allowed
     met = e.join(t, "h").where(close & (by_set | by_segment) & (F.col("e_k") != F.col("t_k")) & alike)
-    pairs = cut(met.groupBy(F.col("e_k").alias("k_eval"), F.col("t_k").alias("k_train")).agg(F.bool_or(F.col("e_at") >= 0).alias("by_segment")))
+    with hash_joins(spark):
+        pairs = cut(met.groupBy(F.col("e_k").alias("k_eval"), F.col("t_k").alias("k_train")).agg(F.bool_or(F.col("e_at") >= 0).alias("by_segment")))
     both = pairs.join(texts.select(F.col("k").alias("k_eval"), F.col("text").alias("te")), "k_eval").join(texts.select(F.col("k").alias("k_train"), F.col("text").alias("tt")), "k_train")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
