@@ -202,16 +202,23 @@ class Pipeline:
         return make[name]()
 
     def sources(self, names: list[str]) -> DataFrame:
-        """(source, query_id, item_id, rank, score) of the named sources."""
-        return reduce(DataFrame.unionByName, [self.source(n).select(F.lit(n).alias("source"), "query_id", "item_id", "rank", "score") for n in names])
+        """(source, query_id, item_id, rank, score) of the named sources; parts they need are computed side by side, expansions in one pass."""
+        own = {"pretrained_dense"} if self.embeddings is not None else set()
+        needed = {n if n in own else SEARCHES.get(n, n) for n in names}
+        if len(needed) > 1:
+            self.together("states", "theorem_states", "premises", "state_vectors", "state_edges", "gold", "train_theorem_edges")
+            self.together("queries", "pool", "profiles")
+            self.together(*sorted(needed))
+        expanded = {n: v for n, v in EXPANSIONS.items() if n in names}
+        parts = []
+        if expanded:
+            parts = [fusion.expand_all(self.similar_states, self.state_edges, expanded, self.k).select("source", "query_id", "item_id", "rank", "score")]
+        names = [n for n in names if n not in expanded]
+        return reduce(DataFrame.unionByName, [self.source(n).select(F.lit(n).alias("source"), "query_id", "item_id", "rank", "score") for n in names] + parts)
 
     @cached_property
     def all_sources(self) -> DataFrame:
-        self.together("states", "theorem_states", "premises", "state_vectors", "state_edges", "gold", "train_theorem_edges")
-        self.together("queries", "pool", "profiles")
-        self.together("premise_searches", "state_searches", "lexical", "symbol", "theorem_neighbors", *["theorem_neighbors_llm"] * self.llm)
-        expanded = fusion.expand_all(self.similar_states, self.state_edges, EXPANSIONS, self.k).select("source", "query_id", "item_id", "rank", "score")
-        return cut(self.sources([s for s in self.active_sources if s not in EXPANSIONS]).unionByName(expanded))
+        return cut(self.sources(self.active_sources))
 
     def fused(self, names: list[str] | None = None, sources: DataFrame | None = None) -> DataFrame:
         """The named fusions (all: None), over the sources they weigh."""
@@ -260,3 +267,7 @@ SOURCES = [
 EXPANSIONS = {
     "similar_ps": (25, "rank"), "similar_ps_k50": (50, "rank"), "similar_ps_k100": (100, "rank"), "similar_ps_k100_sim": (100, "sim"), "similar_ps_k100_rank_sim": (100, "rank_sim"),
 }
+#: The part that a source is taken from, where it isn't its own.
+SEARCHES = {
+    "dense": "premise_searches", "pretrained_dense": "premise_searches", "pretrained_similar_ps": "state_searches", "similar_theorem": "theorem_neighbors", "similar_theorem_llm": "theorem_neighbors_llm", **dict.fromkeys(EXPANSIONS, "state_searches"),
+}
