@@ -143,3 +143,41 @@ def test_metrics_against_brute_force(spark):
 def test_metric_delta(spark):
     d = spark.createDataFrame([("a", 0.5), ("b", 0.75)], "method string, map double")
     assert rows(metrics.metric_delta(d, "a", ["map"])) == [("a", "map", 0.5, 0.0), ("b", "map", 0.75, 0.25)]
+
+
+def test_most_frequent_with_ties(spark):
+    import random
+
+    r = random.Random(4)
+    data = [(f"t{i:03}", r.choice([1, 1, 1, 2, 3, 9])) for i in range(200)]
+    d = spark.createDataFrame(data, "term string, total long").repartition(5)
+    for limit in (1, 7, 60, 150, 199, 200, 300):
+        assert rows(tfidf.most_frequent(d, limit), "term") == sorted((t,) for t, _ in sorted(data, key=lambda x: (-x[1], x[0]))[:limit])
+    assert rows(tfidf.most_frequent(d.limit(0), 3)) == []
+
+
+def test_blocks_and_chunks_give_what_one_product_gives(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "CANDIDATE_BLOCK", 11)
+    monkeypatch.setattr(retrieval, "CHUNK", 3)
+    rng = np.random.default_rng(2)
+    q, c = rng.normal(size=(20, 5)), rng.normal(size=(40, 5))
+    frame = lambda x, p: spark.createDataFrame([(f"{p}{i:02}", v.tolist()) for i, v in enumerate(x)], "id string, v array<double>")
+    got = {(r["measure"], r["query_id"], r["rank"]): (r["item_id"], r["score"]) for r in retrieval.dense_and_cosine_top_k(frame(q, "q"), frame(c, "c"), 4).collect()}
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(got) == 2 * 20 * 4
+    for name, s in (("dot", q @ c.T), ("cosine", unit(q) @ unit(c).T)):
+        s = np.round(s, 9)
+        for i in range(20):
+            for r, j in enumerate(np.argsort(-s[i], kind="stable")[:4]):
+                assert got[name, f"q{i:02}", r + 1][0] == f"c{j:02}" and abs(got[name, f"q{i:02}", r + 1][1] - s[i, j]) < 1e-8
+
+
+def test_symbol_vocabulary_is_capped(spark):
+    d = spark.createDataFrame([("a", "xx yy"), ("b", "xx zz"), ("c", "xx yy ww")], "id string, text string")
+    terms = tfidf.symbol_terms(d, ["text"])
+    known = tfidf.symbol_vocabulary(terms, 2)
+    assert rows(known) == [("xx",), ("yy",)]
+    assert sorted(len(r["t"]) for r in tfidf.symbol_rows(terms, known).collect()) == [1, 2, 2]
