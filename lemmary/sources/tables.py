@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from lemmary.sources.files import required_table
 
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+_SHIPPING = threading.Lock()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it."""
+    """Send this package to the executors once per application, so that Python workers can import it.
+
+    Parts computed side by side ask for it at the same time; a cluster refuses a second file of the same name.
+    """
+    with _SHIPPING:
+        if not getattr(spark.sparkContext, "_lemmary_shipped", False):
+            _send(spark)
+
+
+def _send(spark: SparkSession) -> None:
     sc = spark.sparkContext
-    if getattr(sc, "_lemmary_shipped", False):
-        return
     target = os.path.join(tempfile.mkdtemp(prefix="lemmary"), "lemmary.zip")
     with zipfile.ZipFile(target, "w") as z:
         for folder, _, files in os.walk(_PACKAGE):
