@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,3 +38,9 @@ def release(*cuts: DataFrame) -> None:
         if path.isDefined():
             target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path.get())
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Delete the shuffle files of plans that nobody holds any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

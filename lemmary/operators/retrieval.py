@@ -1,21 +1,22 @@
 """Top-k retrieval: a stated set of queries against all candidates, in blocks, exactly.
 
-Queries and candidates are hashed into blocks; every pair of blocks is one group of a cogroup, scored with numpy (BLAS for
-dense columns, merged postings for rare terms), and only the k best of a block per query leave it. A last window takes the
-k best over blocks. Blocks have a fixed size, so a group's memory doesn't grow with the data.
+Queries are hashed into blocks; a block and all candidates (or, if there are fewer blocks than cores, a share of them) are a
+cell, one task. It reads the candidates in blocks of their own, scores them with numpy (BLAS for dense columns, merged postings
+for rare terms) and holds the k best so far of every query, which alone leave it. A last window takes the k best over cells.
+Blocks have a fixed size, so a task's memory doesn't grow with the data, nor do the rows that leave it with the candidates.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 16_384
+QUERY_BLOCK, CANDIDATE_BLOCK = 32_768, 16_384
 #: Queries of a block that are scored at once: bounds the score matrix of a task to CHUNK x CANDIDATE_BLOCK doubles.
 CHUNK = 1024
 #: Terms that meet in more than this part of all pairs of a block are multiplied densely, the others by merged postings.
@@ -39,7 +40,7 @@ def _flat(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 def dense_scores(q: pa.Table, c: pa.Table) -> np.ndarray:
     qv, ql = _flat(q.column("v"))
     cv, _ = _flat(c.column("v"))
-    return qv.reshape(len(ql), -1) @ cv.reshape(c.num_rows, -1).T
+    return qv.reshape(len(ql), -1).astype(np.float64) @ cv.reshape(c.num_rows, -1).astype(np.float64).T
 
 
 def sparse_scores(q: pa.Table, c: pa.Table) -> np.ndarray:
@@ -91,7 +92,7 @@ def sparse_scores(q: pa.Table, c: pa.Table) -> np.ndarray:
 
 def cosine_scores(q: pa.Table, c: pa.Table) -> np.ndarray:
     def unit(t: pa.Table) -> np.ndarray:
-        x = _flat(t.column("v"))[0].reshape(t.num_rows, -1)
+        x = _flat(t.column("v"))[0].reshape(t.num_rows, -1).astype(np.float64)
         return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
     return unit(q) @ unit(c).T
@@ -103,45 +104,80 @@ def block_top_k(queries: DataFrame, candidates: DataFrame, k: int, measures: dic
     All measures are taken in one pass over the pairs of blocks. ``keep_zero``: whether candidates without any score count
     (dense: always k; sparse: only what has a term in common). No queries or no candidates give no rows.
     """
-    named = lambda d, key, side: d.select(F.col("id").alias(key), *[F.col(x).alias(f"{side}_{x}") for x in columns])
-    q, c = named(queries, "query_id", "q"), named(candidates, "item_id", "c")
-    n_candidates = c.count()
+    n_candidates = candidates.count()
     spread = min(queries.sparkSession.sparkContext.defaultParallelism, math.ceil(n_candidates / 256))  # small inputs use all cores too
-    nq, nc = max(1, math.ceil(q.count() / QUERY_BLOCK)), max(1, math.ceil(n_candidates / CANDIDATE_BLOCK), spread)
+    nq = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    nc = max(1, math.ceil(spread / nq))
+    chunk, block = CHUNK, CANDIDATE_BLOCK
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.withColumn("left_block", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("right_block", each(nc))
-    c = c.withColumn("right_block", F.pmod(F.xxhash64("item_id"), F.lit(nc)).cast("int")).withColumn("left_block", each(nq))
-
-    def best(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows, cols = [], []
-        for r, row in enumerate(s):
-            at = np.arange(len(row)) if keep_zero else np.nonzero(row)[0]
-            if len(at) > k:
-                least = np.partition(row[at], len(at) - k)[len(at) - k]
-                at = at[row[at] >= least]
-            at = at[np.argsort(-row[at], kind="stable")][:k]
-            rows.append(np.full(len(at), r))
-            cols.append(at)
-        return np.concatenate(rows), np.concatenate(cols)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("measure", pa.string()), ("query_id", pa.string()), ("item_id", pa.string()), ("score", pa.float64())])
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        right = right.sort_by("item_id")
-        plain = lambda t: t.rename_columns([x[2:] if x[:2] in ("q_", "c_") else x for x in t.column_names])
-        parts = []
-        for at in range(0, left.num_rows, CHUNK):
-            some = left.slice(at, CHUNK)
-            for name, scores in measures.items():
-                s = scores(plain(some), plain(right))
-                np.round(s, 9, out=s)
-                i, j = best(s)
-                parts.append(pa.table([pa.array([name] * len(i)), some.column("query_id").take(pa.array(i)), right.column("item_id").take(pa.array(j)), pa.array(s[i, j])], schema=schema))
-        return pa.concat_tables(parts)
-
-    found = q.groupBy("left_block", "right_block").cogroup(c.groupBy("left_block", "right_block")).applyInArrow(run, "measure string, query_id string, item_id string, score double")
-    return top_k(found, k, ("measure", "query_id"))
+    q = queries.select(F.lit(0).alias("side"), "id", *columns, place(nq).alias("left"), each(nc).alias("right"))
+    c = candidates.select(F.lit(1).alias("side"), "id", *columns, place(nc).alias("right"), each(nq).alias("left"))
+    cells = q.unionByName(c).repartitionById(nq * nc, F.col("left") * nc + F.col("right")).drop("left", "right").sortWithinPartitions("side", "id")
+    schema = pa.schema([("measure", pa.string()), ("query_id", pa.string()), ("item_id", pa.string()), ("score", pa.float64())])
+
+    def better(row: np.ndarray, least: float) -> np.ndarray:
+        """The at most k best places of a row above ``least``, in order; of equal scores the first."""
+        at = np.flatnonzero(row > least)
+        if len(at) > k:
+            least = np.partition(row[at], len(at) - k)[len(at) - k]
+            at = at[row[at] >= least]
+        return at[np.argsort(-row[at], kind="stable")][:k]
+
+    def found(asked: pa.Table, blocks: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        """Blocks of candidates in order of their ids against all queries of a cell; k places per query and measure are held."""
+        shape = (len(measures), asked.num_rows, k)
+        score, item, ids, n_ids = np.full(shape, -np.inf), np.zeros(shape, np.int64), [], 0
+        for some in blocks:
+            for at in range(0, asked.num_rows, chunk):
+                for m, scores in enumerate(measures.values()):
+                    s = scores(asked.slice(at, chunk), some)
+                    np.round(s, 9, out=s)
+                    if not keep_zero:
+                        s[s == 0] = -np.inf
+                    for r, row in enumerate(s, at):
+                        new = better(row, score[m, r, -1])
+                        if len(new):
+                            both = np.concatenate([score[m, r], row[new]])
+                            o = np.argsort(-both, kind="stable")[:k]
+                            score[m, r], item[m, r] = both[o], np.concatenate([item[m, r], n_ids + new])[o]
+            ids, n_ids = [*ids, some.column("id").combine_chunks()], n_ids + some.num_rows
+            if n_ids > 2 * item.size + block:  # ids that no place holds are dropped
+                used, at = np.unique(item, return_inverse=True)
+                ids, n_ids, item = [pa.chunked_array(ids).take(pa.array(used)).combine_chunks()], len(used), at.reshape(shape)
+        for m, name in enumerate(measures):
+            for at in range(0, asked.num_rows, chunk):
+                i, j = np.nonzero(score[m, at : at + chunk] > -np.inf)
+                items = pa.chunked_array(ids).take(pa.array(item[m, at + i, j]))
+                yield from pa.table([pa.array([name] * len(i), pa.string()), asked.column("id").take(pa.array(at + i)), items, pa.array(score[m, at + i, j])], schema=schema).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a cell, the queries and then the candidates."""
+        asked, rest = [], []
+        for b in batches:
+            first = int(np.count_nonzero(b.column("side").to_numpy() == 0))
+            asked += [b.slice(0, first)] if first else []
+            rest += [b.slice(first)] if first < b.num_rows else []
+            if rest:
+                break
+
+        def blocks() -> Iterator[pa.Table]:
+            held = rest
+            for b in batches:
+                if sum(x.num_rows for x in held) + b.num_rows > block:
+                    yield from cut_up(held)
+                    held = []
+                held.append(b)
+            yield from cut_up(held)
+
+        def cut_up(held: list[pa.RecordBatch]) -> Iterator[pa.Table]:
+            t = pa.Table.from_batches(held)
+            yield from (t.slice(at, block) for at in range(0, t.num_rows, block))
+
+        if asked and rest:
+            yield from found(pa.Table.from_batches(asked), blocks())
+
+    return top_k(cells.mapInArrow(run, "measure string, query_id string, item_id string, score double"), k, ("measure", "query_id"))
 
 
 def dense_top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:

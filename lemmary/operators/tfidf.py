@@ -14,8 +14,8 @@ TEXT_FEATURES, SYMBOL_FEATURES = 300_000, 250_000
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(id, term, tf) of docs (id, text)."""
-    return docs.select("id", F.explode(tokens("text")).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf) of docs (id, text). Whole texts are shuffled, which are smaller than their terms with an id each."""
+    return docs.select("id", "text").repartition("id").select("id", F.explode(tokens("text")).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(counts: DataFrame, max_features: int) -> DataFrame:
@@ -77,7 +77,7 @@ def sparse_rows(counts: DataFrame, idf: DataFrame) -> DataFrame:
 
 def lexical_top_k(queries: DataFrame, candidates: DataFrame, k: int, max_features: int = TEXT_FEATURES) -> DataFrame:
     """The k candidates (id, text) with the highest TF-IDF cosine for every query (id, text)."""
-    counts = cut(term_counts(candidates))  # read for the vocabulary and for the weights
+    counts = term_counts(candidates)  # twice, for the vocabulary and for the weights: kept, they would be many times the texts
     idf = idf_of(counts, candidates.count(), max_features)
     return sparse_top_k(cut(sparse_rows(term_counts(queries), idf)), cut(sparse_rows(counts, idf)), k)
 

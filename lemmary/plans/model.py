@@ -127,8 +127,7 @@ class Model:
         """(id, row_index, v) of the entities of a type with a usable vector: 64 values, none null, not all zero."""
         ok = (F.size("embedding") == DIM) & ~F.exists("embedding", lambda x: x.isNull()) & F.exists("embedding", lambda x: x != 0)
         rows = self.raw("entity_vectors").where((F.col("entity_type") == entity_type) & ok)
-        v = F.col("embedding").cast("array<double>")
-        return rows.select(clean_key("entity_id").alias("id"), "row_index", v.alias("v")).groupBy("id").agg(F.min("row_index").alias("row_index"), F.min("v").alias("v"))
+        return rows.select(clean_key("entity_id").alias("id"), "row_index", F.col("embedding").alias("v")).groupBy("id").agg(F.min("row_index").alias("row_index"), F.min("v").alias("v"))
 
     def pool(self) -> DataFrame:
         """(id): premises of train."""

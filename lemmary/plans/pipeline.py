@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lemmary.operators import fusion, metrics, profiles, retrieval, tfidf
-from lemmary.operators.cut import cut
+from lemmary.operators.cut import cut, drop_shuffles
 from lemmary.plans.model import Model
 
 
@@ -38,6 +38,7 @@ class Pipeline:
         with ThreadPoolExecutor(len(names)) as pool:
             for done in [pool.submit(getattr, self, n) for n in names]:
                 done.result()
+        drop_shuffles(self.m.spark)
 
     # proof state -> premise
 
@@ -45,9 +46,9 @@ class Pipeline:
     def states(self) -> DataFrame:
         return cut(self.m.states())
 
-    @cached_property
+    @property
     def theorem_states(self) -> DataFrame:
-        return cut(self.m.theorem_states())
+        return self.m.theorem_states()
 
     @cached_property
     def premises(self) -> DataFrame:
@@ -65,7 +66,8 @@ class Pipeline:
 
     @cached_property
     def gold(self) -> DataFrame:
-        return cut(self.m.gold(self.split))
+        s = self.states.where(F.col("split") == self.split).select(F.col("id").alias("neighbor_id"))
+        return cut(self.state_edges.join(s, "neighbor_id", "left_semi").select(F.col("neighbor_id").alias("query_id"), "item_id"))
 
     @cached_property
     def queries(self) -> DataFrame:
@@ -76,21 +78,34 @@ class Pipeline:
 
     @cached_property
     def premise_searches(self) -> DataFrame:
-        """Premises nearest to the queries by inner product and, unless there are vectors of an encoder, by cosine: one pass."""
+        """Premises nearest to the queries by inner product and by cosine, which stands for the vectors of an encoder: one pass."""
         return cut(retrieval.dense_and_cosine_top_k(self.queries, self.pool, self.k))
 
+    @cached_property
+    def premise_dots(self) -> DataFrame:
+        """Those by inner product alone."""
+        return cut(retrieval.dense_top_k(self.queries, self.pool, self.k))
+
     @cached_property
     def state_searches(self) -> DataFrame:
         """Train states nearest to the queries by both measures, once for k = 100; smaller k and all modes are taken from it."""
         return cut(retrieval.dense_and_cosine_top_k(self.queries, self.train_states, 100))
 
+    @cached_property
+    def state_dots(self) -> DataFrame:
+        return cut(retrieval.dense_top_k(self.queries, self.train_states, 100))
+
+    def has(self, part: str) -> bool:
+        """Whether a part has been computed."""
+        return part in vars(self)
+
     @staticmethod
     def by(searches: DataFrame, measure: str) -> DataFrame:
         return searches.where(F.col("measure") == measure).drop("measure")
 
     @property
     def dense(self) -> DataFrame:
-        return self.by(self.premise_searches, "dot")
+        return self.by(self.premise_searches, "dot") if self.has("premise_searches") else self.premise_dots
 
     def encoded(self, kind: str, like: DataFrame) -> DataFrame:
         """Vectors (id, v) of the encoder's table for the ids of ``like``."""
@@ -113,7 +128,7 @@ class Pipeline:
     @cached_property
     def symbol(self) -> DataFrame:
         joined = lambda c: F.concat_ws(" ", F.coalesce(c, F.array().cast("array<string>")))
-        terms = cut(tfidf.symbol_terms(self.premises.where("split = 'train'"), ["full_name", "code", "file_path"]))
+        terms = tfidf.symbol_terms(self.premises.where("split = 'train'"), ["full_name", "code", "file_path"])
         known = tfidf.symbol_vocabulary(terms)
         q = cut(tfidf.symbol_rows(tfidf.symbol_terms(self.queries, [joined("symbols"), "goal_text", joined("local_hypotheses"), "full_name"]), known))
         return cut(retrieval.sparse_top_k(q, cut(tfidf.symbol_rows(terms, known)), self.k))
@@ -125,7 +140,7 @@ class Pipeline:
 
     @property
     def similar_states(self) -> DataFrame:
-        return self.by(self.state_searches, "dot")
+        return self.by(self.state_searches, "dot") if self.has("state_searches") else self.state_dots
 
     @cached_property
     def state_edges(self) -> DataFrame:
@@ -179,7 +194,8 @@ class Pipeline:
 
     @cached_property
     def train_theorem_edges(self) -> DataFrame:
-        return cut(self.m.edges_by_theorem("train").select(F.col("theorem_id").alias("neighbor_id"), F.col("premise_id").alias("item_id")))
+        links = self.m.links().where("split = 'train'").select(F.col("proof_state_id").alias("neighbor_id"), "theorem_id")
+        return cut(self.state_edges.join(links, "neighbor_id").select(F.col("theorem_id").alias("neighbor_id"), "item_id").distinct())
 
     def neighbor_premises(self, neighbors: DataFrame) -> DataFrame:
         return fusion.expand(neighbors, self.train_theorem_edges, self.neighbor_k, self.k, "rank")
@@ -203,12 +219,18 @@ class Pipeline:
 
     def sources(self, names: list[str]) -> DataFrame:
         """(source, query_id, item_id, rank, score) of the named sources; parts they need are computed side by side, expansions in one pass."""
-        own = {"pretrained_dense"} if self.embeddings is not None else set()
+        own = {"pretrained_dense", "pretrained_similar_ps"} if self.embeddings is not None else set()
         needed = {n if n in own else SEARCHES.get(n, n) for n in names}
+        for dots, both in (("premise_dots", "premise_searches"), ("state_dots", "state_searches")):
+            if both in needed or self.has(both):
+                needed = needed - {dots} | ({both} if dots in needed else set())
         if len(needed) > 1:
-            self.together("states", "theorem_states", "premises", "state_vectors", "state_edges", "gold", "train_theorem_edges")
-            self.together("queries", "pool", "profiles")
-            self.together(*sorted(needed))
+            self.together("states", "premises", "state_vectors", "state_edges")
+            self.together("gold", "pool", "profiles", "train_theorem_edges")
+            self.together("queries")
+            todo = sorted(needed)
+            for at in range(0, len(todo), 2):  # more at a time would hold the shuffles of all on disk
+                self.together(*todo[at : at + 2])
         expanded = {n: v for n, v in EXPANSIONS.items() if n in names}
         parts = []
         if expanded:
@@ -269,5 +291,5 @@ EXPANSIONS = {
 }
 #: The part that a source is taken from, where it isn't its own.
 SEARCHES = {
-    "dense": "premise_searches", "pretrained_dense": "premise_searches", "pretrained_similar_ps": "state_searches", "similar_theorem": "theorem_neighbors", "similar_theorem_llm": "theorem_neighbors_llm", **dict.fromkeys(EXPANSIONS, "state_searches"),
+    "dense": "premise_dots", "pretrained_dense": "premise_searches", "pretrained_similar_ps": "state_searches", "similar_theorem": "theorem_neighbors", "similar_theorem_llm": "theorem_neighbors_llm", **dict.fromkeys(EXPANSIONS, "state_dots"),
 }

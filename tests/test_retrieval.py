@@ -181,3 +181,32 @@ def test_symbol_vocabulary_is_capped(spark):
     known = tfidf.symbol_vocabulary(terms, 2)
     assert rows(known) == [("xx",), ("yy",)]
     assert sorted(len(r["t"]) for r in tfidf.symbol_rows(terms, known).collect()) == [1, 2, 2]
+
+
+def test_held_places_survive_many_blocks_of_candidates(spark, monkeypatch):
+    """Ids that no place holds are dropped on the way; of ties the first ids stay; a row leaves a cell per query and place, however many blocks."""
+    monkeypatch.setattr(retrieval, "CANDIDATE_BLOCK", 11)
+    r = random.Random(5)
+    vector = lambda: [float(r.choice([-1, 0, 1, 2])) for _ in range(3)]
+    q, c = [(f"q{i}", vector()) for i in range(3)], [(f"c{i:03}", vector()) for i in range(200)]
+    frame = lambda x: spark.createDataFrame(x, "id string, v array<float>")
+    leave, inner = [], retrieval.top_k
+    monkeypatch.setattr(retrieval, "top_k", lambda d, *a: leave.append(d.count()) or inner(d, *a))
+    got = rows(retrieval.dense_top_k(frame(q), frame(c), 2), "query_id", "rank", "item_id", "score")
+    want = [(a, rank, b, s) for a, v in q for b, rank, s in brute_topk({b: sum(x * y for x, y in zip(v, w, strict=True)) for b, w in c}, 2)]
+    assert got == sorted(want, key=repr) and leave == [6]
+
+
+def test_a_fusion_without_encoder_sources_searches_by_one_measure(spark, monkeypatch):
+    from lemmary.plans.pipeline import Pipeline
+
+    p, asked = Pipeline(None), []
+    monkeypatch.setattr(p, "together", lambda *names: asked.append(names))
+    monkeypatch.setattr(p, "source", lambda name: near(spark, [("q", name, 1, 0.5)]))
+    assert rows(p.sources(["dense", "lexical", "symbol"]), "item_id") == [("dense",), ("lexical",), ("symbol",)]
+    names = {x for names in asked for x in names}
+    assert "premise_dots" in names and not names & {"premise_searches", "state_searches"}
+    asked.clear()
+    p.sources(["dense", "pretrained_dense", "lexical"])
+    names = {x for names in asked for x in names}
+    assert "premise_searches" in names and "premise_dots" not in names
