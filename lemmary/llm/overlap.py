@@ -19,6 +19,7 @@ import hashlib
 import math
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,14 +29,16 @@ from pyspark.sql import functions as F
 
 from lemmary.functions.keys import clean_key
 from lemmary.llm.joins import hash_joins
-from lemmary.operators.cut import cut, release
+from lemmary.operators.cut import cut, drop_shuffles, release
 
 #: Tables that are broadcast, of fixed size however large the corpus: 2**20 counts, 2**26 bits.
 COUNT_BITS, SEEN_BITS = 20, 26
 #: Texts of a batch, whose number takes so many bits of a sort key; the substring keeps what rarity (8 bits) leaves.
 TEXT_BITS = 10
 #: Bits of the parity sketch of a text's set of substrings.
-PARITY_BITS = 512
+PARITY_BITS = 256
+#: Texts of so many characters are joined in one pass over all keys; n squared times as many in n, each over a share of the keys.
+PASS_CHARS = 1 << 24
 _SKETCH = [f"s{i}" for i in range(PARITY_BITS // 64)]
 _EPS = 1e-9
 _REST = np.uint64(0xD6E8FEB86659FD93)
@@ -128,7 +131,7 @@ def banded_distances(pairs: list[tuple[str, str]], band: list[int]) -> list[int
 
 
 def text_classes(rows: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows (kind, id, text, split): members (kind, id, side, k) with side 'train' or 'eval'; texts (k, kind, text, in_train, in_eval), each text of a kind once."""
+    """Of rows (kind, id, text, split): members (kind, id, side, k) with side 'train' or 'eval'; texts (k, i, kind, text, in_train, in_eval), each text of a kind once, ``i`` its number."""
     split = F.trim(F.col("split"))
     side = F.when(split == "train", "train").when(split.isin("val", "test"), "eval")
     sided = rows.select("kind", clean_key("id").alias("id"), side.alias("side"), "text").where("id IS NOT NULL AND side IS NOT NULL AND text IS NOT NULL")
@@ -144,7 +147,7 @@ def text_classes(rows: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]
     texts = kept.groupBy("k").agg(
         F.first("kind").alias("kind"), F.first("text").alias("text"), F.bool_or(F.col("side") == "train").alias("in_train"), F.bool_or(F.col("side") == "eval").alias("in_eval")
     )
-    return kept.select("kind", "id", "side", "k").distinct(), cut(texts)
+    return kept.select("kind", "id", "side", "k").distinct(), cut(texts.withColumn("i", F.monotonically_increasing_id()))
 
 
 def _segments(h: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +178,8 @@ def corpus_table(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.
         return pa.table({"at": t.column("at")[:1], "words": pa.array([words.tobytes()], pa.binary()), "of": t.column("of")[:1]})
 
     schema = "at int, words binary, of int"
-    found = rows.mapInArrow(task, schema).groupBy("at").applyInArrow(merge, schema).collect()
+    few = 2 * rows.sparkSession.sparkContext.defaultParallelism  # each task gives a whole table
+    found = rows.coalesce(few).mapInArrow(task, schema).groupBy("at").applyInArrow(merge, schema).collect()
     out = np.zeros((found[0]["of"] if found else 0, piece), np.int64)
     for r in found:
         out[r["at"]] = np.frombuffer(r["words"], np.int64)
@@ -254,9 +258,10 @@ class Keys:
 
     Without ``seen`` those of the evaluation side: of the cut the k + 1 rarest segments. With ``seen``, the marks of the
     evaluation side, those of training: all substrings of segment length, as far as one may meet a key of the other side.
+    ``share`` (part, parts): only keys whose hash falls to this part.
     """
 
-    def __init__(self, texts: list[str], kinds: list[str], counts: np.ndarray, threshold: float, size: int, seen: np.ndarray | None) -> None:
+    def __init__(self, texts: list[str], kinds: list[str], counts: np.ndarray, threshold: float, size: int, seen: np.ndarray | None, share: tuple[int, int] = (0, 1)) -> None:
         h, owner, pos = substring_hashes(texts, size)
         f = counts[0][_count_at(h)]
         seg_h, whole = _segments(h, owner, size)
@@ -279,6 +284,9 @@ class Keys:
         rare = rank <= (n - np.ceil(threshold * n - _EPS))[so]
         with np.errstate(over="ignore"):
             rare_h, rare_o, rank = _mix(gram[rare] ^ _REST), so[rare], rank[rare]
+        of_share = lambda x: x % np.uint64(share[1]) == np.uint64(share[0]) if share[1] > 1 else np.ones(len(x), bool)
+        mine = of_share(rare_h)
+        rare_h, rare_o, rank = rare_h[mine], rare_o[mine], rank[mine]
         seg_o, seg_p = owner[whole], pos[whole]
         if seen is None:
             lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
@@ -291,9 +299,11 @@ class Keys:
             cut_at = (np.cumsum(runs) - runs)[slot_o] + start
             o = np.lexsort((start, seg_f[cut_at], slot_o))
             chosen = cut_at[o[np.arange(len(o)) - before[slot_o] <= allowed_breaks(n, threshold, size)[slot_o]]]
-            seg_h, seg_o, seg_p = seg_h[chosen], seg_o[chosen], seg_p[chosen]
+            mine = of_share(seg_h[chosen])
+            seg_h, seg_o, seg_p = seg_h[chosen][mine], seg_o[chosen][mine], seg_p[chosen][mine]
         else:
-            keep = np.nonzero(_is_set(seen, seg_h))[0]
+            keep = np.nonzero(of_share(seg_h))[0]
+            keep = keep[_is_set(seen, seg_h[keep])]
             keep = keep[_is_set(seen, _of_size(seg_h[keep], size_class(n)[seg_o[keep]], True))]
             seg_h, seg_o, seg_p = seg_h[keep], seg_o[keep], seg_p[keep]
             keep = size_match(seen, rare_h, n[rare_o], rank, threshold)
@@ -308,21 +318,15 @@ class Keys:
         return np.concatenate([size_marks(self.h, n, self.rank, threshold), self.h[~rest], _of_size(self.h[rest], size_class(n[rest]), False)])
 
 
-def segment_join(texts: DataFrame, threshold: float = 0.75, size: int = 5) -> DataFrame:
-    """(k_eval, k_train, path, jaccard, edits) of all pairs of different texts, one in train and one in val or test, from ``threshold`` on.
-
-    ``path``: 'edits' (found by the segment join, the banded distance is within a quarter of the longer text), 'segments'
-    (found by it, but further apart), 'sets' (found by the exact path alone). ``edits`` is the distance where it is within
-    that band, else null. A key that very many texts have is one skewed join key, which adaptive execution splits.
-    """
+def _pairs_of_share(texts: DataFrame, counts, threshold: float, size: int, share: tuple[int, int]) -> DataFrame:  # noqa: ANN001
+    """(i_eval, i_train, by_segment) of the texts that meet in a key of a share and pass the bounds. ``counts``: broadcast."""
     spark = texts.sparkSession
-    counts = spark.sparkContext.broadcast(rarity_counts(texts, size))
 
     def each(batches: Iterator[pa.RecordBatch], seen) -> Iterator[tuple[pa.RecordBatch, Keys]]:  # noqa: ANN001
         for b in batches:
             for at in range(0, b.num_rows, 1 << TEXT_BITS):
                 part = b.slice(at, 1 << TEXT_BITS)
-                yield part, Keys(part.column("text").to_pylist(), part.column("kind").to_pylist(), counts.value, threshold, size, seen and seen.value)
+                yield part, Keys(part.column("text").to_pylist(), part.column("kind").to_pylist(), counts.value, threshold, size, seen and seen.value, share)
 
     def marks(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         """2**SEEN_BITS bits, packed: one is set for the hash range of each mark."""
@@ -334,17 +338,17 @@ def segment_join(texts: DataFrame, threshold: float = 0.75, size: int = 5) -> Da
     def rows(seen) -> object:  # noqa: ANN001
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, x in each(batches, seen):
-                cols = [pa.array(x.h.view(np.int64)), pa.array(x.at), pa.array(x.n[x.owner].astype(np.int32)), part.column("k").take(pa.array(x.owner))]
+                cols = [pa.array(x.h.view(np.int64)), pa.array(x.at), pa.array(x.n[x.owner].astype(np.int32)), part.column("i").take(pa.array(x.owner))]
                 cols += [pa.array(np.ascontiguousarray(x.sketch[x.owner, i])) for i in range(len(_SKETCH))]
-                yield pa.RecordBatch.from_arrays(cols, names=["h", "at", "n", "k", *_SKETCH])
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "at", "n", "i", *_SKETCH])
 
         return run
 
-    schema = "h long, at int, n int, k binary, " + ", ".join(f"{x} long" for x in _SKETCH)
-    asked = texts.where("in_eval").select("k", "kind", "text")
+    schema = "h long, at int, n int, i long, " + ", ".join(f"{x} long" for x in _SKETCH)
+    asked = texts.where("in_eval").select("i", "kind", "text")
     seen = spark.sparkContext.broadcast(corpus_table(asked, marks, np.bitwise_or))
     e = asked.mapInArrow(rows(None), schema)
-    t = texts.where("in_train").select("k", "kind", "text").mapInArrow(rows(seen), schema)
+    t = texts.where("in_train").select("i", "kind", "text").mapInArrow(rows(seen), schema)
     e, t = (d.select("h", *[F.col(c).alias(f"{x}_{c}") for c in d.columns if c != "h"]) for d, x in ((e, "e"), (t, "t")))
     close = F.least("e_n", "t_n") >= F.greatest("e_n", "t_n") * threshold - _EPS
     apart = sum((F.bit_count(F.col(f"e_{x}").bitwiseXOR(F.col(f"t_{x}"))) for x in _SKETCH[1:]), F.bit_count(F.col(f"e_{_SKETCH[0]}").bitwiseXOR(F.col(f"t_{_SKETCH[0]}"))))
@@ -353,10 +357,33 @@ def segment_join(texts: DataFrame, threshold: float = 0.75, size: int = 5) -> Da
     allowed = (shift >= -(F.col("e_n") * (1 - threshold)) - _EPS) & (shift <= F.col("e_n") * (1 / threshold - 1) + _EPS)
     by_set = (F.col("e_at") < 0) & (F.col("t_at") < 0)
     by_segment = (F.col("e_at") >= 0) & (F.col("t_at") >= 0) & allowed
-    met = e.join(t, "h").where(close & (by_set | by_segment) & (F.col("e_k") != F.col("t_k")) & alike)
-    with hash_joins(spark):
-        pairs = cut(met.groupBy(F.col("e_k").alias("k_eval"), F.col("t_k").alias("k_train")).agg(F.bool_or(F.col("e_at") >= 0).alias("by_segment")))
-    both = pairs.join(texts.select(F.col("k").alias("k_eval"), F.col("text").alias("te")), "k_eval").join(texts.select(F.col("k").alias("k_train"), F.col("text").alias("tt")), "k_train")
+    met = e.join(t, "h").where(close & (by_set | by_segment) & (F.col("e_i") != F.col("t_i")) & alike)
+    return met.groupBy(F.col("e_i").alias("i_eval"), F.col("t_i").alias("i_train")).agg(F.bool_or(F.col("e_at") >= 0).alias("by_segment"))
+
+
+def segment_join(texts: DataFrame, threshold: float = 0.75, size: int = 5) -> DataFrame:
+    """(k_eval, k_train, path, jaccard, edits) of all pairs of different texts, one in train and one in val or test, from ``threshold`` on.
+
+    ``path``: 'edits' (found by the segment join, the banded distance is within a quarter of the longer text), 'segments'
+    (found by it, but further apart), 'sets' (found by the exact path alone). ``edits`` is the distance where it is within
+    that band, else null. A key that very many texts have is one skewed join key, which adaptive execution splits. Large
+    corpora are joined in passes, each over a share of the keys, so that the rows of all keys never lie on disk at once.
+    """
+    spark = texts.sparkSession
+    counts = spark.sparkContext.broadcast(rarity_counts(texts, size))
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, round(math.sqrt(chars / PASS_CHARS)))
+    passes = []
+    for part in range(parts):
+        with hash_joins(spark):
+            passes.append(cut(_pairs_of_share(texts, counts, threshold, size, (part, parts))))
+        drop_shuffles(spark)
+    pairs = passes[0]
+    if parts > 1:
+        pairs = cut(reduce(DataFrame.unionByName, passes).groupBy("i_eval", "i_train").agg(F.bool_or("by_segment").alias("by_segment")))
+        release(*passes)
+    both = pairs.join(texts.select(F.col("i").alias("i_eval"), F.col("k").alias("k_eval"), F.col("text").alias("te")), "i_eval")
+    both = both.join(texts.select(F.col("i").alias("i_train"), F.col("k").alias("k_train"), F.col("text").alias("tt")), "i_train")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -372,7 +399,7 @@ def segment_join(texts: DataFrame, threshold: float = 0.75, size: int = 5) -> Da
             path = [("sets" if not s else "edits" if d is not None else "segments") for s, d in zip(f["by_segment"], edits, strict=True)]
             yield pd.DataFrame({"k_eval": f["k_eval"], "k_train": f["k_train"], "path": path, "jaccard": f["jaccard"], "edits": pd.array(edits, dtype="Int32")})
 
-    found = cut(both.mapInPandas(verify, "k_eval binary, k_train binary, path string, jaccard double, edits int"))
+    found = cut(both.drop("i_eval", "i_train").mapInPandas(verify, "k_eval binary, k_train binary, path string, jaccard double, edits int"))
     release(pairs)
     return found
 

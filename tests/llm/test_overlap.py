@@ -136,3 +136,20 @@ def test_paths(spark):
     found = overlap.cross_split_pairs(of(spark, data))
     assert rows(found.select("eval_id", "path", "edits")) == [("b", "edits", 2), ("c", "sets", None), ("d", "equal", 0), ("f", "sets", 16)]
     assert rows(overlap.pair_paths(found).select("table_name", "path", "n_pairs")) == [("t", "edits", 1), ("t", "equal", 1), ("t", "sets", 2)]
+
+
+def test_passes_over_shares_of_the_keys_find_the_same(spark, monkeypatch):
+    """Large corpora are joined in passes, so that the rows of all keys never lie on disk at once; no key is left out or joined twice."""
+    r = random.Random(7)
+    base = ["⊢ " + "".join(r.choice("abcdefgh  .≤") for _ in range(r.randrange(40, 120))) for _ in range(12)]
+    data = [(f"r{i:03}", edited(r, r.choice(base)), r.choice(["train", "val"]), "x", 1) for i in range(80)]
+    chars = sum({norm(x[1]): len(norm(x[1])) for x in data if len(norm(x[1])) >= 40}.values())
+    monkeypatch.setattr(overlap, "PASS_CHARS", chars / 9)
+    shares, inner = [], overlap._pairs_of_share
+    monkeypatch.setattr(overlap, "_pairs_of_share", lambda *a: shares.append(a[-1]) or inner(*a))
+    got = overlap.cross_split_pairs(of(spark, data))
+    assert rows(got.select("eval_id", "train_id").distinct()) == [tuple(x) for x in brute(data)] and shares == [(0, 3), (1, 3), (2, 3)]
+    texts = [norm(x[1]) for x in data]
+    counts = np.zeros((2, 1 << overlap.COUNT_BITS), np.uint8)
+    keys = lambda *share: sorted(overlap.Keys(texts, ["t"] * len(texts), counts, 0.75, 5, None, *share).h.tolist())
+    assert sorted(x for i in range(3) for x in keys((i, 3))) == keys()
