@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Like :func:`cut`, as Parquet: a fraction of a checkpoint's size for many narrow rows, read by columns. Deleted when the application ends."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    folder = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    target = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(target)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def release(*cuts: DataFrame) -> None:
     """Delete the files of cuts. Only for cuts whose every dependent has been cut itself, so that no lineage leads back."""
     for df in cuts:

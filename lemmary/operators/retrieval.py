@@ -20,7 +20,7 @@ QUERY_BLOCK, CANDIDATE_BLOCK = 32_768, 16_384
 #: Queries of a block that are scored at once: bounds the score matrix of a task to CHUNK x CANDIDATE_BLOCK doubles.
 CHUNK = 1024
 #: Terms that meet in more than this part of all pairs of a block are multiplied densely, the others by merged postings.
-DENSE_SHARE = 0.005
+DENSE_SHARE = 0.0005
 
 
 def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -37,68 +37,77 @@ def _flat(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return col.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], np.diff(offsets)
 
 
-def dense_scores(q: pa.Table, c: pa.Table) -> np.ndarray:
-    qv, ql = _flat(q.column("v"))
-    cv, _ = _flat(c.column("v"))
-    return qv.reshape(len(ql), -1).astype(np.float64) @ cv.reshape(c.num_rows, -1).astype(np.float64).T
-
-
-def sparse_scores(q: pa.Table, c: pa.Table) -> np.ndarray:
-    """Inner products of (t: term ids, w: weights) rows."""
-    out = np.zeros(q.num_rows * c.num_rows)
-    qt, qn = _flat(q.column("t"))
-    ct, cn = _flat(c.column("t"))
-    qw, cw = _flat(q.column("w"))[0], _flat(c.column("w"))[0]
-    qi, ci = np.repeat(np.arange(q.num_rows), qn), np.repeat(np.arange(c.num_rows), cn)
-    common = np.intersect1d(qt, ct)
-    if not len(common):
-        return out.reshape(q.num_rows, c.num_rows)
-
-    def column(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(common, t), len(common) - 1)
-        return at, common[at] == t
-
-    (qc, qk), (cc, ck) = column(qt), column(ct)
-    qi, qc, qw, ci, cc, cw = qi[qk], qc[qk], qw[qk], ci[ck], cc[ck], cw[ck]
-    nq, nc = np.bincount(qc, minlength=len(common)), np.bincount(cc, minlength=len(common))
-    dense = nq * nc > DENSE_SHARE * len(out)
-    which = np.nonzero(dense)[0]
-    score = out.reshape(q.num_rows, c.num_rows)
-    for at in range(0, len(which), 512):
-        part = np.full(len(common), -1)
-        part[which[at : at + 512]] = np.arange(len(which[at : at + 512]))
-        a, b = np.zeros((q.num_rows, 512)), np.zeros((c.num_rows, 512))
-        m = part[qc] >= 0
-        a[qi[m], part[qc[m]]] = qw[m]
-        m = part[cc] >= 0
-        b[ci[m], part[cc[m]]] = cw[m]
-        score += a @ b.T
-    m, o = ~dense[qc], np.argsort(cc, kind="stable")
-    ci, cw, start = ci[o], cw[o], np.concatenate([[0], np.cumsum(nc)])
-    qi, qc, qw = qi[m], qc[m], qw[m]
-    for at in range(0, len(qi), 20_000):
-        a, col, w = qi[at : at + 20_000], qc[at : at + 20_000], qw[at : at + 20_000]
-        n = nc[col]
-        shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pos = np.repeat(start[col], n) + shift
-        cell = np.repeat(a, n) * c.num_rows + ci[pos]
-        o = np.argsort(cell, kind="stable")
-        cell, value = cell[o], (np.repeat(w, n) * cw[pos])[o]
-        first = np.nonzero(np.append(True, cell[1:] != cell[:-1]))[0] if len(cell) else np.zeros(0, np.int64)
-        if len(first):
-            out[cell[first]] += np.add.reduceat(value, first)
-    return score
-
-
-def cosine_scores(q: pa.Table, c: pa.Table) -> np.ndarray:
-    def unit(t: pa.Table) -> np.ndarray:
-        x = _flat(t.column("v"))[0].reshape(t.num_rows, -1).astype(np.float64)
-        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+#: Of a block of candidates, what scores a table of queries with it.
+Scorer = Callable[[pa.Table], np.ndarray]
+
+
+def _vectors(t: pa.Table) -> np.ndarray:
+    return _flat(t.column("v"))[0].reshape(t.num_rows, -1).astype(np.float64)
+
 
-    return unit(q) @ unit(c).T
+def dense_scores(c: pa.Table) -> Scorer:
+    cv = _vectors(c).T
+    return lambda q: _vectors(q) @ cv
 
 
-def block_top_k(queries: DataFrame, candidates: DataFrame, k: int, measures: dict[str, Callable[[pa.Table, pa.Table], np.ndarray]], columns: list[str], keep_zero: bool) -> DataFrame:
+def cosine_scores(c: pa.Table) -> Scorer:
+    def unit(t: pa.Table) -> np.ndarray:
+        x = _vectors(t)
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+    cv = unit(c).T
+    return lambda q: unit(q) @ cv
+
+
+def sparse_scores(c: pa.Table) -> Scorer:
+    """Inner products of (t: term ids, w: weights) rows. The postings of a block are sorted once for all its queries."""
+    ct, n = _flat(c.column("t"))
+    o = np.argsort(ct, kind="stable")
+    ci, cw = np.repeat(np.arange(c.num_rows), n)[o], _flat(c.column("w"))[0][o]
+    known, start = np.unique(ct[o], return_index=True)
+    nc = np.diff(np.append(start, len(ct)))
+
+    def postings(k: np.ndarray) -> np.ndarray:
+        """The places of the postings of terms ``k``, one term after the other."""
+        n = nc[k]
+        return np.repeat(start[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+    def scores(q: pa.Table) -> np.ndarray:
+        out = np.zeros((q.num_rows, c.num_rows))
+        if not len(known):
+            return out
+        qt, n = _flat(q.column("t"))
+        qk = np.minimum(np.searchsorted(known, qt), len(known) - 1)
+        m = known[qk] == qt
+        qi, qk, qw = np.repeat(np.arange(q.num_rows), n)[m], qk[m], _flat(q.column("w"))[0][m]
+        dense = np.bincount(qk, minlength=len(known)) * nc > DENSE_SHARE * out.size
+        which = np.nonzero(dense)[0]
+        for at in range(0, len(which), 512):
+            some = which[at : at + 512]
+            part = np.full(len(known), -1)
+            part[some] = np.arange(len(some))
+            a, b = np.zeros((q.num_rows, len(some))), np.zeros((c.num_rows, len(some)))
+            m, pos = part[qk] >= 0, postings(some)
+            a[qi[m], part[qk[m]]] = qw[m]
+            b[ci[pos], np.repeat(np.arange(len(some)), nc[some])] = cw[pos]
+            out = out + a @ b.T if at else a @ b.T
+        flat, m = out.reshape(-1), ~dense[qk]
+        qi, qk, qw = qi[m], qk[m], qw[m]
+        for at in range(0, len(qi), 20_000):
+            a, k, w = qi[at : at + 20_000], qk[at : at + 20_000], qw[at : at + 20_000]
+            pos = postings(k)
+            cell = np.repeat(a, nc[k]) * c.num_rows + ci[pos]
+            o = np.argsort(cell, kind="stable")
+            cell, value = cell[o], (np.repeat(w, nc[k]) * cw[pos])[o]
+            first = np.nonzero(np.append(True, cell[1:] != cell[:-1]))[0] if len(cell) else np.zeros(0, np.int64)
+            if len(first):
+                flat[cell[first]] += np.add.reduceat(value, first)
+        return out
+
+    return scores
+
+
+def block_top_k(queries: DataFrame, candidates: DataFrame, k: int, measures: dict[str, Callable[[pa.Table], Scorer]], columns: list[str], keep_zero: bool) -> DataFrame:
     """(measure, query_id, item_id, rank, score): the k best candidates of every query by each of ``measures`` over ``columns``.
 
     All measures are taken in one pass over the pairs of blocks. ``keep_zero``: whether candidates without any score count
@@ -116,29 +125,35 @@ def block_top_k(queries: DataFrame, candidates: DataFrame, k: int, measures: dic
     cells = q.unionByName(c).repartitionById(nq * nc, F.col("left") * nc + F.col("right")).drop("left", "right").sortWithinPartitions("side", "id")
     schema = pa.schema([("measure", pa.string()), ("query_id", pa.string()), ("item_id", pa.string()), ("score", pa.float64())])
 
-    def better(row: np.ndarray, least: float) -> np.ndarray:
-        """The at most k best places of a row above ``least``, in order; of equal scores the first."""
-        at = np.flatnonzero(row > least)
+    def better(row: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The at most k best places of a row and their rounded scores above ``least``, in order; of equal scores the first.
+
+        Only what can be among them is rounded.
+        """
+        at = np.flatnonzero(row > least - 1e-9)
+        if not keep_zero:
+            at = at[np.abs(row[at]) > 5e-10]
         if len(at) > k:
-            least = np.partition(row[at], len(at) - k)[len(at) - k]
-            at = at[row[at] >= least]
-        return at[np.argsort(-row[at], kind="stable")][:k]
+            kth = np.partition(row[at], len(at) - k)[len(at) - k]
+            at = at[row[at] >= kth - 1e-9]
+        v = np.round(row[at], 9)
+        m = (v > least) & (keep_zero | (v != 0))
+        at, v = at[m], v[m]
+        o = np.argsort(-v, kind="stable")[:k]
+        return at[o], v[o]
 
     def found(asked: pa.Table, blocks: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
         """Blocks of candidates in order of their ids against all queries of a cell; k places per query and measure are held."""
         shape = (len(measures), asked.num_rows, k)
         score, item, ids, n_ids = np.full(shape, -np.inf), np.zeros(shape, np.int64), [], 0
         for some in blocks:
-            for at in range(0, asked.num_rows, chunk):
-                for m, scores in enumerate(measures.values()):
-                    s = scores(asked.slice(at, chunk), some)
-                    np.round(s, 9, out=s)
-                    if not keep_zero:
-                        s[s == 0] = -np.inf
-                    for r, row in enumerate(s, at):
-                        new = better(row, score[m, r, -1])
+            for m, of in enumerate(measures.values()):
+                scores = of(some)
+                for at in range(0, asked.num_rows, chunk):
+                    for r, row in enumerate(scores(asked.slice(at, chunk)), at):
+                        new, values = better(row, score[m, r, -1])
                         if len(new):
-                            both = np.concatenate([score[m, r], row[new]])
+                            both = np.concatenate([score[m, r], values])
                             o = np.argsort(-both, kind="stable")[:k]
                             score[m, r], item[m, r] = both[o], np.concatenate([item[m, r], n_ids + new])[o]
             ids, n_ids = [*ids, some.column("id").combine_chunks()], n_ids + some.num_rows
@@ -175,7 +190,7 @@ def block_top_k(queries: DataFrame, candidates: DataFrame, k: int, measures: dic
             yield from (t.slice(at, block) for at in range(0, t.num_rows, block))
 
         if asked and rest:
-            yield from found(pa.Table.from_batches(asked), blocks())
+            yield from found(pa.Table.from_batches(asked).combine_chunks(), blocks())
 
     return top_k(cells.mapInArrow(run, "measure string, query_id string, item_id string, score double"), k, ("measure", "query_id"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lemmary.functions.text import symbol_tokens, tokens
-from lemmary.operators.cut import cut
+from lemmary.operators.cut import cut, store
 from lemmary.operators.retrieval import sparse_top_k
 
 #: Vocabulary sizes of the text and the symbol sources; they also bound the broadcast idf table.
@@ -29,7 +29,7 @@ def most_frequent(terms: DataFrame, limit: int) -> DataFrame:
     Nothing is sorted as a whole: a histogram of totals (few distinct values) gives the total of the last row, which all
     above pass. Rows of that total are range-partitioned by term and numbered within their ranges.
     """
-    terms = cut(terms)
+    terms = store(terms)
     if terms.count() <= limit:
         return terms
     sums = terms.groupBy("total").agg(F.count(F.lit(1)).alias("n"))
@@ -42,7 +42,7 @@ def most_frequent(terms: DataFrame, limit: int) -> DataFrame:
         offset = F.when(F.col("__range") == r["__range"], before).otherwise(offset)
         before += r["count"]
     place = F.row_number().over(Window.partitionBy("__range").orderBy("term")) + offset
-    return cut(above.unionByName(tied.withColumn("__place", place).where(F.col("__place") <= room).drop("__range", "__place")))
+    return store(above.unionByName(tied.withColumn("__place", place).where(F.col("__place") <= room).drop("__range", "__place")))
 
 
 def idf_of(counts: DataFrame, n: int, max_features: int = TEXT_FEATURES) -> DataFrame:
@@ -79,7 +79,7 @@ def lexical_top_k(queries: DataFrame, candidates: DataFrame, k: int, max_feature
     """The k candidates (id, text) with the highest TF-IDF cosine for every query (id, text)."""
     counts = term_counts(candidates)  # twice, for the vocabulary and for the weights: kept, they would be many times the texts
     idf = idf_of(counts, candidates.count(), max_features)
-    return sparse_top_k(cut(sparse_rows(term_counts(queries), idf)), cut(sparse_rows(counts, idf)), k)
+    return sparse_top_k(store(sparse_rows(term_counts(queries), idf)), store(sparse_rows(counts, idf)), k)
 
 
 def symbol_terms(docs: DataFrame, parts: list) -> DataFrame:

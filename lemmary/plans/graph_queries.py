@@ -335,11 +335,8 @@ def metric_delta(p: Pipeline) -> DataFrame:
 @query
 def candidate_rankings(p: Pipeline) -> DataFrame:
     """One row per eligible state: its ranking by every source and fusion as one list, and its gold premises."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"])
-    lists = p.all_rankings.groupBy("query_id", "method").agg(F.array_join(ordered, ",").alias("ids"))
-    wide = lists.groupBy("query_id").pivot("method", sorted(p.methods)).agg(F.first("ids"))
     of = p.queries.select(F.col("id").alias("query_id"), "theorem_id", "full_name", "split")
-    return of.join(wide, "query_id", "left").join(gold_by_query(p), "query_id", "left").fillna("", p.methods)
+    return of.join(p.all_lists.select("query_id", *sorted(p.methods)), "query_id", "left").join(gold_by_query(p), "query_id", "left").fillna("", p.methods)
 
 
 @query

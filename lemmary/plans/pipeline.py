@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lemmary.operators import fusion, metrics, profiles, retrieval, tfidf
-from lemmary.operators.cut import cut, drop_shuffles
+from lemmary.operators.cut import drop_shuffles, store
 from lemmary.plans.model import Model
 
 
@@ -44,7 +44,7 @@ class Pipeline:
 
     @cached_property
     def states(self) -> DataFrame:
-        return cut(self.m.states())
+        return store(self.m.states())
 
     @property
     def theorem_states(self) -> DataFrame:
@@ -52,48 +52,48 @@ class Pipeline:
 
     @cached_property
     def premises(self) -> DataFrame:
-        return cut(self.m.premises())
+        return store(self.m.premises())
 
     @cached_property
     def state_vectors(self) -> DataFrame:
-        return cut(self.m.vectors("ProofState"))
+        return store(self.m.vectors("ProofState"))
 
     @cached_property
     def pool(self) -> DataFrame:
         """Train premises with a vector: what the state queries can retrieve."""
         train = self.premises.where("split = 'train'").select("id")
-        return cut(self.m.vectors("Premise").join(train, "id", "left_semi"))
+        return store(self.m.vectors("Premise").join(train, "id", "left_semi"))
 
     @cached_property
     def gold(self) -> DataFrame:
         s = self.states.where(F.col("split") == self.split).select(F.col("id").alias("neighbor_id"))
-        return cut(self.state_edges.join(s, "neighbor_id", "left_semi").select(F.col("neighbor_id").alias("query_id"), "item_id"))
+        return store(self.state_edges.join(s, "neighbor_id", "left_semi").select(F.col("neighbor_id").alias("query_id"), "item_id"))
 
     @cached_property
     def queries(self) -> DataFrame:
         """Eligible states with their vectors: of the split, with gold premises and a vector."""
         s = self.states.where(F.col("split") == self.split)
         has_gold = self.gold.select(F.col("query_id").alias("id"))
-        return cut(s.join(self.state_vectors.select("id", "v"), "id").join(has_gold, "id", "left_semi"))
+        return store(s.join(self.state_vectors.select("id", "v"), "id").join(has_gold, "id", "left_semi"))
 
     @cached_property
     def premise_searches(self) -> DataFrame:
         """Premises nearest to the queries by inner product and by cosine, which stands for the vectors of an encoder: one pass."""
-        return cut(retrieval.dense_and_cosine_top_k(self.queries, self.pool, self.k))
+        return store(retrieval.dense_and_cosine_top_k(self.queries, self.pool, self.k))
 
     @cached_property
     def premise_dots(self) -> DataFrame:
         """Those by inner product alone."""
-        return cut(retrieval.dense_top_k(self.queries, self.pool, self.k))
+        return store(retrieval.dense_top_k(self.queries, self.pool, self.k))
 
     @cached_property
     def state_searches(self) -> DataFrame:
         """Train states nearest to the queries by both measures, once for k = 100; smaller k and all modes are taken from it."""
-        return cut(retrieval.dense_and_cosine_top_k(self.queries, self.train_states, 100))
+        return store(retrieval.dense_and_cosine_top_k(self.queries, self.train_states, 100))
 
     @cached_property
     def state_dots(self) -> DataFrame:
-        return cut(retrieval.dense_top_k(self.queries, self.train_states, 100))
+        return store(retrieval.dense_top_k(self.queries, self.train_states, 100))
 
     def has(self, part: str) -> bool:
         """Whether a part has been computed."""
@@ -117,21 +117,21 @@ class Pipeline:
         if self.embeddings is None:
             return self.by(self.premise_searches, "cosine")
         train = self.premises.where("split = 'train'")
-        return cut(retrieval.dense_top_k(self.encoded("ProofState", self.queries), self.encoded("Premise", train), self.k))
+        return store(retrieval.dense_top_k(self.encoded("ProofState", self.queries), self.encoded("Premise", train), self.k))
 
     @cached_property
     def lexical(self) -> DataFrame:
         q = self.queries.select("id", profiles.proof_state_profile().alias("text"))
         c = self.premises.where("split = 'train'").select("id", profiles.premise_profile().alias("text"))
-        return cut(tfidf.lexical_top_k(q, c, self.k))
+        return store(tfidf.lexical_top_k(q, c, self.k))
 
     @cached_property
     def symbol(self) -> DataFrame:
         joined = lambda c: F.concat_ws(" ", F.coalesce(c, F.array().cast("array<string>")))
         terms = tfidf.symbol_terms(self.premises.where("split = 'train'"), ["full_name", "code", "file_path"])
         known = tfidf.symbol_vocabulary(terms)
-        q = cut(tfidf.symbol_rows(tfidf.symbol_terms(self.queries, [joined("symbols"), "goal_text", joined("local_hypotheses"), "full_name"]), known))
-        return cut(retrieval.sparse_top_k(q, cut(tfidf.symbol_rows(terms, known)), self.k))
+        q = store(tfidf.symbol_rows(tfidf.symbol_terms(self.queries, [joined("symbols"), "goal_text", joined("local_hypotheses"), "full_name"]), known))
+        return store(retrieval.sparse_top_k(q, store(tfidf.symbol_rows(terms, known)), self.k))
 
     @cached_property
     def train_states(self) -> DataFrame:
@@ -144,7 +144,7 @@ class Pipeline:
 
     @cached_property
     def state_edges(self) -> DataFrame:
-        return cut(self.m.edges().select(F.col("proof_state_id").alias("neighbor_id"), F.col("premise_id").alias("item_id")))
+        return store(self.m.edges().select(F.col("proof_state_id").alias("neighbor_id"), F.col("premise_id").alias("item_id")))
 
     def expanded(self, k_states: int, mode: str) -> DataFrame:
         return fusion.expand(self.similar_states, self.state_edges, k_states, self.k, mode)
@@ -161,15 +161,15 @@ class Pipeline:
 
     @cached_property
     def profiles(self) -> DataFrame:
-        return cut(profiles.theorem_profiles(self.m.theorems(), self.theorem_states, self.max_states))
+        return store(profiles.theorem_profiles(self.m.theorems(), self.theorem_states, self.max_states))
 
     @cached_property
     def llm_profiles(self) -> DataFrame:
-        return cut(profiles.append_enrichment(self.profiles, self.m.enrichment()))
+        return store(profiles.append_enrichment(self.profiles, self.m.enrichment()))
 
     def _theorem_neighbors(self, p: DataFrame) -> DataFrame:
         docs = p.select(F.col("theorem_id").alias("id"), F.col("profile_text").alias("text"), "split")
-        return cut(tfidf.lexical_top_k(docs.where(F.col("split") == self.split).drop("split"), docs.where("split = 'train'").drop("split"), self.neighbor_k))
+        return store(tfidf.lexical_top_k(docs.where(F.col("split") == self.split).drop("split"), docs.where("split = 'train'").drop("split"), self.neighbor_k))
 
     @cached_property
     def theorem_neighbors(self) -> DataFrame:
@@ -184,9 +184,9 @@ class Pipeline:
         t = self.m.theorems().select("id", "split")
         q, c = t.where(F.col("split") == self.split), t.where("split = 'train'")
         if self.embeddings is not None:
-            return cut(retrieval.dense_top_k(self.encoded("Theorem", q), self.encoded("Theorem", c), self.neighbor_k))
+            return store(retrieval.dense_top_k(self.encoded("Theorem", q), self.encoded("Theorem", c), self.neighbor_k))
         v = self.m.vectors("Theorem")
-        return cut(self.by(retrieval.dense_and_cosine_top_k(v.join(q, "id", "left_semi"), v.join(c, "id", "left_semi"), self.neighbor_k), "cosine"))
+        return store(self.by(retrieval.dense_and_cosine_top_k(v.join(q, "id", "left_semi"), v.join(c, "id", "left_semi"), self.neighbor_k), "cosine"))
 
     @cached_property
     def theorem_queries(self) -> DataFrame:
@@ -195,7 +195,7 @@ class Pipeline:
     @cached_property
     def train_theorem_edges(self) -> DataFrame:
         links = self.m.links().where("split = 'train'").select(F.col("proof_state_id").alias("neighbor_id"), "theorem_id")
-        return cut(self.state_edges.join(links, "neighbor_id").select(F.col("theorem_id").alias("neighbor_id"), "item_id").distinct())
+        return store(self.state_edges.join(links, "neighbor_id").select(F.col("theorem_id").alias("neighbor_id"), "item_id").distinct())
 
     def neighbor_premises(self, neighbors: DataFrame) -> DataFrame:
         return fusion.expand(neighbors, self.train_theorem_edges, self.neighbor_k, self.k, "rank")
@@ -240,7 +240,7 @@ class Pipeline:
 
     @cached_property
     def all_sources(self) -> DataFrame:
-        return cut(self.sources(self.active_sources))
+        return store(self.sources(self.active_sources))
 
     def fused(self, names: list[str] | None = None, sources: DataFrame | None = None) -> DataFrame:
         """The named fusions (all: None), over the sources they weigh."""
@@ -251,17 +251,32 @@ class Pipeline:
     def union(self, names: list[str]) -> DataFrame:
         return fusion.rank_union(self.sources(names), names, self.k)
 
+    @property
+    def _ranked(self) -> DataFrame:
+        """Every active source, kept only if it is already."""
+        return self.all_sources if self.has("all_sources") else self.sources(self.active_sources)
+
+    @property
+    def _fusions(self) -> dict[str, dict[str, float]]:
+        """The weights of every fusion that takes part."""
+        plain = {"dense_lexical_rrf": ["dense", "lexical"], "full_union_rrf": ["dense", "lexical", "symbol", "similar_ps"]}
+        return {n: dict.fromkeys(s, 1.0) for n, s in plain.items()} | {f"weighted_rrf_{n}": w for n, w in fusion.active_presets(self.llm, self.pretrained).items()}
+
+    @cached_property
+    def all_hits(self) -> DataFrame:
+        """(method, query_id, item_id, rank): the gold premises in the rankings of every source and fusion."""
+        return store(fusion.hits(self._ranked, self.active_sources, self._fusions, self.gold, self.k))
+
+    @property
+    def all_lists(self) -> DataFrame:
+        """(query_id, a column for each of ``methods``): the whole rankings of every source and fusion as texts."""
+        return fusion.lists(self._ranked, self.active_sources, self._fusions, self.k)
+
     @cached_property
     def all_rankings(self) -> DataFrame:
         """(method, query_id, item_id, rank): every source and fusion."""
-        pick = lambda d, m: d.select(m.alias("method"), "query_id", "item_id", "rank")
-        fused = self.fused(list(fusion.active_presets(self.llm, self.pretrained)), self.all_sources)
-        return cut(
-            pick(self.all_sources, F.col("source"))
-            .unionByName(pick(fusion.rank_union(self.all_sources, ["dense", "lexical"], self.k), F.lit("dense_lexical_rrf")))
-            .unionByName(pick(fusion.rank_union(self.all_sources, ["dense", "lexical", "symbol", "similar_ps"], self.k), F.lit("full_union_rrf")))
-            .unionByName(pick(fused, F.concat(F.lit("weighted_rrf_"), F.col("preset"))))
-        )
+        fused = fusion.fuse(self.all_sources, fusion.presets_table(self.m.spark, self._fusions), self.k)
+        return store(self.all_sources.select(F.col("source").alias("method"), "query_id", "item_id", "rank").unionByName(fused.select(F.col("preset").alias("method"), "query_id", "item_id", "rank")))
 
     def ranking(self, method: str) -> DataFrame:
         """(method, query_id, item_id, rank) of one source or weighted fusion."""
@@ -270,7 +285,7 @@ class Pipeline:
 
     def rows(self, method: str | None = None) -> DataFrame:
         """Metrics per method and eligible query; queries that a method ranks nothing for have their row too."""
-        r = self.all_rankings if method is None else self.ranking(method)
+        r = self.all_hits if method is None else self.ranking(method)  # metrics look at gold premises alone
         q = self.queries.select(F.col("id").alias("query_id"))
         methods = [method] if method else self.methods
         q = q.withColumn("method", F.explode(F.array(*[F.lit(x) for x in methods])))

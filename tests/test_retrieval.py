@@ -210,3 +210,50 @@ def test_a_fusion_without_encoder_sources_searches_by_one_measure(spark, monkeyp
     p.sources(["dense", "pretrained_dense", "lexical"])
     names = {x for names in asked for x in names}
     assert "premise_searches" in names and "premise_dots" not in names
+
+
+def test_hits_and_lists_are_those_of_the_single_fusions(spark, monkeypatch):
+    """All methods in one pass over whole queries, however the rows are cut, rank what each fusion and source ranks alone."""
+    monkeypatch.setattr(fusion, "BATCH", 7)
+    r, names = random.Random(6), ["a", "b", "c"]
+    weights = {"even": {"a": 1.0, "b": 1.0}, "odd": {"a": 0.7, "b": 0.0, "c": 2.5}}
+    data = [(s, f"q{q}", f"p{i:02}", n) for s in names for q in range(9) if (s, q) != ("c", 4) for n, i in enumerate(r.sample(range(12), 6), 1)]
+    sources = spark.createDataFrame(data, "source string, query_id string, item_id string, rank int").repartition(5)
+    gold = [(f"q{q}", f"p{i:02}") for q in range(10) for i in r.sample(range(12), 3)]
+    want = defaultdict(list)
+    for s, q, i, n in data:
+        want[s, q].append((n, i))
+    for name, w in weights.items():
+        for q in range(9):
+            score = defaultdict(float)
+            for s, x, i, n in data:
+                if x == f"q{q}" and w.get(s, 0) > 0:
+                    score[i] += w[s] / n
+            want[name, f"q{q}"] = [(n, i) for i, n, _ in brute_topk({i: round(x, 9) for i, x in score.items()}, 4)]
+    got = fusion.hits(sources, names, weights, spark.createDataFrame(gold, "query_id string, item_id string"), 4)
+    assert rows(got) == sorted(((m, q, i, n) for (m, q), x in want.items() for n, i in x if (q, i) in gold), key=repr)
+    wide = fusion.lists(sources, names, weights, 4)
+    assert wide.columns == ["query_id", *names, *weights]
+    assert rows(wide) == [(f"q{q}", *[",".join(i for _, i in sorted(want[m, f"q{q}"])) for m in [*names, *weights]]) for q in range(9)]
+    fused = fusion.fuse(sources, fusion.presets_table(spark, weights), 4)
+    assert rows(fused, "preset", "query_id", "item_id", "rank") == sorted(((m, q, i, n) for (m, q), x in want.items() if m in weights for n, i in x), key=repr)
+
+
+def test_stored_rows_are_read_from_files_a_fraction_of_a_checkpoint(spark):
+    import os
+
+    from lemmary.operators.cut import cut, store
+
+    def on_disk():
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+
+    d = spark.range(50_000).selectExpr("concat('query ', id div 100) as query_id", "concat('item ', id % 100) as item_id", "cast(id % 100 as int) as rank")
+    cut(d.limit(1))
+    start = on_disk()
+    kept = store(d)
+    stored = on_disk() - start
+    assert kept.schema == d.schema or [(f.name, f.dataType) for f in kept.schema] == [(f.name, f.dataType) for f in d.schema]
+    assert kept.count() == 50_000 and kept.where("query_id = 'query 7' AND item_id = 'item 9'").count() == 1
+    cut(d)
+    assert 0 < stored * 5 < on_disk() - start - stored
