@@ -10,12 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmary.operators.retrieval import top_k
-
-MODES = {
-    "rank": lambda: F.lit(1.0) / F.col("rank"),
-    "sim": lambda: F.greatest(F.lit(0.0), F.col("score")),
-    "rank_sim": lambda: F.greatest(F.lit(0.0), F.col("score")) / F.col("rank"),
+#: The weight of a vote by the rank and score of its neighbour.
+MODES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "rank": lambda rank, score: 1.0 / rank,
+    "sim": lambda rank, score: np.maximum(0.0, score),
+    "rank_sim": lambda rank, score: np.maximum(0.0, score) / rank,
 }
 
 
@@ -28,10 +27,15 @@ def expand_all(neighbors: DataFrame, edges: DataFrame, variants: dict[str, tuple
     for _, mode in variants.values():
         if mode not in MODES:
             raise ValueError(f"unknown expansion mode: {mode}")
-    votes = F.array(*[F.struct(F.lit(n).alias("source"), F.when(F.col("rank") <= first, MODES[mode]()).alias("f")) for n, (first, mode) in variants.items()])
-    near = neighbors.where(F.col("rank") <= max(first for first, _ in variants.values())).select("query_id", F.col("item_id").alias("neighbor_id"), votes.alias("votes"))
-    cast = near.join(edges, "neighbor_id").select("query_id", "item_id", F.inline("votes")).where("f IS NOT NULL")
-    return top_k(cast.groupBy("source", "query_id", "item_id").agg(F.sum("f").alias("score")), k, ("source", "query_id"))
+    near = neighbors.where(F.col("rank") <= max(first for first, _ in variants.values())).select("query_id", F.col("item_id").alias("neighbor_id"), "rank", "score")
+    votes = near.join(edges, "neighbor_id").select(F.lit("").alias("source"), "query_id", "item_id", "rank", "score")
+
+    def each(x: _Lists) -> Iterator[list[pa.Array]]:
+        for n, (first, mode) in variants.items():
+            m = x.ranks <= first
+            yield x.rows(n, *x.summed(x.pair[m], MODES[mode](x.ranks[m], x.scores[m]), k))
+
+    return _by_query(votes, [], each, "source string, query_id string, item_id string, rank int, score double")
 
 
 def expand(neighbors: DataFrame, edges: DataFrame, k_neighbors: int, k: int = 100, mode: str = "rank") -> DataFrame:
@@ -104,6 +108,7 @@ class _Lists:
         place[order] = np.arange(len(order))
         of = np.array([sources.index(x) if x in sources else -2 if x == GOLD else -1 for x in names.dictionary.to_pylist()])
         self.source, self.ranks = of[names.indices.to_numpy()], t.column("rank").to_numpy()
+        self.scores = t.column("score").to_numpy() if "score" in t.column_names else None
         key = q.indices.to_numpy().astype(np.int64) * len(order) + place[items.indices.to_numpy()]
         keys, self.pair = np.unique(key, return_inverse=True)  # pairs by query, then item
         self.query, self.item = np.divmod(keys, max(1, len(order)))
@@ -120,9 +125,16 @@ class _Lists:
         return pair[o], rank[o]
 
     def fused(self, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(pairs, their ranks, scores): the sum of weight / rank to 9 decimals, descending, then by item; the first k of each query."""
-        score = np.round(self.votes @ weights, 9)
-        pair = np.flatnonzero((self.votes[:, weights > 0] > 0).any(axis=1))
+        """(pairs, their ranks, scores) by the sum of weight / rank, the first k of each query."""
+        return self._first(np.flatnonzero((self.votes[:, weights > 0] > 0).any(axis=1)), self.votes @ weights, k)
+
+    def summed(self, pair: np.ndarray, vote: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same by the sum of a vote for each of ``pair``."""
+        return self._first(np.unique(pair), np.bincount(pair, vote, len(self.query)), k)
+
+    def _first(self, pair: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By score to 9 decimals (halves up) descending, then by item."""
+        score = np.floor(score * 1e9 + 0.5) / 1e9
         pair = pair[np.lexsort((-score[pair], self.query[pair]))]
         q = self.query[pair]
         rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
@@ -141,7 +153,7 @@ class _Lists:
 
 def _by_query(sources: DataFrame, names: list[str], each: Callable[[_Lists], Iterator[list[pa.Array]]], schema: str) -> DataFrame:
     """``each`` over the lists of whole queries: one shuffle, whatever the number of fusions."""
-    rows = sources.select("source", "query_id", "item_id", "rank").repartition("query_id").sortWithinPartitions("query_id")
+    rows = sources.select([c for c in ("source", "query_id", "item_id", "rank", "score") if c in sources.columns]).repartition("query_id").sortWithinPartitions("query_id")
     columns = [c.split(" ")[0].strip("`") for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +184,7 @@ def fuse(sources: DataFrame, presets: DataFrame, k: int = 100) -> DataFrame:
         for n, w in vectors.items():
             yield x.rows(n, *x.fused(w, k))
 
-    return _by_query(sources.where(F.col("source").isin(names)), names, each, "preset string, query_id string, item_id string, rank int, score double")
+    return _by_query(sources.where(F.col("source").isin(names)).select("source", "query_id", "item_id", "rank"), names, each, "preset string, query_id string, item_id string, rank int, score double")
 
 
 def rank_union(sources: DataFrame, names: list[str], k: int = 100) -> DataFrame:
@@ -200,4 +212,4 @@ def lists(sources: DataFrame, names: list[str], weights: dict[str, dict[str, flo
     def each(x: _Lists) -> Iterator[list[pa.Array]]:
         yield [x.query_ids, *[x.texts(x.of_source(i)[0]) for i in range(len(names))], *[x.texts(x.fused(w, k)[0]) for w in vectors.values()]]
 
-    return _by_query(sources, names, each, ", ".join(f"{c} string" for c in ["query_id", *names, *weights]))
+    return _by_query(sources.select("source", "query_id", "item_id", "rank"), names, each, ", ".join(f"{c} string" for c in ["query_id", *names, *weights]))

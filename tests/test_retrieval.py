@@ -257,3 +257,27 @@ def test_stored_rows_are_read_from_files_a_fraction_of_a_checkpoint(spark):
     assert kept.count() == 50_000 and kept.where("query_id = 'query 7' AND item_id = 'item 9'").count() == 1
     cut(d)
     assert 0 < stored * 5 < on_disk() - start - stored
+
+
+def test_expansion_variants_against_brute_force(spark, monkeypatch):
+    """Every variant in one pass; halves at the ninth decimal go up, as in SQL."""
+    monkeypatch.setattr(fusion, "BATCH", 11)
+    r = random.Random(8)
+    data = [(f"q{q}", f"n{i}", n, round(r.uniform(-0.2, 1), 9)) for q in range(6) for n, i in enumerate(r.sample(range(15), 8), 1)] + [("qh", "n15", 2, 0.123456789)]
+    edges = [(f"n{i}", f"p{j:02}") for i in range(14) for j in r.sample(range(9), r.randrange(0, 5))] + [("n15", "p00")]
+    variants = {"a": (8, "rank"), "b": (5, "rank_sim"), "c": (3, "sim"), "d": (8, "rank_sim")}
+    got = defaultdict(list)
+    for s, q, *x in rows(fusion.expand_all(near(spark, data), spark.createDataFrame(edges, "neighbor_id string, item_id string"), variants, 4)):
+        got[s, q].append(tuple(x))
+    vote = {"rank": lambda n, s: 1 / n, "sim": lambda n, s: max(0.0, s), "rank_sim": lambda n, s: max(0.0, s) / n}
+    for name, (first, mode) in variants.items():
+        for q in {x[0] for x in data}:
+            score = defaultdict(float)
+            for a, i, n, s in data:
+                for e, p in edges:
+                    if a == q and e == i and n <= first:
+                        score[p] += vote[mode](n, s)
+            want = brute_topk({i: math.floor(x * 1e9 + 0.5) / 1e9 for i, x in score.items()}, 4)
+            have = sorted(got[name, q], key=lambda x: x[1])
+            assert [x[:2] for x in have] == [x[:2] for x in want] and all(abs(x[2] - y[2]) < 2e-9 for x, y in zip(have, want, strict=True))
+    assert got["d", "qh"] == [("p00", 1, 0.061728395)]
