@@ -10,6 +10,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are a
 #: Queries whose parts, computed side by side, each sent the package.
 NAMED = [
     "weighted_rrf_ps_heavy_k100_rank_sim",
+    "average_precision",
 ]
 
 
