@@ -11,6 +11,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are a
 NAMED = [
     "weighted_rrf_ps_heavy_k100_rank_sim",
     "average_precision",
+    "weighted_rrf_ps_heavy_k100_sim",
 ]
 
 
