@@ -12,6 +12,7 @@ NAMED = [
     "weighted_rrf_ps_heavy_k100_rank_sim",
     "average_precision",
     "weighted_rrf_ps_heavy_k100_sim",
+    "weighted_rrf_pretrained_tuned",
 ]
 
 
