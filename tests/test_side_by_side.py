@@ -13,6 +13,7 @@ NAMED = [
     "average_precision",
     "weighted_rrf_ps_heavy_k100_sim",
     "weighted_rrf_pretrained_tuned",
+    "weighted_rrf_lexical_ps",
 ]
 
 
