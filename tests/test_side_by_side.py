@@ -14,6 +14,7 @@ NAMED = [
     "weighted_rrf_ps_heavy_k100_sim",
     "weighted_rrf_pretrained_tuned",
     "weighted_rrf_lexical_ps",
+    "weighted_rrf_theorem_frontier",
 ]
 
 
