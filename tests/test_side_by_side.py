@@ -15,6 +15,7 @@ NAMED = [
     "weighted_rrf_pretrained_tuned",
     "weighted_rrf_lexical_ps",
     "weighted_rrf_theorem_frontier",
+    "first_gold_rank",
 ]
 
 
