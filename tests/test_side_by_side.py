@@ -16,6 +16,7 @@ NAMED = [
     "weighted_rrf_lexical_ps",
     "weighted_rrf_theorem_frontier",
     "first_gold_rank",
+    "marginal_hits",
 ]
 
 
