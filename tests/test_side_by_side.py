@@ -17,6 +17,7 @@ NAMED = [
     "weighted_rrf_theorem_frontier",
     "first_gold_rank",
     "marginal_hits",
+    "weighted_rrf_llm_theorem_source",
 ]
 
 
