@@ -18,6 +18,7 @@ NAMED = [
     "first_gold_rank",
     "marginal_hits",
     "weighted_rrf_llm_theorem_source",
+    "weighted_rrf_ps_heavy",
 ]
 
 
