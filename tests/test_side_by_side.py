@@ -19,6 +19,7 @@ NAMED = [
     "marginal_hits",
     "weighted_rrf_llm_theorem_source",
     "weighted_rrf_ps_heavy",
+    "weighted_rrf_theorem_heavy",
 ]
 
 
