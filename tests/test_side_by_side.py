@@ -20,6 +20,7 @@ NAMED = [
     "weighted_rrf_llm_theorem_source",
     "weighted_rrf_ps_heavy",
     "weighted_rrf_theorem_heavy",
+    "weighted_rrf_tuned_frontier",
 ]
 
 
