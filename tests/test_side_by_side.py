@@ -21,6 +21,7 @@ NAMED = [
     "weighted_rrf_ps_heavy",
     "weighted_rrf_theorem_heavy",
     "weighted_rrf_tuned_frontier",
+    "metric_delta",
 ]
 
 
