@@ -22,6 +22,7 @@ NAMED = [
     "weighted_rrf_theorem_heavy",
     "weighted_rrf_tuned_frontier",
     "metric_delta",
+    "rrf_union",
 ]
 
 
