@@ -23,6 +23,7 @@ NAMED = [
     "weighted_rrf_tuned_frontier",
     "metric_delta",
     "rrf_union",
+    "weighted_rrf_llm_theorem_tuned",
 ]
 
 
