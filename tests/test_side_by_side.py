@@ -24,6 +24,7 @@ NAMED = [
     "metric_delta",
     "rrf_union",
     "weighted_rrf_llm_theorem_tuned",
+    "weighted_rrf_ps_heavy_k100",
 ]
 
 
