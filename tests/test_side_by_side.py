@@ -25,6 +25,7 @@ NAMED = [
     "rrf_union",
     "weighted_rrf_llm_theorem_tuned",
     "weighted_rrf_ps_heavy_k100",
+    "weighted_rrf_theorem_source",
 ]
 
 
