@@ -26,6 +26,7 @@ NAMED = [
     "weighted_rrf_llm_theorem_tuned",
     "weighted_rrf_ps_heavy_k100",
     "weighted_rrf_theorem_source",
+    "full_union_rrf",
 ]
 
 
