@@ -27,6 +27,7 @@ NAMED = [
     "weighted_rrf_ps_heavy_k100",
     "weighted_rrf_theorem_source",
     "full_union_rrf",
+    "weighted_rrf_tuned_recall",
 ]
 
 
