@@ -19,6 +19,7 @@ NAMED = [
     "marginal_hits",
     "weighted_rrf_llm_theorem_source",
     "weighted_rrf_ps_heavy",
+    "candidate_rankings",
     "weighted_rrf_theorem_heavy",
     "weighted_rrf_tuned_frontier",
     "metric_delta",
